@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +37,7 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sliced(batch, column: str, most_bytes: int = 4 << 20):
+def sliced(batch, column: str, most_bytes: int = 8 << 20):
     """Slices of an Arrow batch with at most most_bytes of column each (one row at least)."""
     import numpy as np
 
@@ -56,30 +54,3 @@ def _sizes(column):
     import pyarrow.compute as pc
 
     return np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
-
-
-def neighbours(df: DataFrame, parts: int, with_next: Callable, schema: str) -> DataFrame:
-    """Applies with_next to sorted runs of rows, each run followed by the row that comes after it.
-
-    df has doc_id and text. Rows are dealt by ranges of doc_id, whose limits are exact enough
-    percentiles (a bounded sketch); the first row of each range also goes to the range before it
-    (that of the first range to the last one), marked peek. with_next is a mapInArrow function over
-    partitions sorted by (bucket, peek, doc_id, text): the last row of each bucket is its peek row.
-    """
-    spark = df.sparkSession
-    limits = df.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
-    limits = sorted(set(limits or []))
-    bucket = F.lit(0)
-    if limits:  # rows below limits[0] are in bucket 0
-        at = F.array(*[F.lit(x) for x in limits])
-        bucket = F.aggregate(at, F.lit(0), lambda n, x: n + (F.col("doc_id") >= x).cast("int"))
-    dealt = df.withColumn("bucket", bucket)
-    firsts = {r["bucket"]: (r["f"]["doc_id"], r["f"]["h"]) for r in dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("f")).collect()}
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
-    if not order:
-        return spark.createDataFrame([], schema)
-    peeks = spark.createDataFrame([(firsts[b][0], firsts[b][1], before[b]) for b in order], "doc_id long, h long, to int")
-    peek = dealt.withColumn("h", F.xxhash64("text")).join(F.broadcast(peeks), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "to"]).select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("peek"))
-    rows = dealt.select("doc_id", "text", "bucket", F.lit(False).alias("peek")).unionByName(peek)
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "peek", "doc_id", F.xxhash64("text")).mapInArrow(with_next, schema)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from . import url_filter
+from .piece_codec import op6_sentencepiece
+from .syncmers import op4_syncmer_fingerprints
 from .token_shards import op1_wavelet_shards
+from .url_filter import op10_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wavelet_shards,)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op4_syncmer_fingerprints, op6_sentencepiece, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(url_filter.ORACLE)

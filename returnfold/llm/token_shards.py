@@ -50,9 +50,9 @@ class WaveletMatrix:
         codes = dense[ids].astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
         levels, planes = max(1, (len(alphabet) - 1).bit_length()), []
         for level in reversed(range(levels)):
-            one = (codes >> level) & 1 != 0
+            one = ((codes >> level) & 1).astype(bool)
             planes.append(np.packbits(one))
-            codes = np.concatenate([codes[~one], codes[one]])
+            codes = np.concatenate([codes.take(np.flatnonzero(~one)), codes.take(np.flatnonzero(one))])
         return cls(planes, len(ids), alphabet.astype(np.uint32))
 
     def decode(self) -> np.ndarray:
@@ -61,8 +61,8 @@ class WaveletMatrix:
         for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             one = np.unpackbits(plane, count=self.n).view(bool)
             above = np.empty_like(codes)
-            above[~one] = codes[:zeros]
-            above[one] = codes[zeros:] | codes.dtype.type(1 << level)
+            above[np.flatnonzero(~one)] = codes[:zeros]
+            above[np.flatnonzero(one)] = codes[zeros:] | codes.dtype.type(1 << level)
             codes = above
         return self.alphabet[codes] if self.n else np.empty(0, np.uint32)
 
