@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import line_templates, url_filter
+from .langid import op9_language_id
+from .line_templates import op7_line_templates
+from .near_copies import op8_minhash_near_copies
+from .packing import op3_best_fit_packing
 from .piece_codec import op6_sentencepiece
+from .suffix_dedup import op5_suffix_dedup
 from .syncmers import op4_syncmer_fingerprints
 from .token_shards import op1_wavelet_shards
 from .url_filter import op10_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_wavelet_shards, op4_syncmer_fingerprints, op6_sentencepiece, op10_url_filter)}
+    found = (op1_wavelet_shards, op3_best_fit_packing, op4_syncmer_fingerprints, op5_suffix_dedup, op6_sentencepiece, op7_line_templates, op8_minhash_near_copies, op9_language_id, op10_url_filter)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(url_filter.ORACLE)
+    return line_templates.ORACLE | url_filter.ORACLE
