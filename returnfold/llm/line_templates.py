@@ -115,14 +115,14 @@ WITH docs AS (
 ), leaves AS (
   SELECT n, leaf, sum(docs) AS total FROM kinds GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1
 ), tokens AS (
-  SELECT k.n, k.leaf, l.total, k.docs, unnest(string_split(k.line, ' ')) AS token, generate_subscripts(string_split(k.line, ' '), 1) AS at
+  SELECT k.n, k.leaf, l.total, k.docs, unnest(string_split(k.line, ' ')) AS token, generate_subscripts(string_split(k.line, ' '), 1) AS place
   FROM kinds k JOIN leaves l USING (n, leaf)
 ), shares AS (
-  SELECT n, leaf, total, at, token, sum(docs) AS docs FROM tokens GROUP BY ALL
+  SELECT n, leaf, total, place, token, sum(docs) AS docs FROM tokens GROUP BY ALL
 ), most AS (
-  SELECT n, leaf, at, CASE WHEN max(docs) >= 0.9 * any_value(total) THEN arg_max(token, (docs, token)) END AS token FROM shares GROUP BY n, leaf, at
+  SELECT n, leaf, place, CASE WHEN max(docs) >= 0.9 * any_value(total) THEN arg_max(token, (docs, token)) END AS token FROM shares GROUP BY n, leaf, place
 ), templates AS (
-  SELECT n, leaf, list(token ORDER BY at) AS fixed FROM most GROUP BY n, leaf HAVING count(token) BETWEEN 0.6 * n AND n - 1
+  SELECT n, leaf, list(token ORDER BY place) AS fixed FROM most GROUP BY n, leaf HAVING count(token) BETWEEN 0.6 * n AND n - 1
 ), varied AS (
   SELECT l.* FROM lines l JOIN templates t USING (n, leaf)
   WHERE len(list_filter(range(1, n + 1), lambda i: t.fixed[i] IS NOT NULL AND t.fixed[i] <> string_split(l.line, ' ')[i])) = 0

@@ -12,10 +12,11 @@ from .suffix_dedup import op5_suffix_dedup
 from .syncmers import op4_syncmer_fingerprints
 from .token_shards import op1_wavelet_shards
 from .url_filter import op10_url_filter
+from .vector_search import op2_posting_lists
 
 
 def queries() -> dict:
-    found = (op1_wavelet_shards, op3_best_fit_packing, op4_syncmer_fingerprints, op5_suffix_dedup, op6_sentencepiece, op7_line_templates, op8_minhash_near_copies, op9_language_id, op10_url_filter)
+    found = (op1_wavelet_shards, op2_posting_lists, op3_best_fit_packing, op4_syncmer_fingerprints, op5_suffix_dedup, op6_sentencepiece, op7_line_templates, op8_minhash_near_copies, op9_language_id, op10_url_filter)
     return {f.__name__: f for f in found}
 
 

@@ -318,8 +318,11 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     return asked.join(least, "chunk", "left").select("body", "answers", "least").mapInArrow(apply, "doc_id long, bytes binary, gone binary")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of (doc_id, text); kept: the bytes that stay."""
+def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text); with_text: and kept, what stays.
+
+    kept_sha256 is of the bytes that stay; of a character that is cut in two, kept has nothing.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,13 +331,14 @@ def removals(docs: DataFrame) -> DataFrame:
                 data = np.frombuffer(raw.as_py(), np.uint8)
                 gone = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(data)).view(bool)
                 kept = data[~gone].tobytes() if gone.any() else raw.as_py()
-                rows.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            n, removed, spans, sha, kept = zip(*rows) if rows else ((),) * 5
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, [pa.int64()] * 3 + [pa.string()] * 2)]
+            yield pa.record_batch([batch.column("doc_id"), *columns[: len(names) - 1]], names)
 
-    return removed_bytes(docs).mapInArrow(count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    return removed_bytes(docs).mapInArrow(count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: documents without strings of 50 bytes that start in earlier ones."""
-    return removals(documents(table(spark, sf_dir, "documents"))).drop("kept")
+    return removals(documents(table(spark, sf_dir, "documents")))
