@@ -36,7 +36,7 @@ from .common import documents, sliced, stored, table
 from .syncmers import mixed, rolling
 
 LENGTH, K, LEAD = 50, 16, 16
-CHUNK_BYTES, BUCKET_BYTES, HOT, SAMPLE = 8 << 20, 16 << 20, 512, 200_000
+CHUNK_BYTES, BUCKET_BYTES, HOT, SAMPLE = 3 << 20, 12 << 20, 512, 200_000
 NO_DOC = np.iinfo(np.int64).max
 
 
