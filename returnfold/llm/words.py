@@ -108,10 +108,10 @@ class WordIds:
     SHOWN = {b: 0x100 + 34 + i for i, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 
     def __init__(self, path: str, most_words: int = 1_500_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.merger = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merger.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merger = Tokenizer(self.tokenizer.model)  # shares the vocabulary
         self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         suffix = self.merger.model.end_of_word_suffix
         self.is_end = np.array([(self.merger.id_to_token(i) or "").endswith(suffix) for i in range(self.merger.get_vocab_size())]) if suffix else None
@@ -124,8 +124,12 @@ class WordIds:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merge(self, words: list[str]) -> None:
-        """Adds rows for plain words, a space before their marks."""
+    def _merge(self, words: list[str], at_once: int = 30_000) -> None:
+        """Adds rows for plain words, a space before their marks; the library keeps some hundred bytes a token meanwhile."""
+        if len(words) > at_once:
+            for at in range(0, len(words), at_once):
+                self._merge(words[at : at + at_once])
+            return
         marks = np.array([" " in w for w in words], np.int64)
         ids = np.array(self.merger.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids)
         ends = np.flatnonzero(self.is_end[ids]) + 1
@@ -149,8 +153,10 @@ class WordIds:
                 if add:
                     add(strings(cut.filter(mask)))
                 else:
-                    for ids in self.whole(strings(new.filter(mask))):
-                        self.rows.add(ids)
+                    words = strings(new.filter(mask))
+                    for at in range(0, len(words), 5_000):
+                        for ids in self.whole(words[at : at + 5_000]):
+                            self.rows.add(ids)
         return rows
 
     def _shown(self, words: list[str]) -> list[str]:
