@@ -2,7 +2,7 @@
 
 A line's tokens are its words, those with a digit shown as "<*>". The tree has a fixed depth: number
 of tokens, then the first LEAD tokens; a leaf holds the lines that agree in these. In a leaf whose
-lines agree (SAME of its documents) at SHARE of its places or more, the places that vary become "<*>"
+lines agree (SAME of them) at SHARE of its places or more, the places that vary become "<*>"
 too: lines that have all the fixed tokens share this template. Other lines are their own template.
 
 A template recurs if it stands in at least MOST_DOCS documents that are independent: copies of one
@@ -16,12 +16,12 @@ A null text stays null. A document left with nothing but blank lines, that had m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
-LEAD, LEAST_TOKENS, MOST_DOCS, WIDE, SAME, SHARE = 3, 3, 5, 200, 0.9, 0.6
+LEAD, LEAST_TOKENS, MOST_DOCS, WIDE, SAME, SHARE = 4, 3, 5, 200, 0.9, 0.6
 BLANKS = "[ \\t\\r\\f]+"
 
 
@@ -39,10 +39,6 @@ def template_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "h", "pos", "line", near(0).alias("n"), near(-1).alias("before"), near(1).alias("after")).where(F.col("n") >= LEAST_TOKENS)
 
 
-def _lead(line: str = "line") -> Column:
-    return F.substring_index(line, " ", LEAD)
-
-
 def recurring(rows: DataFrame, key: list[str]) -> DataFrame:
     """The values of key that stand in enough independent documents; rows has key, doc_id, h, before, after."""
     once = rows.groupBy(*key, "doc_id", "h").agg(F.min(F.struct("before", "after")).alias("around"))
@@ -50,29 +46,32 @@ def recurring(rows: DataFrame, key: list[str]) -> DataFrame:
     return around.groupBy(*key).agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(f"docs >= {MOST_DOCS} and kinds >= {MOST_DOCS} and kinds >= least({WIDE}, docs / 3)").select(*key)
 
 
-def leaf_templates(lines: DataFrame) -> DataFrame:
-    """(n, lead, fixed): leaves whose lines mostly agree, with their tokens, null where they vary."""
-    one = lines.groupBy("n", _lead().alias("lead"), "k", "doc_id", "h").agg(F.first("line").alias("line"))
-    distinct = one.groupBy("n", "lead", "k").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
-    leaves = distinct.groupBy("n", "lead").agg(F.sum("docs").alias("total"), F.count("*").alias("kinds")).where(f"total >= {MOST_DOCS} and kinds > 1")
-    token = distinct.join(leaves, ["n", "lead"]).select("n", "lead", "total", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    most = token.groupBy("n", "lead", "total", "at", "token").agg(F.sum("docs").alias("docs")).groupBy("n", "lead", "total", "at").agg(F.max_by("token", F.struct("docs", "token")).alias("token"), F.max("docs").alias("docs"))
-    fixed = most.select("n", "lead", "at", F.when(F.col("docs") >= SAME * F.col("total"), F.col("token")).alias("token"))
-    whole = fixed.groupBy("n", "lead").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"), F.count("token").alias("same"))
-    return whole.where(F.col("same").between(F.lit(SHARE) * F.col("n"), F.col("n") - 1)).select("n", "lead", F.col("t.token").alias("fixed"))
+def leaf_templates(rows: DataFrame) -> DataFrame:
+    """(n, leaf, fixed): leaves whose lines mostly agree, with their tokens, null where they vary; rows has n, leaf, total and line."""
+    token = rows.select("n", "leaf", "total", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    each = token.groupBy("n", "leaf", "total", "at", "token").agg(F.count("*").alias("times"))
+    most = each.groupBy("n", "leaf", "total", "at").agg(F.max(F.struct("times", "token")).alias("m"))
+    fixed = most.select("n", "leaf", "at", F.when(F.col("m.times") >= SAME * F.col("total"), F.col("m.token")).alias("token"))
+    whole = fixed.groupBy("n", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"), F.count("token").alias("same"))
+    return whole.where(F.col("same").between(F.lit(SHARE) * F.col("n"), F.col("n") - 1)).select("n", "leaf", F.col("t.token").alias("fixed"))
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
-    """docs with lines of recurring templates taken out of text, and n_lines, n_dropped and emptied."""
-    lines = stored(template_lines(docs.select("doc_id", "text")).withColumn("k", F.xxhash64("line")), "lines")
-    exact = recurring(lines, ["n", "k", "line"]).select("n", "k", F.col("line").alias("whole"))
-    leaves = leaf_templates(lines)
+    """docs with lines of recurring templates taken out of text, and n_lines, n_dropped and emptied.
+
+    Lines are told apart by two hashes; only those in leaves with several different lines move as text.
+    """
+    lines = template_lines(docs.select("doc_id", "text")).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEAD)))
+    hashed = stored(lines.withColumns({"k": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")}).drop("line"), "lines")
+    exact = recurring(hashed, ["n", "k", "k2"])
+    kinds = hashed.groupBy("n", "leaf", "k", "k2").agg(F.count("*").alias("times"))
+    leaves = kinds.groupBy("n", "leaf").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where(f"total >= {MOST_DOCS} and kinds > 1").select("n", "leaf", "total")
+    mixed = stored(lines.join(leaves, ["n", "leaf"]), "mixed")
     fits = F.forall(F.arrays_zip("fixed", F.split("line", " ").alias("tokens")), lambda x: x["fixed"].isNull() | (x["fixed"] == x["tokens"]))
-    varied = lines.withColumn("lead", _lead()).join(leaves, ["n", "lead"]).where(fits)
-    loose = recurring(varied, ["n", "lead"])
+    varied = stored(mixed.join(leaf_templates(mixed), ["n", "leaf"]).where(fits).drop("line", "fixed"), "varied")
+    loose = recurring(varied, ["n", "leaf"])
     place = ["doc_id", "h", "pos"]
-    gone = lines.join(exact, (lines["n"] == exact["n"]) & (lines["k"] == exact["k"]) & (lines["line"] == exact["whole"]), "left_semi").select(*place)
-    gone = gone.union(varied.join(loose, ["n", "lead"], "left_semi").select(*place)).distinct()
+    gone = hashed.join(exact, ["n", "k", "k2"], "left_semi").select(*place).union(varied.join(loose, ["n", "leaf"], "left_semi").select(*place))
     gone = gone.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("_gone"))
     parts = F.split("text", "\n")
     marked = docs.withColumn("h", F.xxhash64("text")).join(gone.toDF("_d", "_h", "_gone"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left").drop("_d", "_h", "h")
@@ -104,14 +103,14 @@ WITH docs AS (
 ), around AS (
   SELECT *, coalesce(lag(n) OVER w, -1) AS before, coalesce(lead(n) OVER w, -1) AS after FROM sized WINDOW w AS (PARTITION BY rid ORDER BY pos)
 ), lines AS (
-  SELECT *, array_to_string(string_split(line, ' ')[1:3], ' ') AS leaf FROM around WHERE n >= 3
+  SELECT *, array_to_string(string_split(line, ' ')[1:4], ' ') AS leaf FROM around WHERE n >= 3
 ), once AS (
   SELECT line, rid, min((before, after)) AS a FROM lines GROUP BY ALL
 ), exact AS (
   SELECT line FROM once GROUP BY line
   HAVING count(*) >= 5 AND count(DISTINCT a) >= 5 AND count(DISTINCT a) >= least(200, count(*) / 3.0)
 ), kinds AS (
-  SELECT n, leaf, line, count(DISTINCT rid) AS docs FROM lines GROUP BY ALL
+  SELECT n, leaf, line, count(*) AS docs FROM lines GROUP BY ALL
 ), leaves AS (
   SELECT n, leaf, sum(docs) AS total FROM kinds GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1
 ), tokens AS (
@@ -120,7 +119,7 @@ WITH docs AS (
 ), shares AS (
   SELECT n, leaf, total, place, token, sum(docs) AS docs FROM tokens GROUP BY ALL
 ), most AS (
-  SELECT n, leaf, place, CASE WHEN max(docs) >= 0.9 * any_value(total) THEN arg_max(token, (docs, token)) END AS token FROM shares GROUP BY n, leaf, place
+  SELECT n, leaf, place, CASE WHEN max(docs) >= 0.9 * any_value(total) THEN max((docs, token))[2] END AS token FROM shares GROUP BY n, leaf, place
 ), templates AS (
   SELECT n, leaf, list(token ORDER BY place) AS fixed FROM most GROUP BY n, leaf HAVING count(token) BETWEEN 0.6 * n AND n - 1
 ), varied AS (

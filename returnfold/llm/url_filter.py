@@ -40,7 +40,8 @@ def rule_of(rules: dict[str, str], host: str = "host", path: str = "path") -> Co
 
 def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, verdict) for rule lists too long for one expression: rules (rule, verdict) joined on each suffix of a host."""
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", -i)))
+    labels = F.split("host", r"\.")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     keyed = rules.select("rule", "verdict", F.substring_index("rule", "/", 1).alias("suffix"), F.expr("substring(rule, instr(rule, '/'))").alias("start"))
     fit = urls.select("host", "path").distinct().withColumn("suffix", suffix).join(keyed, "suffix").where(F.col("path").startswith(F.col("start")))
     best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.col("verdict") == "allow", "rule"))
