@@ -41,7 +41,8 @@ def enrich(returns: DataFrame, s: Settings = Settings()) -> DataFrame:
     return under.withColumns({"var": risk("r"), "dd_var": risk("dd")}).drop("_g")
 
 
-R = F.col("r")
+def R() -> Column:
+    return F.col("r")
 
 
 def _n() -> Column:
@@ -49,11 +50,11 @@ def _n() -> Column:
 
 
 def _avg(condition: Column) -> Column:
-    return F.avg(F.when(condition, R))
+    return F.avg(F.when(condition, R()))
 
 
 def _sum(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, R)), F.lit(0.0))
+    return F.coalesce(F.sum(F.when(condition, R())), F.lit(0.0))
 
 
 def total(s: Settings) -> Column:
@@ -61,20 +62,20 @@ def total(s: Settings) -> Column:
 
 
 def win_rate(s: Settings) -> Column:
-    return F.coalesce(ratio(F.count_if(R > 0), F.count_if(R != 0)), F.lit(0.0))
+    return F.coalesce(ratio(F.count_if(R() > 0), F.count_if(R() != 0)), F.lit(0.0))
 
 
 def payoff_ratio(s: Settings) -> Column:
-    return ratio(_avg(R > 0), F.abs(_avg(R < 0)))
+    return ratio(_avg(R() > 0), F.abs(_avg(R() < 0)))
 
 
 def profit_ratio(s: Settings) -> Column:
-    wins, losses = ratio(_avg(R >= 0), F.count_if(R >= 0)), ratio(_avg(R < 0), F.count_if(R < 0))
-    return F.when(F.count_if(R >= 0) == 0, 0.0).otherwise(ratio(F.abs(wins), F.abs(losses)))
+    wins, losses = ratio(_avg(R() >= 0), F.count_if(R() >= 0)), ratio(_avg(R() < 0), F.count_if(R() < 0))
+    return F.when(F.count_if(R() >= 0) == 0, 0.0).otherwise(ratio(F.abs(wins), F.abs(losses)))
 
 
 def profit_factor(s: Settings) -> Column:
-    return ratio(_sum(R >= 0), F.abs(_sum(R < 0)))
+    return ratio(_sum(R() >= 0), F.abs(_sum(R() < 0)))
 
 
 def tail_ratio(s: Settings) -> Column:
@@ -82,7 +83,7 @@ def tail_ratio(s: Settings) -> Column:
 
 
 def exposure(s: Settings) -> Column:
-    return F.ceil(100.0 * F.count_if(R != 0) / _n()) / 100.0
+    return F.ceil(100.0 * F.count_if(R() != 0) / _n()) / 100.0
 
 
 def cagr(s: Settings) -> Column:
@@ -109,7 +110,7 @@ def sharpe(s: Settings) -> Column:
 
 
 def _downside(s: Settings) -> Column:
-    x = R - daily_rate(s.rf, s.periods)
+    x = R() - daily_rate(s.rf, s.periods)
     return F.sqrt(F.sum(F.when(x < 0, x * x).otherwise(0.0)) / _n())
 
 
@@ -136,7 +137,7 @@ def omega(s: Settings) -> Column:
     if s.required_return <= -1:
         return F.lit(None).cast("double")
     t = s.required_return if s.periods == 1 else (1 + s.required_return) ** (1 / s.periods) - 1
-    gain, loss = F.sum(F.when(R > t, R - t).otherwise(0.0)), F.sum(F.when(R < t, t - R).otherwise(0.0))
+    gain, loss = F.sum(F.when(R() > t, R() - t).otherwise(0.0)), F.sum(F.when(R() < t, t - R()).otherwise(0.0))
     return F.when(_n() >= 2, ratio(gain, loss))
 
 
@@ -153,7 +154,7 @@ def value_at_risk(s: Settings) -> Column:
 
 
 def conditional_value_at_risk(s: Settings) -> Column:
-    return F.coalesce(F.avg(F.when(R < F.col("var"), R)), F.first("var"))
+    return F.coalesce(F.avg(F.when(R() < F.col("var"), R())), F.first("var"))
 
 
 def serenity_index(s: Settings) -> Column:
@@ -174,17 +175,17 @@ STATS: dict[str, Callable[[Settings], Column]] = {
     "worst": lambda s: F.min("r"),
     "exposure": exposure,
     "win_rate": win_rate,
-    "avg_return": lambda s: _avg(R != 0),
-    "avg_win": lambda s: _avg(R > 0),
-    "avg_loss": lambda s: _avg(R < 0),
+    "avg_return": lambda s: _avg(R() != 0),
+    "avg_win": lambda s: _avg(R() > 0),
+    "avg_loss": lambda s: _avg(R() < 0),
     "payoff_ratio": payoff_ratio,
     "profit_ratio": profit_ratio,
     "profit_factor": profit_factor,
     "cpc_index": lambda s: profit_factor(s) * win_rate(s) * payoff_ratio(s),
     "common_sense_ratio": lambda s: profit_factor(s) * tail_ratio(s),
-    "outlier_win_ratio": lambda s: ratio(F.percentile("r", F.lit(0.99)), _avg(R >= 0)),
-    "outlier_loss_ratio": lambda s: ratio(F.percentile("r", F.lit(0.01)), _avg(R < 0)),
-    "gain_to_pain_ratio": lambda s: ratio(F.sum("r"), F.abs(_sum(R < 0))),
+    "outlier_win_ratio": lambda s: ratio(F.percentile("r", F.lit(0.99)), _avg(R() >= 0)),
+    "outlier_loss_ratio": lambda s: ratio(F.percentile("r", F.lit(0.01)), _avg(R() < 0)),
+    "gain_to_pain_ratio": lambda s: ratio(F.sum("r"), F.abs(_sum(R() < 0))),
     "recovery_factor": lambda s: ratio(F.abs(F.sum("r") - s.rf), F.abs(max_drawdown(s))),
     "risk_of_ruin": lambda s: F.pow((1 - win_rate(s)) / (1 + win_rate(s)), _n()),
     "kelly_criterion": kelly_criterion,
@@ -233,7 +234,7 @@ def compute(returns: DataFrame, *names: str, settings: Settings = Settings(), pe
 def longest_streak(returns: DataFrame, losses: bool = False, period: str | None = None) -> DataFrame:
     """(series_id, consecutive_wins or consecutive_losses): the longest run of returns above (below) 0."""
     rows = aggregate_returns(returns, period).withColumnRenamed("period", "dt")
-    hit = (R < 0) if losses else (R > 0)
+    hit = (R() < 0) if losses else (R() > 0)
     change = F.coalesce((hit != F.lag(hit).over(ordered())).cast("int"), F.lit(1))
     runs = rows.withColumn("_run", F.sum(change).over(running())).groupBy("series_id", "_run").agg(F.count_if(hit).alias("n"))
     return runs.groupBy("series_id").agg(F.max("n").alias("consecutive_losses" if losses else "consecutive_wins"))
