@@ -57,6 +57,12 @@ def growth(c: Column | str = "r") -> Column:
     return F.product(1 + col(c))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Aggregate: Pearson's correlation over rows that have both; null where one doesn't vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_samp(a, b), F.sqrt(F.var_samp(x)) * F.sqrt(F.var_samp(y)))
+
+
 def skewness(c: str) -> Column:
     """Aggregate: sample skewness, corrected for bias; null below three rows."""
     n = F.count(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, ratio
+from ..functions.columns import correlation, growth, ratio
 from .calendar import period_key
 
 
@@ -44,7 +44,7 @@ def greeks(joined: DataFrame, periods: float = 252.0) -> DataFrame:
 
 
 def r_squared(joined: DataFrame) -> DataFrame:
-    c = F.corr("r", "b")
+    c = correlation("r", "b")
     return joined.groupBy("series_id").agg((c * c).alias("r_squared"))
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import daily_rate, excess_kurtosis, growth, normal_cdf, normal_quantile, ordered, ratio, running, skewness, whole
+from ..functions.columns import correlation, daily_rate, excess_kurtosis, growth, normal_cdf, normal_quantile, ordered, ratio, running, skewness, whole
 from .calendar import aggregate_returns
 
 
@@ -92,7 +92,7 @@ def cagr(s: Settings) -> Column:
 
 def autocorr_penalty(s: Settings) -> Column:
     """sqrt(1 + 2 sum over x of (n - x) / n c^x), in closed form, c being the size of the lag-one correlation."""
-    c, n = F.abs(F.corr("r", "prev")), _n()
+    c, n = F.abs(correlation("r", "prev")), _n()
     inner = F.when(c == 1, (n - 1) / 2.0).otherwise(c * (n * (1 - c) - (1 - F.pow(c, n))) / (n * (1 - c) * (1 - c)))
     return F.sqrt(1 + 2 * inner)
 

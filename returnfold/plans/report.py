@@ -7,7 +7,7 @@ import html as _html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth
+from ..functions.columns import correlation, growth
 from ..operators.benchmark import beta
 from ..operators.calendar import aggregate_returns, monthly_returns
 from ..operators.drawdown import drawdown_summary, longest_drawdowns, to_drawdown_series
@@ -132,7 +132,7 @@ def metric_columns(returns: DataFrame, benchmark: DataFrame | None = None, setti
     if benchmark is not None:
         both = returns.join(benchmark, "dt")
         d = F.col("r") - F.col("b")
-        c = F.corr("r", "b")
+        c = correlation("r", "b")
         parts.append(both.groupBy("series_id").agg((c * c).alias("r_squared"), c.alias("correlation"), F.coalesce(F.try_divide(F.avg(d), F.stddev_samp(d)), F.lit(0.0)).alias("information_ratio"), F.coalesce(beta(), F.lit(0.0)).alias("beta"), F.coalesce((F.avg("r") - beta() * F.avg("b")) * settings.periods, F.lit(0.0)).alias("alpha"), F.coalesce(F.try_divide(growth() - 1 - settings.rf, beta()), F.lit(0.0)).alias("treynor")))
     for part in parts:
         out = out.join(part, "series_id", "left")
