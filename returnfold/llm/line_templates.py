@@ -30,9 +30,11 @@ def template_lines(docs: DataFrame) -> DataFrame:
 
     Short lines are left out. h is a hash of the text, so that rows sharing a doc_id keep apart.
     """
-    plain = lambda x: F.trim(F.regexp_replace(x, BLANKS, " "))
-    masked = lambda x: F.when(x.rlike("[0-9]"), F.array_join(F.transform(F.split(x, " "), lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)), " ")).otherwise(x)
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.transform(F.split("text", "\n"), lambda x: masked(plain(x))).alias("lines"))
+    text, lines = F.col("text"), F.split("text", "\n")
+    odd = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\f")
+    plain = F.when(odd, F.transform(lines, lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))).otherwise(F.transform(lines, lambda x: F.trim(x)))  # the cheap way for most texts
+    mask = lambda x: F.when(x.rlike("[0-9]"), F.array_join(F.transform(F.split(x, " "), lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)), " ")).otherwise(x)
+    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.when(text.rlike("[0-9]"), F.transform(plain, mask)).otherwise(plain).alias("lines"))
     counted = lines.withColumn("sizes", F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)))
     each = counted.select("doc_id", "h", "sizes", F.posexplode("lines").alias("pos", "line"))
     near = lambda d: F.coalesce(F.get("sizes", F.col("pos") + d), F.lit(-1))
