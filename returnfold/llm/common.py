@@ -49,6 +49,17 @@ def sliced(batch, column: str, most_bytes: int = 4 << 20):
         at = to
 
 
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system, as far as its C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _sizes(column):
     import numpy as np
     import pyarrow.compute as pc

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, stored, table
+from .common import documents, sliced, stored, table, trim
 from .syncmers import mixed, rolling
 
 LENGTH, K, LEAD = 50, 16, 16
-CHUNK_BYTES, BUCKET_BYTES, HOT, SAMPLE = 3 << 20, 12 << 20, 512, 200_000
+CHUNK_BYTES, BUCKET_BYTES, HOT, SAMPLE = 2 << 20, 12 << 20, 512, 200_000
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -198,6 +198,7 @@ def _ask(chunks: DataFrame, buckets: int) -> DataFrame:
                 note = np.minimum(different, 127).astype(np.uint8) | several.astype(np.uint8) << 7
                 some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
                 yield pa.record_batch([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([_pack(key[cuts[b] : cuts[b + 1]].astype(np.uint32), note[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], ["bucket", "chunk", "asked"])
+                trim()
 
     def answer(rows: pa.Table) -> pa.Table:
         asked = [_unpack(x.as_py(), np.uint32, np.uint8) for x in rows.column("asked")]
@@ -261,6 +262,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
                     own = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, side="right")]
                     rows.append((b, number, _pack(size[own].astype(np.uint8), leads[own].astype(np.uint8), least[own], data[_spread(offsets[own], size[own])])))
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "chunk", "runs"])
+                trim()
 
     def settle(rows: pa.Table) -> pa.Table:
         got = [_unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8) for x in rows.column("runs")]
@@ -287,6 +289,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
             own = code[at : at + len(g[0])]
             at += len(g[0])
             out.append(_pack(answer[_spread(begins[own], count[own])]))
+        trim()
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "least": pa.array(out, pa.binary())})
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +315,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
                         [pa.array([None if i == NO_DOC else i for i in chunk.ids[part].tolist()], pa.int64()), pa.array([chunk.data[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(gone[a:b]).tobytes() for a, b in spans], pa.binary())],
                         ["doc_id", "bytes", "gone"],
                     )
+                trim()
 
     asked = chunks.join(answers, "chunk", "left").select("chunk", "body", "answers")
     least = listed(asked.mapInArrow(send, "bucket int, chunk long, runs binary").groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, least binary"), "least")

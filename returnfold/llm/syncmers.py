@@ -29,8 +29,11 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """Hashes whose high and low bits are both even."""
-    h = (h ^ (h >> np.uint64(29))) * _B
-    return h ^ (h >> np.uint64(32))
+    out = h >> np.uint64(29)
+    out ^= h
+    out *= _B
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -46,11 +49,14 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
                 if out is None:
                     out, done = doubled, size
                 else:
-                    out = out[: len(data) - done - size + 1] * power + doubled[done : done + len(data) - done - size + 1]
+                    out = out[: len(data) - done - size + 1] * power
+                    out += doubled[done : done + len(out)]
                     done += size
                 if done == width:
                     return out[:n]
-            doubled = doubled[:-size] * power + doubled[size:]
+            longer = doubled[:-size] * power
+            longer += doubled[size:]
+            doubled, longer = longer, None
             power, size = power * power, size * 2
 
 
