@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, stored, table
+from .common import documents, sliced, stored, table, trim
 from .words import WordIds, tokenizer_path
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION, MERGED = 4096, 2048, 4, 3, 12, 6, 64
@@ -47,6 +47,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> Data
                 at = (np.cumsum(n) - n)[doc] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist())]
                 yield pa.record_batch([part.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del words
+        trim()
 
     return docs.mapInArrow(cut, PIECE)
 
@@ -133,20 +135,14 @@ def _pack_blocks(pieces: DataFrame, capacity: int) -> DataFrame:
     spark = pieces.sparkSession
     ordered = ["length", "doc_id", "piece"]
 
-    def lengths_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "lengths": [rows["length"].sort_values(ascending=False).tolist()]})
-
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for b, ls in zip(rows["block"], rows["lengths"]):
-                ls = ls.tolist()
-                for k in range(ISLANDS):
-                    population = first_population(ls, capacity, k)
-                    out.append((b, k, ls, [_packed(x, len(ls)) for x in population]))
-                    if len(population[0]) <= -(-sum(ls) // capacity):
-                        break  # best fit alone has reached the bound
-            yield pd.DataFrame(out, columns=["block", "island", "lengths", "population"])
+    def start(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lengths, out = rows["length"].sort_values(ascending=False).tolist(), []
+        for k in range(ISLANDS):
+            population = first_population(lengths, capacity, k)
+            out.append((key[0], k, lengths, [_packed(x, len(lengths)) for x in population]))
+            if len(population[0]) <= -(-sum(lengths) // capacity):
+                break  # best fit alone has reached the bound
+        return pd.DataFrame(out, columns=["block", "island", "lengths", "population"])
 
     def epoch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -159,7 +155,7 @@ def _pack_blocks(pieces: DataFrame, capacity: int) -> DataFrame:
             yield rows.assign(population=new)[["block", "island", "lengths", "population"]]
 
     state_type = "block long, island int, lengths array<long>, population array<array<int>>"
-    state = stored(pieces.groupBy("block").applyInPandas(lengths_of, "block long, lengths array<long>").mapInPandas(start, state_type), "islands")
+    state = stored(pieces.groupBy("block").applyInPandas(start, state_type), "islands")
     for e in range(EPOCHS):
         if state.where("island > 0").isEmpty():
             break

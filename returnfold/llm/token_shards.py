@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, scratch, shuffles, sliced, table
+from .common import documents, scratch, shuffles, sliced, table, trim
 from .words import WordIds, tokenizer_path
 
 #: Fixed values of the file format.
@@ -159,6 +159,8 @@ def token_rows(docs: DataFrame, path: str, end_id: int | None = None) -> DataFra
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((offsets * 4).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), body.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+        del words
+        trim()
 
     return docs.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
