@@ -25,7 +25,7 @@ take from each other.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,8 +236,11 @@ def _answered(chunk: Chunk, replies: list) -> np.ndarray:
     return np.concatenate([said[b] for b in sorted(said)]) if said else np.empty(0, np.uint8)
 
 
-def removed_bytes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text as bytes, gone): gone is a bit for each byte, set where it goes."""
+def removed_bytes(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """What finish, a function of Arrow batches (doc_id, bytes, gone) to those of schema, makes of each document.
+
+    gone is a bit for each byte of the text, set where it goes.
+    """
     spark, chunks = docs.sparkSession, _store_chunks(docs)
     total, n_chunks = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head()
     buckets = max(1, -(-total // BUCKET_BYTES))
@@ -311,15 +314,15 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
                 for lo in range(0, len(chunk.sizes), 2000):  # a chunk may hold very many short documents
                     part = slice(lo, lo + 2000)
                     spans = list(zip((chunk.ends - chunk.sizes)[part].tolist(), chunk.ends[part].tolist()))
-                    yield pa.record_batch(
+                    yield finish(pa.record_batch(
                         [pa.array([None if i == NO_DOC else i for i in chunk.ids[part].tolist()], pa.int64()), pa.array([chunk.data[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(gone[a:b]).tobytes() for a, b in spans], pa.binary())],
                         ["doc_id", "bytes", "gone"],
-                    )
+                    ))
                 trim()
 
     asked = chunks.join(answers, "chunk", "left").select("chunk", "body", "answers")
     least = listed(asked.mapInArrow(send, "bucket int, chunk long, runs binary").groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, least binary"), "least")
-    return asked.join(least, "chunk", "left").select("body", "answers", "least").mapInArrow(apply, "doc_id long, bytes binary, gone binary")
+    return asked.join(least, "chunk", "left").select("body", "answers", "least").mapInArrow(apply, schema)
 
 
 def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -328,19 +331,19 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     kept_sha256 is of the bytes that stay; of a character that is cut in two, kept has nothing.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw, bits in zip(batch.column("bytes"), batch.column("gone")):
-                data = np.frombuffer(raw.as_py(), np.uint8)
-                gone = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(data)).view(bool)
-                kept = data[~gone].tobytes() if gone.any() else raw.as_py()
-                rows.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, [pa.int64()] * 3 + [pa.string()] * 2)]
-            yield pa.record_batch([batch.column("doc_id"), *columns[: len(names) - 1]], names)
-
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    return removed_bytes(docs).mapInArrow(count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for raw, bits in zip(batch.column("bytes"), batch.column("gone")):
+            data = np.frombuffer(raw.as_py(), np.uint8)
+            gone = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(data)).view(bool)
+            kept = data[~gone].tobytes() if gone.any() else raw.as_py()
+            rows.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, [pa.int64()] * 3 + [pa.string()] * 2)]
+        return pa.record_batch([batch.column("doc_id"), *columns[: len(names) - 1]], names)
+
+    return removed_bytes(docs, count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
