@@ -577,7 +577,7 @@ def _(spark, sf):
 # Chart data.
 
 
-@query("chart_snapshot", f"SELECT series_id, dt, {n6('(g - 1) * 100', 'cumulative', 9)}, {n6('dd * 100', 'drawdown', 9)}, {n6('r * 100', 'daily', 9)} FROM under", digits=9)
+@query("chart_snapshot", f"SELECT series_id, dt, {n6('(g - 1) * 100', 'cumulative')}, {n6('dd * 100', 'drawdown')}, {n6('r * 100', 'daily')} FROM under")
 def _(spark, sf):
     return H.snapshot(returns_by_priority(spark, sf))
 
