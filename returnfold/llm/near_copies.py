@@ -4,8 +4,9 @@ A document is a weighted set: its shingles of SHINGLE words, each with the numbe
 (one shingle of all words for shorter texts). Each shingle sends arrivals of a Poisson process whose
 rate is its weight to random registers; a register keeps the shingle whose arrival was first, and a
 shingle stops once its next arrival is later than all registers. Two documents agree in a register
-with the probability that is their probability Jaccard index. BANDS bands of ROWS registers give
-candidates, and whole texts are compared: documents are linked if the probability Jaccard index of
+with the probability that is their probability Jaccard index. A second sketch takes each shingle once,
+so that there it is the Jaccard index of the shingle sets. BANDS bands of ROWS registers of each
+sketch give candidates, and whole texts are compared: documents are linked if the probability Jaccard index of
 their shingles, or the Jaccard index of their shingle sets, is at least SIMILARITY.
 
 Within a bucket of a band, candidates are compared with its leader, the text with most company in all
@@ -89,15 +90,25 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
     return who.reshape(docs, registers)
 
 
-def band_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of all bands, whether the text has words) of each text."""
+def registers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(registers of weighted shingles, registers of shingle sets, whether the text has words) of each text."""
     doc, h, n = shingles(texts)
-    who = prob_minhash(doc, h, n.astype(np.float64), len(texts), BANDS * ROWS).reshape(len(texts), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(texts), BANDS)).copy()
+    weighted = prob_minhash(doc, h, n.astype(np.float64), len(texts), BANDS * ROWS)
+    again, sets = np.bincount(doc, n > 1, len(texts)) > 0, weighted.copy()
+    if again.any():  # for the others both are one
+        of = again[doc]
+        sets[again] = prob_minhash((np.cumsum(again) - 1)[doc[of]], h[of], np.ones(of.sum()), again.sum(), BANDS * ROWS)
+    return weighted, sets, np.bincount(doc, minlength=len(texts)) > 0
+
+
+def band_keys(who: np.ndarray) -> np.ndarray:
+    """Keys of all bands of each text, from its registers."""
+    who = who.reshape(len(who), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(who), BANDS)).copy()
     with np.errstate(over="ignore"):
         for r in range(ROWS):
             key = mixed(key * _STEP + who[:, :, r])
-    return key.view(np.int64), np.bincount(doc, minlength=len(texts)) > 0
+    return key.view(np.int64)
 
 
 def similarities(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +134,19 @@ def similarities(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, h2, keys) of (doc_id, text): two hashes of the text, and its band keys (none without words)."""
+    """(doc_id, h, h2, keys) of (doc_id, text): two hashes of the text, and its band keys (none without words).
+
+    The keys of the weighted shingles come first, then those of the shingle set, null where they are the same.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text", 2 << 20):
-                keys, full = band_keys(part.column("text"))
-                offsets = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
-                yield pa.record_batch([part.column("doc_id"), part.column("h"), part.column("h2"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))], ["doc_id", "h", "h2", "keys"])
+                weighted, sets, full = registers(part.column("text"))
+                one, two = band_keys(weighted[full]), band_keys(sets[full])
+                keys = pa.array(np.hstack([one, two]).ravel(), mask=np.hstack([np.zeros(one.shape, bool), one == two]).ravel())
+                offsets = np.concatenate([[0], np.cumsum(np.where(full, 2 * BANDS, 0))]).astype(np.int32)
+                yield pa.record_batch([part.column("doc_id"), part.column("h"), part.column("h2"), pa.ListArray.from_arrays(pa.array(offsets), keys)], ["doc_id", "h", "h2", "keys"])
                 trim()
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
@@ -230,7 +246,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = stored(sketches(docs), "sketches")
     least = made.groupBy("h", "h2").agg(F.min("doc_id").alias("node"))
-    bands = made.join(least, ["h", "h2"]).where("doc_id = node").groupBy("node").agg(F.min(F.struct("h", "h2", "keys")).alias("s")).select("node", F.posexplode("s.keys").alias("band", "key"))
+    bands = made.join(least, ["h", "h2"]).where("doc_id = node").groupBy("node").agg(F.min(F.struct("h", "h2", "keys")).alias("s")).select("node", F.posexplode("s.keys").alias("at", "key")).where("key is not null").select("node", F.pmod("at", F.lit(BANDS)).alias("band"), "key")
     nodes = docs.join(least.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = nodes.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if _repeats(made) else nodes
     linked, of = links(texts, bands, similarity)

@@ -272,6 +272,15 @@ def test_near_copies_equal_brute_force(spark, docs, none):
     assert near_copies.near_classes(none).count() == 0
 
 
+def test_near_copies_that_differ_in_repetitions_alone(spark):
+    rows = [(2 * k, prose(9000 + k, 120)) for k in range(12)]
+    rows += [(i + 1, t + " " + " ".join(t.split()[:10] * 60)) for i, t in rows]
+    plain, weighted = near_copies.similarities(pa.array([t for _, t in rows[:12]]), pa.array([t for _, t in rows[12:]]))
+    assert plain.min() >= near_copies.SIMILARITY and weighted.max() < 0.5
+    got = near_copies.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(4)
     a, b = rng.integers(1, 6, 200).astype(float), rng.integers(1, 6, 200).astype(float)
