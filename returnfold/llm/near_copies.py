@@ -9,12 +9,11 @@ so that there it is the Jaccard index of the shingle sets. BANDS bands of ROWS r
 sketch give candidates, and whole texts are compared: documents are linked if the probability Jaccard index of
 their shingles, or the Jaccard index of their shingle sets, is at least SIMILARITY.
 
-Within a bucket of a band, candidates are compared with its leader, the text with most company in all
-its buckets, not with each other. A few bands come first, which join most of a large class; later
-turns compare one text of each class that a bucket still holds. In the last turn, a leader's class is
-done in its bucket and the next round takes four times as many leaders, until no bucket holds two
-classes that have not met; buckets that are still crowded after its first round are split by the
-other buckets that their texts share. Equal texts are one text throughout.
+Within a bucket of a band, candidates are first compared with its leader, the text with most company
+in all its buckets. A few bands come first, which join most of a large class; later turns compare one
+text of each class that a bucket still holds. Then come all pairs of texts that share a bucket and
+are of different classes: their registers are compared, and their texts if enough of these agree,
+until every such pair was compared or its classes were joined. Equal texts are one text throughout.
 """
 
 from __future__ import annotations
@@ -34,10 +33,12 @@ from .syncmers import mixed
 from .words import strings, word_codes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 6
-#: Bands taken in turn (first, end); the last turn goes on until no bucket holds two classes that have not met.
+#: Bands taken in turn (first, end) for comparisons with leaders.
 TURNS = ((0, 2), (2, 8), (0, BANDS))
-#: After a round of the last turn, buckets of more texts are split by the other buckets that their texts share.
-CROWD = 16
+#: Texts are compared if so much of SIMILARITY of the registers of a sketch agree; at 0.8 two texts fall short with probability 5e-9.
+AGREE = 0.75
+#: Buckets of more texts are cut into blocks for the comparison of registers, of BLOCK texts each.
+CROWD, BLOCK = 16, 1000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,7 +135,7 @@ def similarities(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, h2, keys) of (doc_id, text): two hashes of the text, and its band keys (none without words).
+    """(doc_id, h, h2, keys, sketch) of (doc_id, text): two hashes of the text, its band keys (none without words) and a byte of each register.
 
     The keys of the weighted shingles come first, then those of the shingle set, null where they are the same.
     """
@@ -146,11 +147,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 one, two = band_keys(weighted[full]), band_keys(sets[full])
                 keys = pa.array(np.hstack([one, two]).ravel(), mask=np.hstack([np.zeros(one.shape, bool), one == two]).ravel())
                 offsets = np.concatenate([[0], np.cumsum(np.where(full, 2 * BANDS, 0))]).astype(np.int32)
-                yield pa.record_batch([part.column("doc_id"), part.column("h"), part.column("h2"), pa.ListArray.from_arrays(pa.array(offsets), keys)], ["doc_id", "h", "h2", "keys"])
+                short = pa.array([row.tobytes() for row in (np.hstack([weighted, sets]) >> np.uint64(56)).astype(np.uint8)], pa.binary())
+                yield pa.record_batch([part.column("doc_id"), part.column("h"), part.column("h2"), pa.ListArray.from_arrays(pa.array(offsets), keys), short], ["doc_id", "h", "h2", "keys", "sketch"])
                 trim()
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    return hashed.mapInArrow(sketch, "doc_id long, h long, h2 long, keys array<long>")
+    return hashed.mapInArrow(sketch, "doc_id long, h long, h2 long, keys array<long>, sketch binary")
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,25 +177,20 @@ def _one_of_each_class(members: DataFrame) -> DataFrame:
     return stored(one.join(several, "key", "left_semi"), "members")
 
 
-def _leaders(members: DataFrame, most: int) -> DataFrame:
-    """(key, leader, class): of each bucket the texts with most company, `most` of them."""
-    rank = F.struct("company", -F.col("node"), "class")
-    if most == 1:
-        found = members.groupBy("key").agg(F.max(rank).alias("r"))
-    else:
-        order = W.partitionBy("key").orderBy(F.desc("company"), "node")
-        found = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("key", rank.alias("r"))
-    return found.select("key", (-F.col("r.col2")).alias("leader"), F.col("r.class").alias("class"))
+def _leaders(members: DataFrame) -> DataFrame:
+    """(key, leader): of each bucket the text with most company."""
+    return members.groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("r")).select("key", (-F.col("r.col2")).alias("leader"))
 
 
-def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, short: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Linked pairs (a, b), enough to join each class, and the classes (node, component) of linked texts.
 
-    bands has (node, band, key), a row for each text and band.
+    bands has (node, band, key), a row for each text and band; short has (node, sketch), made from texts if not given.
 
     The first bands join most of a large class to its most central texts, so that in later ones its
     members needn't be compared again.
     """
+    short = sketches(texts).select(F.col("doc_id").alias("node"), "sketch") if short is None else short
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(bands.join(sizes, "key"), "buckets")
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
@@ -203,36 +200,90 @@ def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY) ->
     def classed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("class", F.col("node")) if of is None else rows.join(of, "node", "left").select("key", "node", "company", F.coalesce("component", "node").alias("class"))
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        if of is None:
+            return pairs
+        one, two = (of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").drop("of_a", "of_b")
+
+    def meet(met: DataFrame) -> None:
+        nonlocal found, tested, of
+        met = stored(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
+        tested = met if tested is None else tested.unionByName(met)
+        near = stored(compare(met, texts).where(F.col("similarity") >= similarity).select("a", "b"), "near")
+        if not near.isEmpty():
+            found = near if found is None else found.unionByName(near)
+            of = components(found)
+
     for first, end in TURNS:
-        last = (first, end) == TURNS[-1]
-        members, most = _one_of_each_class(classed(shared.where(F.col("band").between(first, end - 1)).select("key", "node", "company"))), 1
-        while not members.isEmpty():
-            leaders = stored(_leaders(members, most), "leaders")
-            met = members.join(leaders.select("key", "leader"), "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-            met = stored(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
-            tested = met if tested is None else tested.unionByName(met)
-            near = stored(compare(met, texts).where(F.col("similarity") >= similarity).select("a", "b"), "near")
-            if not near.isEmpty():
-                found = near if found is None else found.unionByName(near)
-                of = components(found)
-            if not last:
-                break
-            rest = members.join(leaders.select("key", "class").distinct(), ["key", "class"], "left_anti").drop("class")
-            members, most = _one_of_each_class(classed(_split(rest, shared) if most == 1 else rest)), most * 4
+        members = _one_of_each_class(classed(shared.where(F.col("band").between(first, end - 1)).select("key", "node", "company")))
+        if not members.isEmpty():
+            pairs = members.join(_leaders(members), "key").where("node <> leader")
+            meet(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    left = _alike(classed(shared.select("key", "node", "company")), short, similarity)
+    left, most = stored(left if tested is None else left.join(tested, ["a", "b"], "left_anti"), "alike"), 1
+    while not (left := stored(apart(left), "alike")).isEmpty():
+        order = W.partitionBy("a").orderBy(F.desc("agree"), "b")  # the likeliest first: what they join needn't be compared
+        now = left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("a", "b") if most <= 16 else left.select("a", "b")
+        meet(now)
+        left, most = left.join(tested, ["a", "b"], "left_anti"), most * 4
     none = bands.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
     return (none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))) if found is None else (found, of)
 
 
-def _split(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, node, company): buckets of more than CROWD texts become one for each pair of buckets that texts share.
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many registers each of sketches a agrees with each of b, the more of both kinds."""
+    kinds = []
+    for k in (0, 1):
+        one, two = (np.ascontiguousarray(x[:, k * BANDS * ROWS : (k + 1) * BANDS * ROWS].T) for x in (a, b))
+        total = np.zeros((len(a), len(b)), np.uint8)
+        for x, y in zip(one, two):
+            total += x[:, None] == y[None, :]
+        kinds.append(total)
+    return np.maximum(*kinds)
+
+
+def _rows(column) -> np.ndarray:
+    """Sketches of an Arrow column, one a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * BANDS * ROWS)
 
-    Texts that are alike share several buckets; those that merely have a passage in common seldom do.
+
+def _alike(members: DataFrame, short: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, agree): pairs that share a bucket, are of different classes and whose registers agree enough; members has key, node, class.
+
+    Small buckets are joined with themselves. In others, the texts outside the largest class meet all, block by block.
     """
-    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
-    calm = members.join(crowded, "key", "left_anti").select("key", "node", "company")
-    other = shared.select("node", F.col("key").alias("other"))
-    pairs = members.join(crowded, "key", "left_semi").join(other, "node").where("key <> other")
-    return calm.unionByName(pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "company").distinct())
+    least = AGREE * similarity * BANDS * ROWS
+    kinds = members.groupBy("key", "class").agg(F.count("*").alias("n"))
+    sizes = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "class")).alias("m")).where("kinds > 1")
+    sizes = sizes.select("key", "n", F.col("m.class").alias("main"), (F.col("n") - F.col("m.n")).alias("others"))
+    members = stored(members.join(sizes, "key").join(short, "node").select("key", "node", "class", "sketch", "n", "main", "others"), "apart")
+    calm, crowded = members.where(F.col("n") <= CROWD), members.where(F.col("n") > CROWD)
+    one, two = (calm.select("key", F.col("node").alias(c), F.col("class").alias(f"of_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_rows(batch.column("sketch_a")) == _rows(batch.column("sketch_b"))).reshape(batch.num_rows, 2, BANDS * ROWS).sum(2).max(1)
+            at = np.flatnonzero(same >= least)
+            yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at), pa.array(same[at].astype(np.int32))], ["a", "b", "agree"])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agree": pa.array([], pa.int32())})
+        same = agreeing(_rows(left.column("sketch")), _rows(right.column("sketch")))
+        a, b, ca, cb = (np.asarray(x.column(c)) for c in ("node", "class") for x in (left, right))
+        i, j = np.nonzero((same >= least) & (ca[:, None] != cb[None, :]))
+        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "agree": same[i, j].astype(np.int32)})
+
+    near = one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(pairs, "a long, b long, agree int")
+    cuts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    deal = lambda c: F.pmod(F.xxhash64("node"), cuts(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), cuts(c) - 1))
+    left = crowded.where(F.col("class") != F.col("main")).withColumn("i", deal("others")).withColumn("j", each("n"))
+    right = crowded.withColumn("j", deal("n")).withColumn("i", each("others"))
+    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "sketch"))).groupBy("key", "i", "j") for x in (left, right)]
+    far = grouped[0].cogroup(grouped[1]).applyInArrow(block, "a long, b long, agree int")
+    return near.unionByName(far).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -249,7 +300,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bands = made.join(least, ["h", "h2"]).where("doc_id = node").groupBy("node").agg(F.min(F.struct("h", "h2", "keys")).alias("s")).select("node", F.posexplode("s.keys").alias("at", "key")).where("key is not null").select("node", F.pmod("at", F.lit(BANDS)).alias("band"), "key")
     nodes = docs.join(least.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = nodes.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if _repeats(made) else nodes
-    linked, of = links(texts, bands, similarity)
+    short = made.join(least, ["h", "h2"]).where("doc_id = node").groupBy("node").agg(F.min(F.struct("h", "h2", "sketch")).alias("s")).select("node", "s.sketch")
+    linked, of = links(texts, bands, similarity, short)
     n = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     return made.select("doc_id", "h", "h2").join(least, ["h", "h2"], "left").join(of, "node", "left").join(n, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

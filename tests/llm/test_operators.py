@@ -281,6 +281,17 @@ def test_near_copies_that_differ_in_repetitions_alone(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: i // 2 * 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("others", [0, 30])
+def test_near_copies_within_crowded_buckets_and_beside_representatives(spark, others):
+    long = prose(7000, 400).split()
+    rows = [(i, " ".join(long[15 * k : 15 * k + 200])) for i, k in ((1, 0), (2, 1), (4, 2), (3, 3), (7, 4), (5, 5))]  # a chain: each like the next alone
+    rows += [(100 + k, prose(7100 + k, 100)) for k in range(others)] + [(200, prose(7100, 100) + " end"), (0, prose(7200, 100))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = texts.select(F.col("doc_id").alias("node"), F.lit(25).alias("band"), F.lit(1).cast("long").alias("key"))
+    got = {r["node"]: r["component"] for r in near_copies.links(texts, bands)[1].collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4, 5, 7), 1), **(dict.fromkeys((100, 200), 100) if others else {})}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(4)
     a, b = rng.integers(1, 6, 200).astype(float), rng.integers(1, 6, 200).astype(float)
