@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from a bounded sample, by two-means until no list of the sample is longer than its
-share, so lists are balanced. Every vector goes to the list of its nearest centroid; one near a
+share, so lists are balanced; equal vectors of the sample count once, so they make one list. Every vector goes to the list of its nearest centroid; one near a
 boundary is also put in up to REPLICAS - 1 others, whose centroids are at most REACH times as far and
 not nearer to a chosen centroid than to the vector. Centroids are found by best-first walks on a
 neighbour graph that is kept in memory. A query visits lists in order of their centroids' distances
-as long as these are at most PRUNE times the least one, PROBES lists at most.
+as long as these are at most PRUNE times the least one, PROBES lists at most, or one in PROBE_SHARE
+where that is more.
 
 Lists are cut into blocks of about LIST_ROWS vectors, and the queries of a list into blocks too, so a
 list that holds a third of all vectors is many small tasks. Scores are cosines in double precision.
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from .common import stored, table
 
 SAMPLE, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 4096, 4000, 500
-REPLICAS, REACH, PROBES, PRUNE, DEGREE, BEAM = 3, 1.15, 64, 1.6, 16, 96
+REPLICAS, REACH, PROBES, PROBE_SHARE, PRUNE, DEGREE, BEAM = 3, 1.15, 64, 4, 1.6, 16, 96
 
 
 def usable(vector: str) -> Column:
@@ -43,6 +44,7 @@ def unit(vectors) -> np.ndarray:
 
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
     """Unit centroids: the largest part of the sample is split in two by the direction between two means, at its median."""
+    sample = _distinct(sample)
     rng, parts = np.random.default_rng(seed), [np.arange(len(sample))]
     while len(parts) < min(lists, len(sample)):
         parts.sort(key=len)
@@ -61,7 +63,12 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndar
         parts += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
     means = np.stack([sample[p].mean(0) for p in parts]) if len(sample) else np.zeros((0, 1))
     means = means[np.linalg.norm(means, axis=1) > 1e-9] if len(means) else means
-    return unit(means) if len(means) else sample[:1]
+    return _distinct(unit(means)) if len(means) else sample[:1]
+
+
+def _distinct(vectors: np.ndarray) -> np.ndarray:
+    """vectors, in their order, without those that equal an earlier one to six places."""
+    return vectors[np.sort(np.unique(np.round(vectors, 6) + 0.0, axis=0, return_index=True)[1])] if len(vectors) else vectors
 
 
 class CentroidGraph:
@@ -119,7 +126,8 @@ def lists_of(graph: CentroidGraph, vectors: np.ndarray) -> list[list[int]]:
 
 def probes_of(graph: CentroidGraph, vectors: np.ndarray) -> list[list[int]]:
     """The lists that each query visits."""
-    far, ids = graph.search(vectors, min(PROBES, len(graph.centroids)))
+    lists = len(graph.centroids)
+    far, ids = graph.search(vectors, min(max(PROBES, lists // PROBE_SHARE), lists))
     return [[int(c) for c, d in zip(near, dist) if d <= PRUNE * dist[0] + 1e-9] for dist, near in zip(far, ids)]
 
 

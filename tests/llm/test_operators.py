@@ -387,3 +387,19 @@ def test_vector_search(spark):
     assert hit / total >= 0.9
     assert [i for i, _ in got[0]] == [1000, 1001, 1002, 1003, 1004]  # ties go to the smaller id
     assert vector_search.search(df.where("false"), df).count() == 0
+
+
+def test_equal_vectors_make_one_list():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(6000, 16))
+    rows[::3] = rows[0]
+    vectors = vector_search.unit(rows)
+    graph = vector_search.CentroidGraph(vector_search.balanced_centroids(vectors, 600))
+    assert len(np.unique(np.round(graph.centroids, 6), axis=0)) == len(graph.centroids) > 400
+    near = vector_search.unit(rows[0] + rng.normal(size=(50, 16)) * 0.5)
+    home = vector_search.lists_of(graph, vectors[:1])[0][0]
+    probes = vector_search.probes_of(graph, near)
+    assert all(home in p for p in probes)
+    lists = vector_search.lists_of(graph, vectors[1::3])
+    found = [bool(set(lists[i]) & set(p)) for q, p in zip(near, probes) for i in np.argsort(-(vectors[1::3] @ q))[:5]]
+    assert np.mean(found) >= 0.9
