@@ -9,11 +9,12 @@ so that there it is the Jaccard index of the shingle sets. BANDS bands of ROWS r
 sketch give candidates, and whole texts are compared: documents are linked if the probability Jaccard index of
 their shingles, or the Jaccard index of their shingle sets, is at least SIMILARITY.
 
-Within a bucket of a band, candidates are first compared with its leader, the text with most company
-in all its buckets. A few bands come first, which join most of a large class; later turns compare one
-text of each class that a bucket still holds. Then come all pairs of texts that share a bucket and
-are of different classes: their registers are compared, and their texts if enough of these agree,
-until every such pair was compared or its classes were joined. Equal texts are one text throughout.
+Every pair of texts that shares a bucket is compared, unless links have joined the two before; what
+costs little comes first. Each text meets the leader with most company among the leaders of its
+buckets, which joins most of a large class; then one text of each class that a bucket holds meets the
+bucket's leader. In buckets that hold several classes even then, the texts outside the largest class
+meet all others, in blocks of bounded size from which only links come back. A pair's registers are
+compared before its texts. Equal texts are one text throughout.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from .common import sliced, stored, table, trim
 from .components import components
@@ -33,12 +34,10 @@ from .syncmers import mixed
 from .words import strings, word_codes
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 6
-#: Bands taken in turn (first, end) for comparisons with leaders.
-TURNS = ((0, 2), (2, 8), (0, BANDS))
-#: Texts are compared if so much of SIMILARITY of the registers of a sketch agree; at 0.8 two texts fall short with probability 5e-9.
-AGREE = 0.75
-#: Buckets of more texts are cut into blocks for the comparison of registers, of BLOCK texts each.
-CROWD, BLOCK = 16, 1000
+#: Texts are compared if so much of SIMILARITY of the registers of a sketch agree; at 0.8 two texts fall short with probability 1.2e-6.
+AGREE = 0.8
+#: Buckets of more texts are compared within tasks, in blocks of about BLOCK texts or BLOCK_BYTES of text; smaller ones as pairs.
+CROWD, BLOCK, BLOCK_BYTES = 16, 1000, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,202 +111,283 @@ def band_keys(who: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similarities(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard index of the shingle sets, probability Jaccard index) of each pair of texts."""
-    (da, ha, na), (db, hb, nb) = shingles(a), shingles(b)
-    with np.errstate(over="ignore"):
-        ka, kb = (mixed(h + mixed(d.astype(np.uint64) * _STEP + np.uint64(1))) for d, h in ((da, ha), (db, hb)))
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    ca, cb, both = np.bincount(da, minlength=len(a)), np.bincount(db, minlength=len(a)), np.bincount(da[ia], minlength=len(a))
-    plain = both / np.maximum(ca + cb - both, 1)
-    weighted = plain.copy()
-    repeated = (np.bincount(da, na, len(a)) > ca) | (np.bincount(db, nb, len(a)) > cb)
-    for p in np.flatnonzero(repeated & (both > 0)):
-        of = np.flatnonzero(da[ia] == p)
-        wa, wb = na[da == p].astype(float), nb[db == p].astype(float)
-        sa, sb = na[ia[of]].astype(float), nb[ib[of]].astype(float)
-        only_a, only_b, total = wa.sum() - sa.sum(), wb.sum() - sb.sum(), 0.0
-        for ratio in np.unique(sa / sb):
-            here = sa / sb == ratio
-            total += sa[here].sum() / (only_a + ratio * only_b + np.maximum(sa, sb * ratio).sum())
-        weighted[p] = total
+def pair_similarities(sets: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard index of the shingle sets, probability Jaccard index) of texts ia[p] and ib[p]; sets is what shingles() gave for them."""
+    doc, h, n = sets
+    size = np.bincount(doc, minlength=texts)
+    begin, repeated = np.cumsum(size) - size, np.bincount(doc, n, texts) > size
+    plain, weighted = np.zeros(len(ia)), np.zeros(len(ia))
+    cuts, at = np.cumsum(size[ia] + size[ib]), 0
+    while at < len(ia):  # some hundred thousand shingles at a time
+        to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + 400_000, side="right")))
+        part, pairs = slice(at, to), to - at
+        keys, rows = [], []
+        for side in (ia[part], ib[part]):
+            pair = np.repeat(np.arange(pairs), size[side])
+            ends = np.cumsum(size[side])
+            row = np.arange(ends[-1]) + np.repeat(begin[side] - (ends - size[side]), size[side])
+            with np.errstate(over="ignore"):
+                keys.append(mixed(h[row] + mixed(pair.astype(np.uint64) * _STEP + np.uint64(1))))
+            rows.append((pair, row))
+        _, ka, kb = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+        (pa_, ra), (pb, rb) = rows
+        both = np.bincount(pa_[ka], minlength=pairs)
+        plain[part] = both / np.maximum(size[ia[part]] + size[ib[part]] - both, 1)
+        weighted[part] = plain[part]
+        for p in np.flatnonzero((repeated[ia[part]] | repeated[ib[part]]) & (both > 0)):
+            of = np.flatnonzero(pa_[ka] == p)
+            wa, wb = n[ra[pa_ == p]].astype(float), n[rb[pb == p]].astype(float)
+            sa, sb = n[ra[ka[of]]].astype(float), n[rb[kb[of]]].astype(float)
+            only_a, only_b, total = wa.sum() - sa.sum(), wb.sum() - sb.sum(), 0.0
+            for ratio in np.unique(sa / sb):
+                here = sa / sb == ratio
+                total += sa[here].sum() / (only_a + ratio * only_b + np.maximum(sa, sb * ratio).sum())
+            weighted[at + p] = total
+        at = to
     return plain, weighted
 
 
+def similarities(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard index of the shingle sets, probability Jaccard index) of each pair of texts; a text that is in several pairs is cut up once."""
+    coded = pa.chunked_array([a, b]).combine_chunks().dictionary_encode()
+    code = np.asarray(coded.indices).astype(np.int64)
+    return pair_similarities(shingles(coded.dictionary), len(coded.dictionary), code[: len(a)], code[len(a) :])
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, h2, keys, sketch) of (doc_id, text): two hashes of the text, its band keys (none without words) and a byte of each register.
+    """docs (with text) with keys, its band keys (none without words), and sketch, a byte of each register, in place of text.
 
-    The keys of the weighted shingles come first, then those of the shingle set, null where they are the same.
+    The keys of the weighted shingles come first, then those of the shingle set, null where they are the
+    same. Where all are the same, keys and sketch have the first half alone.
     """
+    others = [c for c in docs.columns if c != "text"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text", 2 << 20):
                 weighted, sets, full = registers(part.column("text"))
                 one, two = band_keys(weighted[full]), band_keys(sets[full])
-                keys = pa.array(np.hstack([one, two]).ravel(), mask=np.hstack([np.zeros(one.shape, bool), one == two]).ravel())
-                offsets = np.concatenate([[0], np.cumsum(np.where(full, 2 * BANDS, 0))]).astype(np.int32)
-                short = pa.array([row.tobytes() for row in (np.hstack([weighted, sets]) >> np.uint64(56)).astype(np.uint8)], pa.binary())
-                yield pa.record_batch([part.column("doc_id"), part.column("h"), part.column("h2"), pa.ListArray.from_arrays(pa.array(offsets), keys), short], ["doc_id", "h", "h2", "keys", "sketch"])
+                twice = (one != two).any(1)
+                many = np.zeros(len(full), np.int64)
+                many[full] = np.where(twice, 2 * BANDS, BANDS)
+                used = np.hstack([np.ones(one.shape, bool), np.broadcast_to(twice[:, None], two.shape)])
+                keys = pa.array(np.hstack([one, two])[used], mask=np.hstack([np.zeros(one.shape, bool), one == two])[used])
+                short = [(w if (w == s).all() else np.concatenate([w, s])).tobytes() for w, s in zip(*((x >> np.uint64(56)).astype(np.uint8) for x in (weighted, sets)))]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+                yield pa.record_batch([*(part.column(c) for c in others), pa.ListArray.from_arrays(offsets, keys), pa.array(short, pa.binary())], [*others, "keys", "sketch"])
                 trim()
 
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    return hashed.mapInArrow(sketch, "doc_id long, h long, h2 long, keys array<long>, sketch binary")
+    schema = T.StructType([docs.schema[c] for c in others]).add("keys", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
+    return docs.mapInArrow(sketch, schema)
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs of doc_id, the larger of both indices; texts has one row for each doc_id."""
+def compare(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of pairs (a, b) of doc_id that are linked: one of both indices is at least similarity. texts has one row for each doc_id."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text_a", 1 << 20):
-                plain, weighted = similarities(part.column("text_a"), part.column("text_b"))
-                yield pa.record_batch([part.column("a"), part.column("b"), pa.array(np.maximum(plain, weighted))], ["a", "b", "similarity"])
+                near = np.flatnonzero(np.maximum(*similarities(part.column("text_a"), part.column("text_b"))) >= similarity)
+                yield part.select(["a", "b"]).take(pa.array(near))
                 trim()
 
-    known = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    one, two = (known.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(look, "a long, b long, similarity double")
+    one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(look, pairs.select("a", "b").schema)
 
 
-def _one_of_each_class(members: DataFrame) -> DataFrame:
-    """(key, node, class, company): the text with most company of each class, in buckets that hold several classes."""
-    one = members.groupBy("key", "class").agg(F.max(F.struct("company", -F.col("node"))).alias("r")).select("key", (-F.col("r.col2")).alias("node"), "class", F.col("r.company").alias("company"))
-    several = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return stored(one.join(several, "key", "left_semi"), "members")
+def _rows(column) -> np.ndarray:
+    """Sketches of an Arrow column, one a row: the registers of the weighted shingles, then those of the sets."""
+    one = BANDS * ROWS
+    return np.frombuffer(b"".join(x if len(x) > one else x + x for x in column.to_pylist()), np.uint8).reshape(len(column), 2 * one)
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """(key, leader): of each bucket the text with most company."""
-    return members.groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("r")).select("key", (-F.col("r.col2")).alias("leader"))
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many registers each of sketches a agrees with each of b, the more of both kinds."""
+    one, kinds = BANDS * ROWS, []
+    plain = (a[:, :one] == a[:, one:]).all() and (b[:, :one] == b[:, one:]).all()
+    for k in (0,) if plain else (0, 1):
+        total = np.zeros((len(a), len(b)), np.uint8)
+        for x, y in zip(*(np.ascontiguousarray(s[:, k * one : (k + 1) * one].T) for s in (a, b))):
+            total += x[:, None] == y[None, :]
+        kinds.append(total)
+    return kinds[0] if plain else np.maximum(*kinds)
 
 
-def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, short: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Linked pairs (a, b), enough to join each class, and the classes (node, component) of linked texts.
+def likely(pairs: DataFrame, short: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of pairs (a, b) whose registers agree enough; short has (node, sketch)."""
+    least = AGREE * similarity * BANDS * ROWS
 
-    bands has (node, band, key), a row for each text and band; short has (node, sketch), made from texts if not given.
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 4000) for k in range(0, batch.num_rows, 4000)):
+                same = (_rows(part.column("sketch_a")) == _rows(part.column("sketch_b"))).reshape(part.num_rows, 2, BANDS * ROWS).sum(2).max(1)
+                yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(same >= least)))
 
-    The first bands join most of a large class to its most central texts, so that in later ones its
-    members needn't be compared again.
-    """
-    short = sketches(texts).select(F.col("doc_id").alias("node"), "sketch") if short is None else short
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(bands.join(sizes, "key"), "buckets")
-    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    shared = stored(shared.join(company, "node").select("key", "band", "node", "company"), "company")
-    found = tested = of = None
-
-    def classed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("class", F.col("node")) if of is None else rows.join(of, "node", "left").select("key", "node", "company", F.coalesce("component", "node").alias("class"))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        if of is None:
-            return pairs
-        one, two = (of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").drop("of_a", "of_b")
-
-    def meet(met: DataFrame) -> None:
-        nonlocal found, tested, of
-        met = stored(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), "met")
-        tested = met if tested is None else tested.unionByName(met)
-        near = stored(compare(met, texts).where(F.col("similarity") >= similarity).select("a", "b"), "near")
-        if not near.isEmpty():
-            found = near if found is None else found.unionByName(near)
-            of = components(found)
-
-    for first, end in TURNS:
-        members = _one_of_each_class(classed(shared.where(F.col("band").between(first, end - 1)).select("key", "node", "company")))
-        if not members.isEmpty():
-            pairs = members.join(_leaders(members), "key").where("node <> leader")
-            meet(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
-    left = _alike(classed(shared.select("key", "node", "company")), short, similarity)
-    left, most = stored(left if tested is None else left.join(tested, ["a", "b"], "left_anti"), "alike"), 1
-    while not (left := stored(apart(left), "alike")).isEmpty():
-        order = W.partitionBy("a").orderBy(F.desc("agree"), "b")  # the likeliest first: what they join needn't be compared
-        now = left.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("a", "b") if most <= 16 else left.select("a", "b")
-        meet(now)
-        left, most = left.join(tested, ["a", "b"], "left_anti"), most * 4
-    none = bands.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    return (none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))) if found is None else (found, of)
+    one, two = (short.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(look, pairs.select("a", "b").schema)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many registers each of sketches a agrees with each of b, the more of both kinds."""
-    kinds = []
-    for k in (0, 1):
-        one, two = (np.ascontiguousarray(x[:, k * BANDS * ROWS : (k + 1) * BANDS * ROWS].T) for x in (a, b))
-        total = np.zeros((len(a), len(b)), np.uint8)
-        for x, y in zip(one, two):
-            total += x[:, None] == y[None, :]
-        kinds.append(total)
-    return np.maximum(*kinds)
+def _forest(a: list, b: list) -> list[int]:
+    """Places of those pairs (a, b) that join what the earlier ones have not joined."""
+    up: dict = {}
 
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
 
-def _rows(column) -> np.ndarray:
-    """Sketches of an Arrow column, one a row."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * BANDS * ROWS)
+    out = []
+    for k, (x, y) in enumerate(zip(a, b)):
+        x, y = root(x), root(y)
+        if x != y:
+            up[y] = x
+            out.append(k)
+    return out
 
 
-def _alike(members: DataFrame, short: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, agree): pairs that share a bucket, are of different classes and whose registers agree enough; members has key, node, class.
+def _meet_in_blocks(crowded: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different classes within large buckets, enough to join what is linked.
 
-    Small buckets are joined with themselves. In others, the texts outside the largest class meet all, block by block.
+    crowded has key, node, class, keys, sketch, text, n, size and of others, those outside the bucket's
+    largest class main, their number and size. They meet all, block by block; blocks are bounded in rows
+    and bytes, a text is cut up once a block, and only links leave it.
     """
     least = AGREE * similarity * BANDS * ROWS
-    kinds = members.groupBy("key", "class").agg(F.count("*").alias("n"))
-    sizes = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "class")).alias("m")).where("kinds > 1")
-    sizes = sizes.select("key", "n", F.col("m.class").alias("main"), (F.col("n") - F.col("m.n")).alias("others"))
-    members = stored(members.join(sizes, "key").join(short, "node").select("key", "node", "class", "sketch", "n", "main", "others"), "apart")
+    node = crowded.schema["node"].dataType.simpleString()
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        a, b = ([x.column(c).to_pylist() for c in ("node", "class", "keys")] for x in (left, right))
+        none = pa.table({c: pa.array([], left.schema.field("node").type) for c in "ab"})
+        if not (a[0] and b[0]):
+            return none
+        key, main = left.column("key")[0].as_py(), left.column("main")[0].as_py()
+        number = {c: k for k, c in enumerate({*a[1], *b[1]})}
+        ca, cb = (np.array([number[c] for c in x[1]]) for x in (a, b))
+        i, j = np.nonzero((agreeing(_rows(left.column("sketch")), _rows(right.column("sketch"))) >= least) & (ca[:, None] != cb[None, :]))
+        ka, kb = ([frozenset(k) for k in x[2]] for x in (a, b))
+        # two others meet twice, and a pair may share several buckets: it counts once, in the least of these
+        own = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())) if (b[1][y] == main or a[0][x] < b[0][y]) and min(ka[x] & kb[y]) == key]
+        if not own:
+            return none
+        i, j = i[own], j[own]
+        ti, i = np.unique(i, return_inverse=True)
+        tj, j = np.unique(j, return_inverse=True)
+        texts = pa.chunked_array([t.column("text").take(pa.array(x)).combine_chunks() for t, x in ((left, ti), (right, tj))]).combine_chunks()
+        near = np.flatnonzero(np.maximum(*pair_similarities(shingles(texts), len(texts), i, j + len(ti))) >= similarity)
+        i, j = ti[i[near]], tj[j[near]]
+        some = _forest([a[1][x] for x in i], [b[1][y] for y in j])
+        trim()
+        return pa.table({"a": left.column("node").take(pa.array(i[some])), "b": right.column("node").take(pa.array(j[some]))})
+
+    cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+    all_, others = cuts("n", "size"), cuts("others", "others_size")
+    deal = lambda most: F.pmod(F.xxhash64("node"), most).cast("int")
+    each = lambda most: F.explode(F.sequence(F.lit(0), most - 1))
+    left = crowded.where(F.col("class") != F.col("main")).withColumn("i", deal(others)).withColumn("j", each(all_))
+    right = crowded.withColumn("j", deal(all_)).withColumn("i", each(others))
+    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "main", "keys", "sketch", "text"))).groupBy("key", "i", "j") for x in (left, right)]
+    return grouped[0].cogroup(grouped[1]).applyInArrow(block, f"a {node}, b {node}")
+
+
+def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, short: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Linked pairs (a, b), enough to join each class, and the classes (node, component) of the texts that share a bucket.
+
+    texts has doc_id, named node in the others, and text; rows that share a doc_id hold the same text. bands
+    has (node, key), a row for each text and band; short has (node, sketch), made from texts if not given.
+    """
+    short = sketches(texts.withColumnRenamed("doc_id", "node")).select("node", "sketch") if short is None else short
+    sizes = stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    mates = stored(bands.select("node", "key").join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company"), F.collect_list("key").alias("keys")), "mates")
+    mate = mates.select("node")
+    once = texts.groupBy("doc_id").agg(F.first("text").alias("text"))  # first, so that copies of one text meet in partial sums
+    texts = stored(once.join(mate.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "candidates")
+    short = stored(short.join(mate, "node", "left_semi"), "short")
+    each = mates.select("node", "company", F.explode("keys").alias("key"))
+    first = F.max(F.struct("company", "node")).alias("r")
+    leaders = stored(each.groupBy("key").agg(first).select("key", F.col("r.company").alias("rank"), F.col("r.node").alias("leader")), "leaders")
+    of = mates.select("node", F.col("node").alias("class"))
+
+    def joined(near: DataFrame) -> DataFrame:
+        """Classes when these links have joined some."""
+        if near.isEmpty():
+            return of
+        one, two = (of.select(F.col("node").alias(c), F.col("class").alias(f"of_{c}")) for c in "ab")
+        whole = components(near.join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        return stored(of.join(whole.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        return stored(compare(stored(likely(pairs, short, similarity), "likely"), texts, similarity), "near")
+
+    # each text and the leader with most company of all its buckets
+    best = each.join(leaders, "key").where("node <> leader").groupBy("node").agg(F.max(F.struct("rank", "leader")).alias("r")).select(F.col("node").alias("a"), F.col("r.leader").alias("b"))
+    best = stored(best, "best")
+    found = meet(best)
+    of = joined(found)
+    # one text of each class in a bucket and its leader
+    classed = mates.join(of, "node").select("node", "class", "company", F.explode("keys").alias("key"))
+    one = classed.groupBy("key", "class").agg(first).select("key", F.col("r.node").alias("node"))
+    pairs = one.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    more = meet(stored(pairs, "pairs"))
+    found, of = found.unionByName(more), joined(more)
+    # whatever shares a bucket and is still of different classes
+    classed = mates.join(of, "node").join(texts.select(F.col("doc_id").alias("node"), F.length("text").alias("chars")), "node").select("node", "class", "keys", "chars", F.explode("keys").alias("key"))
+    kinds = classed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("size"))
+    apart = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("n", "class", "size")).alias("m")).where("kinds > 1")
+    apart = stored(apart.select("key", "n", "size", F.col("m.class").alias("main"), (F.col("n") - F.col("m.n")).alias("others"), (F.col("size") - F.col("m.size")).alias("others_size")), "apart")
+    members = stored(classed.drop("chars").join(apart, "key").join(short, "node"), "members")
     calm, crowded = members.where(F.col("n") <= CROWD), members.where(F.col("n") > CROWD)
-    one, two = (calm.select("key", F.col("node").alias(c), F.col("class").alias(f"of_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    one, two = (calm.select("key", F.col("node").alias(c), F.col("class").alias(f"of_{c}")) for c in "ab")
+    rest = meet(stored(one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b").distinct(), "rest"))
+    rest = rest.unionByName(stored(_meet_in_blocks(crowded.join(texts.withColumnRenamed("doc_id", "node"), "node"), similarity), "blocks"))
+    found, of = found.unionByName(rest), joined(rest)
+    return found, of.withColumnRenamed("class", "component")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = (_rows(batch.column("sketch_a")) == _rows(batch.column("sketch_b"))).reshape(batch.num_rows, 2, BANDS * ROWS).sum(2).max(1)
-            at = np.flatnonzero(same >= least)
-            yield pa.record_batch([batch.column("a").take(at), batch.column("b").take(at), pa.array(same[at].astype(np.int32))], ["a", "b", "agree"])
 
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not (left.num_rows and right.num_rows):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agree": pa.array([], pa.int32())})
-        same = agreeing(_rows(left.column("sketch")), _rows(right.column("sketch")))
-        a, b, ca, cb = (np.asarray(x.column(c)) for c in ("node", "class") for x in (left, right))
-        i, j = np.nonzero((same >= least) & (ca[:, None] != cb[None, :]))
-        return pa.table({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "agree": same[i, j].astype(np.int32)})
-
-    near = one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(pairs, "a long, b long, agree int")
-    cuts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    deal = lambda c: F.pmod(F.xxhash64("node"), cuts(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), cuts(c) - 1))
-    left = crowded.where(F.col("class") != F.col("main")).withColumn("i", deal("others")).withColumn("j", each("n"))
-    right = crowded.withColumn("j", deal("n")).withColumn("i", each("others"))
-    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "sketch"))).groupBy("key", "i", "j") for x in (left, right)]
-    far = grouped[0].cogroup(grouped[1]).applyInArrow(block, "a long, b long, agree int")
-    return near.unionByName(far).distinct()
+def text_id(text: str = "text") -> Column:
+    """What names a text: equal for equal texts alone; null texts count as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def text_classes(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of the distinct texts of (text) that share a bucket with another; the others are alone."""
+    named = texts.select(text_id().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    nodes = stored(stored(sketches(named), "sketches").groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
+    bands = nodes.select("node", F.explode("keys").alias("key")).where("key is not null")
+    return links(named.withColumnRenamed("node", "doc_id"), bands, similarity, nodes.select("node", "sketch"))[1]
+
+
+def _with_class(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows (with node) with component, that of their text."""
+    return rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links) for each row of (doc_id, text).
+    """(doc_id, class_id) for each row of (doc_id, text): class_id is the least doc_id of the class.
+
+    Rows are judged by their texts, so rows without a doc_id and rows that share one have a class too; it
+    is null only if no row of a class has a doc_id. Null texts count as empty. Texts without words are
+    copies of each other only if equal. Repeated rows each get a row; other columns are left out.
+    """
+    of = text_classes(docs.select("text"), similarity)
+    rows = docs.select("doc_id", text_id().alias("node"))
+    least = stored(_with_class(rows.groupBy("node").agg(F.min("doc_id").alias("least")), of), "least")
+    ids = stored(least.groupBy("component").agg(F.min("least").alias("class_id")), "ids")
+    named = stored(least.join(ids, "component").select("node", "class_id"), "named")
+    return rows.join(named, "node").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near copies: that of least doc_id (a null one is the last), and of these the one of least text id.
 
-    class_id is the least doc_id of the class, n_links the number of other texts that this one was found
-    linked to. Null texts count as empty; texts without words are copies of each other only if equal.
-    Repeated rows each get a row. Rows that share a doc_id but not their text count as one document, that
-    of the text with the least hash. Null doc_ids have null classes.
+    docs has doc_id and text and any other columns but _id and _text.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = stored(sketches(docs), "sketches")
-    least = made.groupBy("h", "h2").agg(F.min("doc_id").alias("node"))
-    bands = made.join(least, ["h", "h2"]).where("doc_id = node").groupBy("node").agg(F.min(F.struct("h", "h2", "keys")).alias("s")).select("node", F.posexplode("s.keys").alias("at", "key")).where("key is not null").select("node", F.pmod("at", F.lit(BANDS)).alias("band"), "key")
-    nodes = docs.join(least.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = nodes.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")) if _repeats(made) else nodes
-    short = made.join(least, ["h", "h2"]).where("doc_id = node").groupBy("node").agg(F.min(F.struct("h", "h2", "sketch")).alias("s")).select("node", "s.sketch")
-    linked, of = links(texts, bands, similarity, short)
-    n = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    return made.select("doc_id", "h", "h2").join(least, ["h", "h2"], "left").join(of, "node", "left").join(n, "node", "left").select("doc_id", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _repeats(made: DataFrame) -> bool:
-    return not made.groupBy("doc_id").count().where("count > 1").isEmpty()
+    of = text_classes(docs.select("text"), similarity)
+    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), text_id().alias("_text")]
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), "doc_id", *keys).withColumnRenamed("_text", "node")
+    best = _with_class(rows, of).groupBy("component").agg(F.min(F.struct("none", "doc_id", "node", "_id")).alias("r"))
+    best = stored(best.select(F.col("r._id").alias("_id"), F.col("r.node").alias("_text")), "best")
+    return docs.select("*", *keys).join(best, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).drop("_id", "_text")
 
 
 def op8_minhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

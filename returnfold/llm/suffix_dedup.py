@@ -326,12 +326,13 @@ def removed_bytes(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
 
 
 def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text); with_text: and kept, what stays.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text); with_text: and text_md5 and kept, what stays.
 
-    kept_sha256 is of the bytes that stay; of a character that is cut in two, kept has nothing.
+    kept_sha256 is of the bytes that stay; of a character that is cut in two, kept has nothing. text_md5
+    is that of the whole text, which tells rows apart that share a doc_id.
     """
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text_md5", "kept"] * with_text]
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -339,11 +340,11 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
             data = np.frombuffer(raw.as_py(), np.uint8)
             gone = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(data)).view(bool)
             kept = data[~gone].tobytes() if gone.any() else raw.as_py()
-            rows.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, [pa.int64()] * 3 + [pa.string()] * 2)]
+            rows.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) > 0).sum()), hashlib.sha256(kept).hexdigest(), *([hashlib.md5(raw.as_py()).hexdigest(), kept.decode(errors="ignore")] if with_text else [])))
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 6, [pa.int64()] * 3 + [pa.string()] * 3)]
         return pa.record_batch([batch.column("doc_id"), *columns[: len(names) - 1]], names)
 
-    return removed_bytes(docs, count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return removed_bytes(docs, count, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_md5 string, kept string" * with_text)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
