@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's docs. All but the last return docs' own columns,
-n_chars being that of the new text. Rows that share a doc_id count as one document from the near-copy
-stage on; rows without a doc_id end there, as nothing could name them.
+n_chars being that of the new text. Rows without a doc_id and rows that share one are judged by their
+own texts; of rows with the same doc_id and text, one is left after the near-copy stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from returnfold.llm.common import documents, stored, table
 from returnfold.llm.langid import held_out, learn, predict
 from returnfold.llm.line_templates import drop_templates
-from returnfold.llm.near_copies import near_classes
+from returnfold.llm.near_copies import one_of_each
 from returnfold.llm.packing import CAPACITY, pack, token_pieces
 from returnfold.llm.suffix_dedup import removals
 from returnfold.llm.words import tokenizer_path
@@ -46,8 +46,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of near copies the document of least doc_id."""
-    kept = near_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return _back(one_of_each(_own(docs)), docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +54,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Of a character that is cut in two, nothing stays.
     """
-    texts = removals(documents(docs), with_text=True).where("n_removed < n_bytes or n_bytes = 0").select("doc_id", F.col("kept").alias("text"))
-    own = _own(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return _back(own.drop("text").dropDuplicates(["doc_id"]).join(texts.dropDuplicates(["doc_id"]), "doc_id"), docs)
+    left = removals(documents(docs), with_text=True).where("n_removed < n_bytes or n_bytes = 0")
+    names = lambda df, md5: df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_md5": md5})
+    kept = names(left, F.col("text_md5")).dropDuplicates(["_id", "_md5"]).select("_id", "_md5", F.col("kept").alias("text"))
+    own = names(_own(docs), F.md5(F.coalesce("text", F.lit(""))))
+    return _back(own.drop("text").join(kept, ["_id", "_md5"]), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
