@@ -1,17 +1,21 @@
 """Line dedup by a log-template tree, in DataFrame functions alone.
 
 A line's tokens are its words, those with a digit shown as "<*>". The tree has a fixed depth: number
-of tokens, then the first LEAD tokens; a leaf holds the lines that agree in these. In a leaf whose
-lines agree (SAME of them) at SHARE of its places or more, the places that vary become "<*>"
-too: lines that have all the fixed tokens share this template. Other lines are their own template.
-
-A template recurs if it stands in at least MOST_DOCS documents that are independent: copies of one
-document carry their lines in the same surroundings, so the different surroundings (number of tokens
-of the line before and of the line after) must be at least a third of the documents, or WIDE.
-Lines of recurring templates are dropped wherever they stand; lines of fewer than LEAST_TOKENS tokens
-are too short to tell and stay.
-
-A null text stays null. A document left with nothing but blank lines, that had more, is marked empty.
+of tokens, then the first LEAD tokens; a leaf holds the lines that agree in these. First, each line is
+its own template. Then, of the lines that do not recur as they are, a leaf's tokens that stand often at
+their place (in LEAST_DOCS lines, and in one of PLACES lines) are fixed and all others become "<*>";
+lines that agree in this, with a share of SHARE fixed tokens or more, have one template, so a leaf may
+hold several.
+
+A template recurs if LEAST_DOCS documents or more have it, in as many different settings, none of them
+that of more than half the documents. A line's setting is the number of lines of its document, the
+document's length in steps of STEP characters, and the numbers of tokens of the line before and of the
+line after. Copies of one document share their settings, whatever their number, and so don't count as
+recurrence. Lines of recurring templates are dropped wherever they stand.
+
+A null text stays null; empty and blank lines stay. A document left with nothing but blank lines, that
+had more, is marked empty. Rows with the same doc_id and text count as one document, and each is
+returned; rows that share a doc_id alone keep apart. Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,66 +25,85 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-LEAD, LEAST_TOKENS, MOST_DOCS, WIDE, SAME, SHARE = 4, 3, 5, 200, 0.9, 0.6
+LEAD, LEAST_DOCS, STEP, SHARE, PLACES = 4, 5, 64, 0.6, 16
 BLANKS = "[ \\t\\r\\f]+"
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, pos, line, n, before, after): each line's masked tokens, their number, and its neighbours' (-1: none).
+    """(doc_id, h, pos, line, n, leaf, shape, around) of each line with tokens: these, masked, and their number.
 
-    Short lines are left out. h is a hash of the text, so that rows sharing a doc_id keep apart.
+    h is a hash of the text, so that rows sharing a doc_id keep apart; leaf is a hash too. shape and
+    around are the two halves of a line's setting, that of its document and that of its neighbours.
     """
     text, lines = F.col("text"), F.split("text", "\n")
     odd = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\f")
     plain = F.when(odd, F.transform(lines, lambda x: F.trim(F.regexp_replace(x, BLANKS, " ")))).otherwise(F.transform(lines, lambda x: F.trim(x)))  # the cheap way for most texts
     mask = lambda x: F.when(x.rlike("[0-9]"), F.array_join(F.transform(F.split(x, " "), lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)), " ")).otherwise(x)
-    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.when(text.rlike("[0-9]"), F.transform(plain, mask)).otherwise(plain).alias("lines"))
-    counted = lines.withColumn("sizes", F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)))
-    each = counted.select("doc_id", "h", "sizes", F.posexplode("lines").alias("pos", "line"))
-    near = lambda d: F.coalesce(F.get("sizes", F.col("pos") + d), F.lit(-1))
-    return each.select("doc_id", "h", "pos", "line", near(0).alias("n"), near(-1).alias("before"), near(1).alias("after")).where(F.col("n") >= LEAST_TOKENS)
+    shape = F.xxhash64(F.size(lines), F.floor(F.length("text") / STEP)).alias("shape")
+    lines = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), shape, F.when(text.rlike("[0-9]"), F.transform(plain, mask)).otherwise(plain).alias("lines"))
+    counted = lines.withColumn("n", F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)))
+    none, many = F.array(F.lit(-1)), F.size("n") - 1
+    around = counted.withColumns({"before": F.concat(none, F.slice("n", 1, many)), "after": F.concat(F.slice("n", 2, many), none)})
+    each = around.select("doc_id", "h", "shape", F.posexplode(F.arrays_zip("lines", "n", "before", "after")).alias("pos", "of")).where("of.n > 0")
+    leaf = F.xxhash64("of.n", F.substring_index("of.lines", " ", LEAD))
+    return each.select("doc_id", "h", "pos", F.col("of.lines").alias("line"), F.col("of.n").alias("n"), leaf.alias("leaf"), "shape", ((F.col("of.before") + 1).cast("long") * (1 << 32) + F.col("of.after") + 1).alias("around"))
+
 
+def hashes(text) -> dict:
+    """Two hashes that stand for a line or template."""
+    return {"k": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
 
-def recurring(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The values of key that stand in enough independent documents; rows has key, doc_id, h, before, after."""
-    once = rows.groupBy(*key, "doc_id", "h").agg(F.min(F.struct("before", "after")).alias("around"))
-    around = once.groupBy(*key, "around").agg(F.count("*").alias("docs"))
-    return around.groupBy(*key).agg(F.sum("docs").alias("docs"), F.count("*").alias("kinds")).where(f"docs >= {MOST_DOCS} and kinds >= {MOST_DOCS} and kinds >= least({WIDE}, docs / 3)").select(*key)
+
+def recurrence(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key with times, the number of lines, and recurs; rows has key, doc_id, h, shape and around.
+
+    A line that a document holds several times counts once, with the least of its neighbours.
+    """
+    once = rows.groupBy(*key, "doc_id", "h").agg(F.min("shape").alias("shape"), F.min("around").alias("around"), F.count("*").alias("times"))
+    settings = once.groupBy(*key, "shape", "around").agg(F.count("*").alias("docs"), F.sum("times").alias("times"))
+    whole = settings.groupBy(*key).agg(F.sum("docs").alias("docs"), F.count("*").alias("settings"), F.max("docs").alias("most"), F.sum("times").alias("times"))
+    return whole.select(*key, "times", F.expr(f"docs >= {LEAST_DOCS} and settings >= {LEAST_DOCS} and most * 2 <= docs").alias("recurs"))
 
 
-def leaf_templates(rows: DataFrame) -> DataFrame:
-    """(n, leaf, fixed): leaves whose lines mostly agree, with their tokens, null where they vary; rows has n, leaf, total and line."""
+def frequent_tokens(rows: DataFrame) -> DataFrame:
+    """(n, leaf, often): for each place of a leaf's lines its frequent tokens, at most PLACES of them; rows has n, leaf, total and line."""
     token = rows.select("n", "leaf", "total", F.posexplode(F.split("line", " ")).alias("at", "token"))
     each = token.groupBy("n", "leaf", "total", "at", "token").agg(F.count("*").alias("times"))
-    most = each.groupBy("n", "leaf", "total", "at").agg(F.max(F.struct("times", "token")).alias("m"))
-    fixed = most.select("n", "leaf", "at", F.when(F.col("m.times") >= SAME * F.col("total"), F.col("m.token")).alias("token"))
-    whole = fixed.groupBy("n", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"), F.count("token").alias("same"))
-    return whole.where(F.col("same").between(F.lit(SHARE) * F.col("n"), F.col("n") - 1)).select("n", "leaf", F.col("t.token").alias("fixed"))
+    often = F.when((F.col("times") >= LEAST_DOCS) & (F.col("times") * PLACES >= F.col("total")), F.col("token"))
+    places = each.groupBy("n", "leaf", "at").agg(F.collect_list(often).alias("tokens"))
+    return places.groupBy("n", "leaf").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("often"))
 
 
 def drop_templates(docs: DataFrame) -> DataFrame:
-    """docs with lines of recurring templates taken out of text, and n_lines, n_dropped and emptied.
+    """docs (doc_id, text, ...) with lines of recurring templates taken out of text, and n_lines, n_dropped and emptied.
 
     Lines are told apart by two hashes; only those in leaves with several different lines move as text.
+    Columns of docs by the names of the new ones come twice.
     """
-    lines = template_lines(docs.select("doc_id", "text")).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEAD)))
-    hashed = stored(lines.withColumns({"k": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")}).drop("line"), "lines")
-    exact = recurring(hashed, ["n", "k", "k2"])
-    kinds = hashed.groupBy("n", "leaf", "k", "k2").agg(F.count("*").alias("times"))
-    leaves = kinds.groupBy("n", "leaf").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where(f"total >= {MOST_DOCS} and kinds > 1").select("n", "leaf", "total")
-    mixed = stored(lines.join(leaves, ["n", "leaf"]), "mixed")
-    fits = F.forall(F.arrays_zip("fixed", F.split("line", " ").alias("tokens")), lambda x: x["fixed"].isNull() | (x["fixed"] == x["tokens"]))
-    varied = stored(mixed.join(leaf_templates(mixed), ["n", "leaf"]).where(fits).drop("line", "fixed"), "varied")
-    loose = recurring(varied, ["n", "leaf"])
-    place = ["doc_id", "h", "pos"]
-    gone = hashed.join(exact, ["n", "k", "k2"], "left_semi").select(*place).union(varied.join(loose, ["n", "leaf"], "left_semi").select(*place))
+    names = docs.columns
+    own = docs.toDF(*(c if c in ("doc_id", "text") else f"_own{i}" for i, c in enumerate(names)))
+    lines, place = template_lines(own.select("doc_id", "text")), ["doc_id", "h", "pos"]
+    hashed = stored(lines.withColumns(hashes(F.col("line"))).drop("line"), "lines")
+    known = stored(recurrence(hashed, ["n", "leaf", "k", "k2"]), "templates")
+    exact = stored(known.where("recurs").select("k", "k2"), "exact")
+    leaves = known.where("not recurs").groupBy("n", "leaf").agg(F.sum("times").alias("total"), F.count("*").alias("kinds")).where(f"total >= {LEAST_DOCS} and kinds > 1")
+    leaves = stored(leaves.select("n", "leaf", "total"), "leaves")
+    mixed = stored(lines.join(leaves, ["n", "leaf"]).withColumns(hashes(F.col("line"))).join(exact, ["k", "k2"], "left_anti").drop("k", "k2"), "mixed")
+    often = stored(frequent_tokens(mixed), "often")
+    shown = F.transform(F.split("line", " "), lambda t, i: F.when(F.array_contains(F.get("often", i)["tokens"], t), t).otherwise("<*>"))
+    fixed = F.size(F.filter("shown", lambda t: t != "<*>"))
+    varied = mixed.join(often, ["n", "leaf"]).select(*place, "n", "leaf", "shape", "around", shown.alias("shown")).where(fixed.between(F.lit(SHARE) * F.col("n"), F.col("n") - 1))
+    varied = stored(varied.withColumns(hashes(F.array_join("shown", " "))).drop("shown"), "varied")
+    loose = stored(recurrence(varied, ["n", "leaf", "k", "k2"]).where("recurs").select("n", "leaf", "k", "k2"), "loose")
+    gone = hashed.join(exact, ["k", "k2"], "left_semi").select(*place).union(varied.join(loose, ["n", "leaf", "k", "k2"], "left_semi").select(*place))
     gone = gone.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("_gone"))
     parts = F.split("text", "\n")
-    marked = docs.withColumn("h", F.xxhash64("text")).join(gone.toDF("_d", "_h", "_gone"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left").drop("_d", "_h", "h")
+    marked = own.withColumn("_h", F.xxhash64("text")).join(gone.toDF("_d", "_g", "_gone"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     n = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    out = marked.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": n, "text": kept}).drop("_gone")
-    return out.withColumn("emptied", (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", "[ \\t\\r\\f\\n]+", " ")) == ""))
+    out = marked.withColumns({"_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "_dropped": n, "text": kept})
+    out = out.withColumn("_emptied", (F.col("_dropped") > 0) & (F.trim(F.regexp_replace("text", "[ \\t\\r\\f\\n]+", " ")) == ""))
+    return out.select(*own.columns, "_lines", "_dropped", "_emptied").toDF(*names, "n_lines", "n_dropped", "emptied")
 
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,46 +117,45 @@ ORACLE = {
 WITH docs AS (
   SELECT doc_id, text, row_number() OVER () AS rid FROM documents
 ), raw AS (
-  SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
+    len(string_split(text, chr(10))) AS lines, length(text) // 64 AS steps
   FROM docs WHERE text IS NOT NULL
 ), plain AS (
-  SELECT rid, pos, trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g')) AS line FROM raw
+  SELECT rid, pos, lines, steps, trim(regexp_replace(line, '[ \t\r\f]+', ' ', 'g')) AS line FROM raw
 ), masked AS (
-  SELECT rid, pos, array_to_string(list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS line FROM plain
+  SELECT rid, pos, lines, steps, array_to_string(list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS line FROM plain
 ), sized AS (
-  SELECT rid, pos, line, CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END AS n FROM masked
+  SELECT *, CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END AS n FROM masked
 ), around AS (
-  SELECT *, coalesce(lag(n) OVER w, -1) AS before, coalesce(lead(n) OVER w, -1) AS after FROM sized WINDOW w AS (PARTITION BY rid ORDER BY pos)
-), lines AS (
-  SELECT *, array_to_string(string_split(line, ' ')[1:4], ' ') AS leaf FROM around WHERE n >= 3
+  SELECT *, (lines, steps) AS shape, (coalesce(lag(n) OVER w, -1), coalesce(lead(n) OVER w, -1)) AS around FROM sized WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), tree AS (
+  SELECT rid, pos, line, n, shape, around, array_to_string(string_split(line, ' ')[1:4], ' ') AS leaf FROM around WHERE n > 0
 ), once AS (
-  SELECT line, rid, min((before, after)) AS a FROM lines GROUP BY ALL
+  SELECT line, rid, shape, min(around) AS around FROM tree GROUP BY ALL
 ), exact AS (
-  SELECT line FROM once GROUP BY line
-  HAVING count(*) >= 5 AND count(DISTINCT a) >= 5 AND count(DISTINCT a) >= least(200, count(*) / 3.0)
-), kinds AS (
-  SELECT n, leaf, line, count(*) AS docs FROM lines GROUP BY ALL
+  SELECT line FROM (SELECT line, shape, around, count(*) AS docs FROM once GROUP BY ALL)
+  GROUP BY line HAVING sum(docs) >= 5 AND count(*) >= 5 AND 2 * max(docs) <= sum(docs)
+), others AS (
+  SELECT * FROM tree ANTI JOIN exact USING (line)
 ), leaves AS (
-  SELECT n, leaf, sum(docs) AS total FROM kinds GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) > 1
+  SELECT n, leaf, count(*) AS total FROM others GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT line) > 1
 ), tokens AS (
-  SELECT k.n, k.leaf, l.total, k.docs, unnest(string_split(k.line, ' ')) AS token, generate_subscripts(string_split(k.line, ' '), 1) AS place
-  FROM kinds k JOIN leaves l USING (n, leaf)
-), shares AS (
-  SELECT n, leaf, total, place, token, sum(docs) AS docs FROM tokens GROUP BY ALL
-), most AS (
-  SELECT n, leaf, place, CASE WHEN max(docs) >= 0.9 * any_value(total) THEN max((docs, token))[2] END AS token FROM shares GROUP BY n, leaf, place
-), templates AS (
-  SELECT n, leaf, list(token ORDER BY place) AS fixed FROM most GROUP BY n, leaf HAVING count(token) BETWEEN 0.6 * n AND n - 1
+  SELECT o.rid, o.pos, o.n, o.leaf, l.total, unnest(string_split(o.line, ' ')) AS token, generate_subscripts(string_split(o.line, ' '), 1) AS place
+  FROM others o JOIN leaves l USING (n, leaf)
+), often AS (
+  SELECT n, leaf, place, token FROM tokens GROUP BY n, leaf, place, token, total HAVING count(*) >= 5 AND count(*) * 16 >= total
+), shown AS (
+  SELECT t.rid, t.pos, t.n, t.leaf, string_agg(coalesce(f.token, '<*>'), ' ' ORDER BY t.place) AS line, count(*) FILTER (coalesce(f.token, '<*>') <> '<*>') AS fixed
+  FROM tokens t LEFT JOIN often f USING (n, leaf, place, token) GROUP BY t.rid, t.pos, t.n, t.leaf
 ), varied AS (
-  SELECT l.* FROM lines l JOIN templates t USING (n, leaf)
-  WHERE len(list_filter(range(1, n + 1), lambda i: t.fixed[i] IS NOT NULL AND t.fixed[i] <> string_split(l.line, ' ')[i])) = 0
-), loose_once AS (
-  SELECT n, leaf, rid, min((before, after)) AS a FROM varied GROUP BY ALL
+  SELECT s.rid, s.pos, s.n, s.leaf, s.line, t.shape, t.around FROM shown s JOIN tree t USING (rid, pos) WHERE s.fixed >= 0.6 * s.n AND s.fixed < s.n
+), varied_once AS (
+  SELECT n, leaf, line, rid, shape, min(around) AS around FROM varied GROUP BY ALL
 ), loose AS (
-  SELECT n, leaf FROM loose_once GROUP BY ALL
-  HAVING count(*) >= 5 AND count(DISTINCT a) >= 5 AND count(DISTINCT a) >= least(200, count(*) / 3.0)
+  SELECT n, leaf, line FROM (SELECT n, leaf, line, shape, around, count(*) AS docs FROM varied_once GROUP BY ALL)
+  GROUP BY ALL HAVING sum(docs) >= 5 AND count(*) >= 5 AND 2 * max(docs) <= sum(docs)
 ), gone AS (
-  SELECT rid, pos FROM lines SEMI JOIN exact USING (line) UNION SELECT rid, pos FROM varied SEMI JOIN loose USING (n, leaf)
+  SELECT rid, pos FROM tree SEMI JOIN exact USING (line) UNION SELECT rid, pos FROM varied SEMI JOIN loose USING (n, leaf, line)
 ), kept AS (
   SELECT r.rid, string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
   FROM raw r LEFT JOIN gone g ON r.rid = g.rid AND r.pos = g.pos GROUP BY r.rid
