@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,14 @@ def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or local where that is unset."""
+    """A new folder that the driver and all executors share, under spark.checkpoint.dir; what is there stays until that is cleared.
+
+    Where that is unset, a local folder serves a session whose executors are threads of the driver; any other session fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,8 +39,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffles(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ranges(docs: DataFrame, text: str = "text", most_bytes: int = 16 << 20, most: int = 1000) -> int:
+    """How many ranges of rows to deal docs out in, so that each has some most_bytes of text; rows of a range needn't fit in memory."""
+    size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    return max(1, min(most, -(-size // most_bytes)))
 
 
 def sliced(batch, column: str, most_bytes: int = 4 << 20):

@@ -8,6 +8,10 @@ island's best chromosome moves to the next island. A block that has reached its
 length over capacity, rounded up) is done at once. What blocks leave in their emptiest bins is then
 packed anew across blocks, 64 blocks to one, until one block is left, so that the number of
 sequences stays near the lower bound of the whole table, not of each block.
+
+Null and empty texts are a piece of the end id alone; longer texts than a sequence are cut into pieces
+wherever they are. Rows without a doc_id, rows that share one and repeated rows each have their pieces.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

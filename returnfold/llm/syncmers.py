@@ -7,6 +7,10 @@ SLOTS classes of anchor hashes, the smallest; likeness is the share of slots in
 an estimate of the Jaccard index of the two anchor sets.
 
 Texts without an anchor (short ones) count as one anchor, the whole text; the empty text has none.
+
+Null texts count as empty. Rows without a doc_id come first in the order of documents; rows of equal
+doc_id are ordered by a hash of their text, and repeated rows follow one another. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shuffles, table
+from .common import documents, ranges, table
 from .token_shards import bucket_of, range_limits
 
 K, S, SLOTS = 20, 12, 128
@@ -113,7 +117,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for d, t in zip(batch.column("doc_id"), batch.column("text")):
                 at, h = closed_syncmers(np.frombuffer((t.as_py() or "").encode(), np.uint8))
-                yield pa.record_batch([pa.array(np.full(len(at), d.as_py(), np.int64)), pa.array(at), pa.array(h.view(np.int64))], ["doc_id", "position", "anchor"])
+                yield pa.record_batch([pa.array([d.as_py()] * len(at), pa.int64()), pa.array(at), pa.array(h.view(np.int64))], ["doc_id", "position", "anchor"])
 
     return docs.select("doc_id", "text").mapInArrow(choose, "doc_id long, position long, anchor long")
 
@@ -137,10 +141,10 @@ def with_following(docs: DataFrame, parts: int) -> DataFrame:
     The driver gets one row for each range.
     """
     dealt = docs.withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket_of("doc_id", range_limits(docs, "doc_id", parts)))
-    firsts = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("bucket", "f.doc_id", "f.h").collect())
-    peeks = docs.sparkSession.createDataFrame([(d, h, firsts[i - 1][0]) for i, (_, d, h) in enumerate(firsts)], "doc_id long, h long, to int")
-    peek = dealt.drop("bucket").join(F.broadcast(peeks), ["doc_id", "h"]).dropDuplicates(["to"]).withColumnRenamed("to", "bucket").withColumn("peek", F.lit(True))
-    return dealt.withColumn("peek", F.lit(False)).unionByName(peek).repartition(parts, "bucket").sortWithinPartitions("bucket", "peek", "doc_id", "h").select("bucket", "peek", "doc_id", "text")
+    firsts = sorted((tuple(r) for r in dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("f")).select("bucket", "f.doc_id", "f.h").collect()), key=lambda r: r[0])
+    peeks = docs.sparkSession.createDataFrame([(d, h, firsts[i - 1][0]) for i, (_, d, h) in enumerate(firsts)], "first long, first_h long, to int")
+    peek = dealt.drop("bucket").join(F.broadcast(peeks), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("h") == F.col("first_h"))).dropDuplicates(["to"]).withColumnRenamed("to", "bucket").withColumn("peek", F.lit(True))
+    return dealt.withColumn("peek", F.lit(False)).unionByName(peek.select("doc_id", "text", "h", "bucket", "peek")).repartition(parts, "bucket").sortWithinPartitions("bucket", "peek", "doc_id", "h").select("bucket", "peek", "doc_id", "text")
 
 
 def _compared(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -173,6 +177,10 @@ def compare_edits(docs: DataFrame, parts: int) -> DataFrame:
     return with_following(docs, parts).mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _edits(docs: DataFrame) -> DataFrame:
+    return compare_edits(docs, ranges(docs))
+
+
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fingerprints of documents and of their edited texts."""
-    return compare_edits(documents(table(spark, sf_dir, "documents")), 2 * shuffles(spark))
+    return _edits(documents(table(spark, sf_dir, "documents")))

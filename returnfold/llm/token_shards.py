@@ -3,8 +3,13 @@
 A shard holds the ids of some whole documents, in ascending doc_id, as one self-contained file body:
 header, document table, sorted alphabet, and one bit plane per bit of the alphabet's codes, each with
 a rank directory. From it a token is read at any place, counted up to any place, and all its places
-are found, without decoding the rest. Shards are the rows of a Parquet table: Spark's committer then
-gives whole files even when executors are lost, and any store that Spark reads will do.
+are found by reading a few blocks of each plane, without decoding the rest. Shards are the rows of a
+Parquet table: Spark's committer then gives whole files even when executors are lost, and any store
+that Spark reads will do.
+
+Documents without a doc_id come first. Null and empty texts have no ids but the end id. Rows of equal
+doc_id, repeated rows among them, follow one another in the order of their ids' crc32. A text of any
+length stays in one shard. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,28 +24,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import documents, scratch, shuffles, sliced, table, trim
+from .common import documents, ranges, scratch, sliced, table, trim
 from .words import WordIds, tokenizer_path
 
 #: Fixed values of the file format.
-MAGIC, BLOCK = b"WVM1", 512
+MAGIC, BLOCK, NO_ID = b"WVM2", 512, -(1 << 63)
 SHARD_TOKENS = 1 << 18
 
 
 class WaveletMatrix:
     """Bit planes of a sequence of small codes, with rank and select."""
 
-    def __init__(self, planes: list[np.ndarray], n: int, alphabet: np.ndarray):
+    def __init__(self, planes: list[np.ndarray], n: int, alphabet: np.ndarray, ranks: list[np.ndarray] | None = None):
         self.planes, self.n, self.alphabet = planes, n, alphabet
-        self.ranks = [self._directory(p) for p in planes]
+        self.ranks = [self._directory(p) for p in planes] if ranks is None else ranks
         self.zeros = [n - int(r[-1]) for r in self.ranks]
 
     @staticmethod
     def _directory(plane: np.ndarray) -> np.ndarray:
         """Ones before each block of BLOCK bits, and at the end."""
-        ones = np.bitwise_count(plane).astype(np.int64)
+        ones = np.bitwise_count(plane).astype(np.uint32)
         pad = -len(ones) % (BLOCK // 8)
-        return np.concatenate([[0], np.cumsum(np.pad(ones, (0, pad)).reshape(-1, BLOCK // 8).sum(1))])
+        return np.concatenate([[0], np.cumsum(np.pad(ones, (0, pad)).reshape(-1, BLOCK // 8).sum(1))]).astype("<u4")
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
@@ -103,26 +108,40 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th bit of this kind (from 0)."""
-        r = self.ranks[level]
-        ones = r if bit else np.arange(len(r)) * BLOCK - r
-        block = int(np.searchsorted(ones[:-1], k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8])
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(ones[block])])
+    def _select_bit(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th bits of this kind (from 0)."""
+        ones = self.ranks[level].astype(np.int64)
+        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
+        block = np.searchsorted(before[:-1], k, side="right") - 1
+        used, of = np.unique(block, return_inverse=True)
+        bits = np.zeros((len(used), BLOCK // 8), np.uint8)
+        for row, b in zip(bits, used.tolist()):
+            part = self.planes[level][b * BLOCK // 8 : (b + 1) * BLOCK // 8]
+            row[: len(part)] = part
+        seen = np.cumsum(np.unpackbits(bits, axis=1) == bit, axis=1, dtype=np.int16)
+        inside = [int(np.searchsorted(seen[o], r)) for o, r in zip(of.tolist(), (k - before[block] + 1).tolist())]
+        return block * BLOCK + np.array(inside, np.int64)
+
+    def _above(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Places of the token whose places below the last plane are at."""
+        code = self._code(token)
+        for level in reversed(range(len(self.planes))):
+            one = code >> (len(self.planes) - 1 - level) & 1
+            at = self._select_bit(level, one, at - self.zeros[level] if one else at)
+        return at
 
     def select(self, token: int, k: int) -> int:
         """Place of the token's k-th occurrence (from 0); -1 if it has none."""
         if k < 0 or k >= self.count(token):
             return -1
-        code, at = self._code(token), self._interval(token, self.n)[0] + k
-        for level in reversed(range(len(self.planes))):
-            one = code >> (len(self.planes) - 1 - level) & 1
-            at = self._select_bit(level, one, at - self.zeros[level] if one else at)
-        return at
+        return int(self._above(token, np.array([self._interval(token, self.n)[0] + k]))[0])
 
     def places(self, token: int) -> list[int]:
-        return [self.select(token, k) for k in range(self.count(token))]
+        """All places of the token, in order."""
+        if self._code(token) < 0:
+            return []
+        lo, hi = self._interval(token, self.n)
+        return np.concatenate([np.empty(0, np.int64), *(self._above(token, np.arange(k, min(hi, k + 10_000))) for k in range(lo, hi, 10_000))]).tolist()
 
 
 def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -131,7 +150,7 @@ def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> byt
     docs = zlib.compress(np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes(), 1)
     alphabet = zlib.compress(np.diff(m.alphabet, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
     head = MAGIC + struct.pack("<IIIIII", len(doc_ids), m.n, len(m.alphabet), len(m.planes), len(docs), len(alphabet))
-    return b"".join([head, docs, alphabet, *(p.tobytes() for p in m.planes)])
+    return b"".join([head, docs, alphabet, *(p.tobytes() for p in m.planes), *(r.tobytes() for r in m.ranks)])
 
 
 def open_shard(body: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
@@ -143,7 +162,13 @@ def open_shard(body: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     ids, lengths = np.frombuffer(docs, "<i8", n_docs), np.frombuffer(docs, "<u4", n_docs, 8 * n_docs)
     size, at = (n + 7) // 8, 28 + a + b
     planes = [np.frombuffer(body, np.uint8, size, at + i * size) for i in range(levels)]
-    return ids, lengths, WaveletMatrix(planes, n, np.cumsum(np.frombuffer(alphabet, "<u4", sigma)).astype(np.uint32))
+    at, blocks = at + levels * size, -(-size // (BLOCK // 8)) + 1
+    ranks = [np.frombuffer(body, "<u4", blocks, at + i * 4 * blocks) for i in range(levels)]
+    return ids, lengths, WaveletMatrix(planes, n, np.cumsum(np.frombuffer(alphabet, "<u4", sigma)).astype(np.uint32), ranks)
+
+
+def _named(doc_ids: np.ndarray) -> pa.Array:
+    return pa.array(doc_ids, mask=doc_ids == NO_ID)
 
 
 def token_rows(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
@@ -173,7 +198,8 @@ def range_limits(df: DataFrame, column: str, parts: int) -> list[int]:
 
 
 def bucket_of(column: str, limits: list[int]):
-    return F.aggregate(F.array(*map(F.lit, limits)), F.lit(0), lambda n, x: n + (F.col(column) >= x).cast("int")) if limits else F.lit(0)
+    """The range that a value is in; nulls are in the first."""
+    return F.aggregate(F.array(*map(F.lit, limits)), F.lit(0), lambda n, x: n + F.coalesce(F.col(column) >= x, F.lit(False)).cast("int")) if limits else F.lit(0)
 
 
 def write_shards(tokens: DataFrame, limits: list[int], path: str, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -187,7 +213,7 @@ def write_shards(tokens: DataFrame, limits: list[int], path: str, shard_tokens:
 
         def shard() -> pa.RecordBatch:
             doc_ids, bodies = [d for d, _ in held], [b for _, b in held]
-            body = pack_shard(np.array(doc_ids, np.int64), np.array([len(b) // 4 for b in bodies]), np.frombuffer(b"".join(bodies), "<u4"))
+            body = pack_shard(np.array([NO_ID if d is None else d for d in doc_ids], np.int64), np.array([len(b) // 4 for b in bodies]), np.frombuffer(b"".join(bodies), "<u4"))
             return pa.record_batch([[bucket], [start], [doc_ids[0]], [len(doc_ids)], [size], [body]], schema=schema)
 
         schema = pa.schema([("bucket", pa.int32()), ("start", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("body", pa.binary())])
@@ -222,7 +248,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 raw, n = memoryview(m.decode().astype("<u4").tobytes()), lengths.astype(np.int64)
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
-                yield pa.record_batch([pa.array(np.full(len(n), bucket.as_py(), np.int32)), pa.array(doc_ids), pa.array(start.as_py() + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["bucket", "doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(np.full(len(n), bucket.as_py(), np.int32)), _named(doc_ids), pa.array(start.as_py() + ends - n), pa.array(n), pa.array(crc, pa.int64())], ["bucket", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.read.parquet(path)
     docs = shards.select("bucket", "start", "body").mapInArrow(unpack, "bucket int, doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -238,7 +264,7 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
                 doc_ids, lengths, m = open_shard(body.as_py())
                 at, ends = np.array(m.places(token), np.int64), np.cumsum(lengths.astype(np.int64))
                 doc = np.searchsorted(ends, at, side="right")
-                yield pa.record_batch([pa.array(doc_ids[doc]), pa.array(at - (ends - lengths)[doc])], ["doc_id", "position"])
+                yield pa.record_batch([_named(doc_ids[doc]), pa.array(at - (ends - lengths)[doc])], ["doc_id", "position"])
 
     return spark.read.parquet(path).select("body").mapInArrow(find, "doc_id long, position long")
 
@@ -258,5 +284,5 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
     path = scratch(spark, "wavelet")
     tokens = token_rows(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    write_shards(tokens, range_limits(docs, "doc_id", 2 * shuffles(spark)), path)
+    write_shards(tokens, range_limits(docs, "doc_id", ranges(docs)), path)
     return read_documents(spark, path)

@@ -88,6 +88,54 @@ def test_token_shards(spark, docs, none, tokenizer):
     assert token_shards.read_documents(spark, empty).count() == 0
 
 
+def test_rank_directory_is_read_from_the_file():
+    ids = np.random.default_rng(2).integers(0, 50, 20_000)
+    body = bytearray(token_shards.pack_shard(np.array([1]), np.array([len(ids)]), ids))
+    _, _, m = token_shards.open_shard(bytes(body))
+    size = (len(ids) + 7) // 8
+    first = len(body) - sum(r.nbytes for r in m.ranks) - size * len(m.planes)
+    body[first + size - 64 : first + size] = bytes(64)  # the end of the first plane
+    _, _, damaged = token_shards.open_shard(bytes(body))
+    assert [damaged.access(i) for i in range(0, 15_000, 997)] == ids[0:15_000:997].tolist()
+    with pytest.raises(ValueError):
+        damaged.decode()
+    assert damaged.rank(int(ids[5]), 15_000) == (ids[:15_000] == ids[5]).sum()
+
+
+def test_null_ids_come_first(spark, tokenizer):
+    rows = [(5, prose(1, 30)), (None, prose(2, 20)), (2, prose(3, 10)), (None, prose(2, 20)), (3, None)]
+    df = common.documents(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, bucket string, h int"))
+    path = common.scratch(spark, "t")
+    token_shards.write_shards(token_shards.token_rows(df, words.tokenizer_path("word_bpe_49k.json"), end_id=2), token_shards.range_limits(df, "doc_id", 2), path)
+    got = sorted(map(tuple, token_shards.read_documents(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 2, 3, 5] and got[0][2:] == got[1][2:]
+    ids = [*tokenizer.encode(rows[1][1], add_special_tokens=False).ids, 2]
+    assert got[0] == (None, 0, len(ids), crc(ids)) and got[1][1] == len(ids)
+    found = token_shards.find_token(spark, path, 2).collect()
+    assert sorted(r["doc_id"] or 0 for r in found) == [0, 0, 2, 3, 5]
+    edits = {(r["doc_id"], r["n_chars"]): r for r in syncmers.compare_edits(df, 2).collect()}
+    assert len(edits) == 4 and edits[5, len(rows[0][1])]["edited_sha256"] == hashlib.sha256((rows[0][1][: len(rows[0][1]) - len(rows[0][1]) // 2] + rows[1][1][: len(rows[0][1]) // 2]).encode()).hexdigest()
+    assert packing.pack(common.stored(packing.token_pieces(df, words.tokenizer_path("word_bpe_49k.json"), 1, 512), "p"), 512).count() == 5
+
+
+def test_fingerprints_equal_brute_force():
+    texts = [t.encode() for t in (prose(1, 60), prose(1, 60) + " more words at its end", prose(2, 900), "short", "")]
+    rows = syncmers.fingerprints(texts)
+    for text, row in zip(texts, rows):
+        least = {}
+        for p in range(len(text) - syncmers.K + 1):
+            mers = [syncmers.mixed(syncmers.rolling(np.frombuffer(text[p + q : p + q + syncmers.S], np.uint8), syncmers.S))[0] for q in range(syncmers.K - syncmers.S + 1)]
+            if min(mers) in (mers[0], mers[-1]):
+                with np.errstate(over="ignore"):
+                    h = int(syncmers.mixed(np.array([mers[0] * syncmers._A + mers[-1]], np.uint64))[0])
+                slot = h % syncmers.SLOTS
+                least[slot] = min(least.get(slot, syncmers.EMPTY), h >> 48)
+        if least:
+            assert {k: v for k, v in enumerate(row.tolist()) if v != syncmers.EMPTY} == least
+    used = (rows[:1] != syncmers.EMPTY) | (rows[1:2] != syncmers.EMPTY)
+    assert syncmers.likeness(rows[:1], rows[1:2])[0] == pytest.approx(((rows[0] == rows[1]) & used[0]).sum() / used.sum()) and syncmers.likeness(rows[4:], rows[4:])[0] == 1
+
+
 def test_packing(spark, docs, none, tokenizer):
     pieces = common.stored(packing.token_pieces(common.documents(docs), words.tokenizer_path("word_bpe_49k.json"), 1, 512), "p")
     got = packing.pack(pieces, 512).collect()
@@ -215,6 +263,18 @@ def test_pieces_equal_the_library(spark, docs, none):
     assert piece_codec.piece_digests(common.documents(none), path).count() == 0
 
 
+def test_agenda_rows_equal_the_heap_and_decoding_the_library():
+    path = words.tokenizer_path("piece_bpe_32k.model")
+    codec = piece_codec.MergeCodec(path)
+    some = list({f"\u2581{w}" for t in TEXTS if t for w in t.split()} | {"\u2581" + "ab" * 40, "\n", "\u65e5\u672c\U0001f600", "\u2581"})
+    for w, row in zip(some, codec._learn(pa.array(some))):
+        assert codec.rows.row(row) == codec.merge(w)
+    byte = codec.bytes
+    lists = [codec.lib.encode(t) for t in TEXTS if t] + [[], [byte[0xE6], byte[0x97]], [1, byte[0x41]], [codec.ids["\u2581"]] * 3, [byte[0xFF]], codec.lib.encode("a")[1:]]
+    assert codec.decode(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == [codec.lib.decode(x) if x else "" for x in lists]
+    assert codec.decode(pa.array([None, [5000]], pa.list_(pa.int32()))).to_pylist() == [None, codec.lib.decode([5000])]
+
+
 def test_line_templates(spark, docs, none):
     rng = random.Random(1)
     rows = [(i, f"{prose(100 + i, rng.randint(5, 30))}\nAll rights reserved here.\n{prose(200 + i, rng.randint(5, 30))}\nPage {i} of 99 printed on day {i * 7}\n{prose(300 + i, rng.randint(5, 30))}", "en", "s", 1) for i in range(30)]
@@ -237,6 +297,27 @@ def test_varying_fields_make_one_template(spark):
     assert all(r["n_dropped"] == 1 and "logged" not in r["text"] for r in got)
 
 
+def test_a_leaf_holds_several_templates_and_short_lines_count(spark):
+    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    line = lambda i, w: f"job run ended with code {w} after all retries" if i % 3 else f"job run ended with {w} warnings in total here"
+    rows = [(i, f"{prose(i, 5 + 9 * i)}\n{line(i, names[i % 10])}\nThe end.\n{prose(50 + i, 8 + i % 7)}", "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, f"{prose(700, 30)}\nOnly in copies.\n{prose(701, 40)}", "en", "s", 1) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, "x\nThe end.\nThe end.", None, None, None)], DOC).withColumnsRenamed({"lang": "h", "source": "_gone"})
+    out = line_templates.drop_templates(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped", "emptied"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[i]["n_dropped"] == 2 and "job run" not in got[i]["text"] for i in range(40))
+    assert all(got[100 + i]["n_dropped"] == 0 for i in range(60))
+    assert got[None]["text"] == "x" and got[None]["n_dropped"] == 2
+
+
+def test_recurrence_does_not_fade_with_size(spark):
+    for docs in (12, 900):  # one line among ever more independent documents, all of its lines' neighbours alike
+        rows = [(i, f"one two three\nThe end.\n" + "\n".join(prose(1000 + 7 * i + k, 20) for k in range(i % 11)), "en", "s", 1) for i in range(docs)]
+        got = line_templates.drop_templates(spark.createDataFrame(rows, DOC))
+        assert got.where("n_dropped = 2").count() == docs
+
+
 def shingle_set(t):
     w = (t or "").split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
