@@ -4,7 +4,11 @@ Pages that redirect to one address, or name one as canonical, are the same page:
 over these links carry a verdict to every alias. A page's own rule comes first, then an allow rule
 anywhere in its component, then a block rule there; otherwise it is allowed. DataFrame functions only.
 
+Targets are resolved against their page's address, and addresses are compared without fragment and dot
+segments, with scheme and host in lower case. Every canonical link and refresh of a page counts.
+
 Null url: host and path empty, no links, allowed. Null html: no links. Repeated rows each get a row.
+Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -48,17 +52,51 @@ def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
+#: Character references in attributes and what they stand for; the ampersand's own are the last to be replaced.
+REFERENCES = {"&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&#47;": "/", "&#x2f;": "/", "&#58;": ":", "&#x3a;": ":", "&#x3f;": "?", "&#x3d;": "=", "&amp;": "&", "&#38;": "&", "&#x26;": "&"}
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def unescaped(text: Column) -> Column:
+    """text without character references."""
+    for name, char in REFERENCES.items():
+        text = F.regexp_replace(text, f"(?i){name}", char)
+    return text
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The address that to means on the page url; null if it is none."""
+    root = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(url, r"(?s)^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    bare = F.regexp_replace(url, r"(?s)#.*$", "")
+    return (
+        F.when(to.rlike(SCHEME + "//"), to).when(to.startswith("//"), F.concat(F.substring_index(url, "://", 1), F.lit(":"), to)).when(to.startswith("/"), F.concat(root, to)).when(to.startswith("?"), F.concat(root, path, to))
+        .when(to.startswith("#"), bare).when(~to.rlike(SCHEME), F.concat(root, F.when(folder == "", "/").otherwise(folder), to))
+    )
+
+
+def comparable(url: Column) -> Column:
+    """An address in the form in which addresses are compared."""
+    root = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(url, r"(?s)^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    parts = F.split(path, "/")
+    up = lambda seen: F.when(F.size(seen) > 1, F.slice(seen, 1, F.size(seen) - 1)).otherwise(seen)
+    step = lambda seen, x: F.when(x == ".", seen).when(x == "..", up(seen)).otherwise(F.concat(seen, F.array(x)))
+    kept = F.array_join(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step), "/")
+    kept = F.when(path.rlike(r"(?s)/\.\.?$") | (kept == ""), F.concat(kept, F.lit("/"))).otherwise(kept)
+    dotted = F.when(F.concat(path, F.lit("/")).rlike(r"/\.\.?/"), kept).otherwise(path)
+    return F.when(root == "", url).otherwise(F.concat(F.translate(root, UPPER, LOWER), dotted, query))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's url and the address it redirects to or names as canonical; also its url without fragment."""
-    link = F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    href = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    hop = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    bare = F.regexp_replace("url", r"(?s)#.*$", "")
-    root = F.regexp_extract("url", r"^[^/?#]*://[^/?#]*", 0)
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.substring_index("url", "://", 1), F.lit(":"), "to")).when(F.col("to").startswith("/"), F.concat(root, "to"))
-    named = pages.where("url like '%://%'").select("url", F.explode(F.array(href, hop, bare)).alias("to")).where("to <> ''")
-    return named.select(F.col("url").alias("a"), full.alias("b")).where("b is not null and a <> b").distinct()
+    """(a, b): a page's url, and the form in which it is compared or that of an address it redirects to or names as canonical."""
+    tags = lambda tag, attribute: F.regexp_extract_all("html", F.lit(rf"""(?is)(<{tag}\b[^>]*\b{attribute}\b[^>]*>)"""), F.lit(1))
+    value = lambda name: lambda x: unescaped(F.regexp_extract(x, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1))
+    to = F.concat(F.transform(tags("link", r"""rel\s*=\s*(?:"[^"]*\bcanonical|'[^']*\bcanonical|canonical)"""), value("href")), F.transform(tags("meta", r"""http-equiv\s*=\s*["']?refresh"""), value("url")))
+    named = pages.where("url like '%://%'").select("url", F.explode(F.concat(F.array(F.lit("#")), F.coalesce(to, F.array()))).alias("to")).where("to <> ''")
+    return named.select(F.col("url").alias("a"), comparable(resolved(F.col("url"), F.col("to"))).alias("b")).where("b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: dict[str, str], more_links: DataFrame | None = None) -> DataFrame:
@@ -84,16 +122,28 @@ ORACLE = {
     "op10_url_filter": r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html FROM pages
-), named AS (
-  SELECT DISTINCT url, unnest([
-    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_replace(url, '(?s)#.*$', '')]) AS dest
+), raw AS (
+  SELECT DISTINCT url, unnest(list_concat(['#'],
+    list_transform(coalesce(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*(?:"[^"]*\bcanonical|''[^'']*\bcanonical|canonical)\b[^>]*>'), []), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(coalesce(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), []), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t
   FROM p WHERE url LIKE '%://%'
+), named AS (
+  SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;', '"', 'gi'), '&#34;', '"', 'gi'), '&apos;', '''', 'gi'), '&#39;', '''', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&#47;', '/', 'gi'), '&#x2f;', '/', 'gi'), '&#58;', ':', 'gi'), '&#x3a;', ':', 'gi'), '&#x3f;', '?', 'gi'), '&#x3d;', '=', 'gi'), '&amp;', '&', 'gi'), '&#38;', '&', 'gi'), '&#x26;', '&', 'gi') AS dest, regexp_extract(url, '^[^/?#]*://[^/?#]*') AS root, regexp_extract(url, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1) AS path FROM raw WHERE t <> ''
+), full_links AS (
+  SELECT url AS a, CASE WHEN regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dest WHEN starts_with(dest, '//') THEN split_part(url, '://', 1) || ':' || dest
+    WHEN starts_with(dest, '/') THEN root || dest WHEN starts_with(dest, '?') THEN root || path || dest WHEN starts_with(dest, '#') THEN regexp_replace(url, '(?s)#.*$', '')
+    WHEN NOT regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN root || CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^.*/') ELSE '/' END || dest END AS b
+  FROM named
+), cut AS (
+  SELECT a, b, regexp_extract(b, '^[^/?#]*://[^/?#]*') AS root, regexp_extract(b, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(b, '(?s)^[^?#]*(\?[^#]*)', 1) AS query FROM full_links WHERE b IS NOT NULL
+), straight AS (
+  SELECT *, list_reduce(list_transform(string_split(path, '/'), lambda x: [x]),
+      lambda seen, x: CASE WHEN x[1] = '.' THEN seen WHEN x[1] = '..' AND len(seen) > 1 THEN seen[:-2] WHEN x[1] = '..' THEN seen ELSE list_concat(seen, x) END) AS parts
+  FROM cut
 ), links AS (
-  SELECT url AS a, CASE WHEN dest LIKE '%://%' THEN dest WHEN dest LIKE '//%' THEN split_part(url, '://', 1) || ':' || dest
-    WHEN dest LIKE '/%' THEN regexp_extract(url, '^[^/?#]*://[^/?#]*') || dest END AS b
-  FROM named WHERE dest <> ''
+  SELECT a, CASE WHEN root = '' THEN b ELSE translate(root, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || CASE WHEN regexp_matches(path || '/', '/\.\.?/') THEN coalesce(nullif(array_to_string(parts, '/') || CASE WHEN regexp_matches(path, '(?s)/\.\.?$') THEN '/' ELSE '' END, ''), '/') ELSE path END || query END AS b
+  FROM straight
 ), two AS (
   SELECT a, b FROM links WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM links WHERE b IS NOT NULL AND a <> b
 ), reach(a, b) AS (

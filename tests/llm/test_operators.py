@@ -453,6 +453,37 @@ def test_url_filter(spark):
     assert long == {(h, p): r for h, p, r, _ in got.values() if r}
 
 
+def test_links_are_resolved(spark):
+    link = '<html><head><LINK href="{}" rel="nofollow canonical"></head></html>'
+    base = "http://A.org/x/y/z.html?q=1#top"
+    cases = {
+        "y.html": "http://a.org/x/y/y.html", "../w": "http://a.org/x/w", "./": "http://a.org/x/y/", "../..": "http://a.org/", "../../../../v": "http://a.org/v", "?p=2": "http://a.org/x/y/z.html?p=2", "/r?a=1&amp;b=2": "http://a.org/r?a=1&b=2", "//Z.net/&#x2F;k": "http://z.net//k",
+        "http://z.net/?a=1&#38;b=2#f": "http://z.net/?a=1&b=2", "https://z.net": "https://z.net", "#part": "http://a.org/x/y/z.html?q=1", "mailto:x@y.net": None,
+    }
+    for to, want in cases.items():
+        page = spark.createDataFrame([(1, base, link.format(to))], "page_id long, url string, html string")
+        assert {r["b"] for r in url_filter.page_links(page).collect()} == {"http://a.org/x/y/z.html?q=1", want or "http://a.org/x/y/z.html?q=1"}, to
+
+
+def test_redirects_carry_verdicts_and_equal_the_sql(spark):
+    import duckdb
+
+    link, hop = '<link rel=canonical href="{}">', """<meta http-equiv="Refresh" content="3;URL='{}'">"""
+    pages = [
+        (1, "http://a.org/one/p.html", link.format("two.html")), (2, "http://a.org/one/two.html", hop.format("../three")), (3, "http://a.org/three", link.format("http://b.net/x?a=1&amp;b=2")), (4, "http://c.org/k", link.format("http://B.NET/x?a=1&b=2#frag")),
+        (5, "http://d.org/", hop.format("?p=2")), (6, "http://d.org/?p=2", link.format("http://example.net/en/") + link.format("http://b.net/x?a=1&b=2")), (7, "http://e.org/", link.format("mailto:a@b.net")), (8, "http://f.org/a/./b", None), (9, "http://f.org/a/b", link.format("http://example.com/de/")), (10, None, link.format("/x")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(map(tuple, url_filter.judge(df, url_filter.RULES).collect()))
+    # 6 names an allowed address besides the blocked one, so all that lead there are allowed
+    assert {r[0]: r[4] for r in got} == {1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow"}
+    blocked = {r["page_id"]: r["verdict"] for r in url_filter.judge(df.where("page_id not in (5, 6)"), url_filter.RULES).collect()}
+    assert [blocked[i] for i in (1, 2, 3, 4, 7)] == ["block"] * 4 + ["allow"]
+    with duckdb.connect() as db:
+        db.register("pages", df.toPandas())
+        assert sorted(db.sql(url_filter.ORACLE["op10_url_filter"]).fetchall()) == got
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(900)]
