@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids come from a bounded sample, by two-means until no list of the sample is longer than its
-share, so lists are balanced; equal vectors of the sample count once, so they make one list. Every vector goes to the list of its nearest centroid; one near a
+share, so lists are balanced; equal vectors of the sample count once, so they make one
+list. Every vector goes to the list of its nearest centroid; one near a
 boundary is also put in up to REPLICAS - 1 others, whose centroids are at most REACH times as far and
 not nearer to a chosen centroid than to the vector. Centroids are found by best-first walks on a
-neighbour graph that is kept in memory. A query visits lists in order of their centroids' distances
-as long as these are at most PRUNE times the least one, PROBES lists at most, or one in PROBE_SHARE
-where that is more.
+neighbour graph that is kept in memory. A query visits the PROBES lists of nearest centroids, and more
+as long as their centroids' distances are at most PRUNE times the least one, up to one list in
+PROBE_SHARE. There is a list for each PER_LIST vectors, up to MOST_LISTS of them, which is what
+the graph in memory is bounded by; with more vectors, lists grow.
 
 Lists are cut into blocks of about LIST_ROWS vectors, and the queries of a list into blocks too, so a
 list that holds a third of all vectors is many small tasks. Scores are cosines in double precision.
 
-Null, zero or non-finite vectors take no part, nor do vectors of another length than most have.
+Null, zero or non-finite vectors take no part, nor do vectors of another length than most have. Repeated
+rows of a vec_id are candidates once; rows that share a vec_id are never neighbours of each other.
+Columns other than vec_id and embedding are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +31,8 @@ from pyspark.sql import Window as W
 
 from .common import stored, table
 
-SAMPLE, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 4096, 4000, 500
-REPLICAS, REACH, PROBES, PROBE_SHARE, PRUNE, DEGREE, BEAM = 3, 1.15, 64, 4, 1.6, 16, 96
+SAMPLE, PER_LIST, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 50, 16_384, 4000, 500
+REPLICAS, REACH, PROBES, PROBE_SHARE, PRUNE, DEGREE, BEAM = 3, 1.15, 16, 3, 1.6, 16, 96
 
 
 def usable(vector: str) -> Column:
@@ -45,13 +50,9 @@ def unit(vectors) -> np.ndarray:
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
     """Unit centroids: the largest part of the sample is split in two by the direction between two means, at its median."""
     sample = _distinct(sample)
-    rng, parts = np.random.default_rng(seed), [np.arange(len(sample))]
-    while len(parts) < min(lists, len(sample)):
-        parts.sort(key=len)
-        part = parts.pop()
-        if len(part) < 2:
-            parts.append(part)
-            break
+    rng, heap, made = np.random.default_rng(seed), [(-len(sample), 0, np.arange(len(sample)))], 1
+    while len(heap) < min(lists, len(sample)) and heap[0][0] < -1:
+        part = heapq.heappop(heap)[2]
         x = sample[part]
         ends = x[rng.choice(len(x), 2, replace=False)]
         for _ in range(6):
@@ -60,7 +61,10 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 0) -> np.ndar
                 break
             ends = np.stack([x[near == k].mean(0) for k in (0, 1)])
         order = np.argsort(x @ (ends[1] - ends[0]), kind="stable")
-        parts += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+        for half in (part[order[: len(part) // 2]], part[order[len(part) // 2 :]]):
+            heapq.heappush(heap, (-len(half), made, half))
+            made += 1
+    parts = [x[2] for x in heap]
     means = np.stack([sample[p].mean(0) for p in parts]) if len(sample) else np.zeros((0, 1))
     means = means[np.linalg.norm(means, axis=1) > 1e-9] if len(means) else means
     return _distinct(unit(means)) if len(means) else sample[:1]
@@ -77,7 +81,11 @@ class CentroidGraph:
     def __init__(self, centroids: np.ndarray):
         self.centroids = centroids
         n, k = len(centroids), min(DEGREE, len(centroids) - 1)
-        near = [np.argsort(-(centroids[i : i + 512] @ centroids.T), axis=1, kind="stable")[:, 1 : k + 1] for i in range(0, n, 512)]
+        near = []
+        for i in range(0, n, 512):
+            cos = centroids[i : i + 512] @ centroids.T
+            cos[np.arange(len(cos)), np.arange(i, i + len(cos))] = -np.inf  # not itself
+            near.append(np.argpartition(-cos, min(k, n - 1), axis=1)[:, :k])
         rng = np.random.default_rng(1)
         self.links = np.concatenate([np.concatenate(near), rng.integers(0, n, (n, 4))], 1)  # some far links keep it connected
         self.entries = rng.permutation(n)[: min(n, 16)]
@@ -128,7 +136,7 @@ def probes_of(graph: CentroidGraph, vectors: np.ndarray) -> list[list[int]]:
     """The lists that each query visits."""
     lists = len(graph.centroids)
     far, ids = graph.search(vectors, min(max(PROBES, lists // PROBE_SHARE), lists))
-    return [[int(c) for c, d in zip(near, dist) if d <= PRUNE * dist[0] + 1e-9] for dist, near in zip(far, ids)]
+    return [[int(c) for k, (c, d) in enumerate(zip(near, dist)) if d < np.inf and (k < PROBES or d <= PRUNE * dist[0] + 1e-9)] for dist, near in zip(far, ids)]
 
 
 def _placed(rows: DataFrame, graph, place) -> DataFrame:
@@ -144,22 +152,21 @@ def _placed(rows: DataFrame, graph, place) -> DataFrame:
     return rows.mapInPandas(put, "vec_id long, embedding array<double>, lists array<int>").select("vec_id", "embedding", F.explode("lists").alias("list"))
 
 
-def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows for each query among these, and all that tie with the last."""
+def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int, at_once: int = 50_000) -> pd.DataFrame:
+    """The k best rows for each query among these; ties go to the smaller vec_id."""
     q, v = (np.stack([np.asarray(x, np.float64) for x in f["embedding"]]) for f in (queries, rows))
-    qs, vs = np.abs(q).max(1, keepdims=True), np.abs(v).max(1, keepdims=True)
-    qn, vn = np.sqrt(((q / qs) ** 2).sum(1)), np.sqrt(((v / vs) ** 2).sum(1))
-    rough = (q / qs / qn[:, None]) @ (v / vs / vn[:, None]).T
+    q, v = (x / np.abs(x).max(1, keepdims=True) for x in (q, v))
+    qn, vn = (np.sqrt((x**2).sum(1)) for x in (q, v))
     qi, vi = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
-    out = []
-    for i in range(len(q)):
-        of = np.where(vi == qi[i], -np.inf, rough[i])
-        least = np.partition(of, -k)[-k] if len(of) > k else -np.inf
-        at = np.flatnonzero((of >= least - 1e-9) & (of > -np.inf))
-        score = (v[at] / vs[at] * (q[i] / qs[i])).sum(1) / (vn[at] * qn[i])  # one way for all, so equal vectors tie
-        top = np.lexsort((vi[at], -score))[:k]
-        out.append(pd.DataFrame({"query_id": qi[i], "vec_id": vi[at][top], "score": score[top]}))
-    return pd.concat(out)
+    rough = (q / qn[:, None]) @ (v / vn[:, None]).T
+    rough[qi[:, None] == vi[None, :]] = -np.inf
+    least = np.partition(rough, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), -np.inf)
+    i, j = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))  # row by row, with all that may tie with the last
+    score = np.concatenate([np.empty(0), *((v[j[at : at + at_once]] * q[i[at : at + at_once]]).sum(1) for at in range(0, len(i), at_once))]) / (vn[j] * qn[i])  # one way for all, so equal vectors tie
+    order = np.lexsort((vi[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return pd.DataFrame({"query_id": qi[i[top]], "vec_id": vi[j[top]], "score": score[top]})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -172,7 +179,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors, queries, n = fit(vectors), fit(queries), length["count"]
     every = max(1, -(-n // SAMPLE))
     sample = vectors.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(every)) == 0).limit(2 * SAMPLE).select("embedding").toPandas()["embedding"]
-    centroids = balanced_centroids(unit(sample if len(sample) else [r["embedding"] for r in vectors.limit(1).collect()]), max(1, min(MOST_LISTS, n // 200)))
+    centroids = balanced_centroids(unit(sample if len(sample) else [r["embedding"] for r in vectors.limit(1).collect()]), max(1, min(MOST_LISTS, n // PER_LIST)))
     graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
     postings = stored(_placed(vectors, graph, lists_of), "postings")
     asked = stored(_placed(queries, graph, probes_of), "probes")

@@ -502,6 +502,17 @@ def test_vector_search(spark):
     assert vector_search.search(df.where("false"), df).count() == 0
 
 
+def test_pruned_lists_hold_the_neighbours():
+    rng = np.random.default_rng(3)
+    vectors = vector_search.unit(rng.normal(size=(4000, 32)))
+    graph = vector_search.CentroidGraph(vector_search.balanced_centroids(vectors, len(vectors) // vector_search.PER_LIST))
+    lists, queries = vector_search.lists_of(graph, vectors), vectors[::40]
+    probes = vector_search.probes_of(graph, queries)
+    assert np.mean([len(p) for p in probes]) < 0.4 * len(graph.centroids)  # most lists are left out
+    near = np.argsort(-(queries @ vectors.T), axis=1)[:, 1:6]
+    assert np.mean([bool(set(p) & set(lists[j])) for p, js in zip(probes, near) for j in js]) >= 0.9
+
+
 def test_equal_vectors_make_one_list():
     rng = np.random.default_rng(5)
     rows = rng.normal(size=(6000, 16))
