@@ -6,7 +6,11 @@ arrays with a column for each language, searched by bisection. The language of l
 per character is chosen; a text whose cross-entropy is far above what texts of that language have,
 calibrated on labelled texts that the models have not seen, is rejected.
 
-The models learn from a sample of at most SAMPLE labelled documents a language, picked by a hash.
+The models learn from a sample of about SAMPLE labelled documents a language, picked by a hash.
+
+Null, empty and letterless texts are unknown, of score 0, and rejected. Texts are scored whole, whatever
+their length; ties between languages go to the first by name. Repeated rows each get a row, and other
+columns are kept. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import sliced, table
 from .syncmers import mixed
@@ -183,13 +186,18 @@ class TextScores:
 def learn(docs: DataFrame, most: int = SAMPLE) -> CharacterModels | None:
     """Models from (doc_id, text, lang), the rows already limited to those that may be learned from.
 
-    Takes at most `most` documents a language, those of least hash; the driver gets the word counts of
-    this sample. One in CALIBRATE_EVERY of them only calibrates rejection. None without labelled texts.
+    Takes about `most` documents a language, those whose hash is under the language's share (all where it
+    has fewer); the driver gets one row a language, and the word counts of this sample. One in
+    CALIBRATE_EVERY of them only calibrates rejection, by costs worked out on the executors. None without
+    labelled texts. Repeated rows count as often as they stand; languages with null texts alone are not learned.
     """
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("text", "doc_id").alias("h"))
-    picked = labelled.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= most)
-    texts = docs.where("text is not null").withColumn("h", F.xxhash64("text", "doc_id")).join(F.broadcast(picked.select("h", "r").distinct()), "h")
-    held = F.col("r") % CALIBRATE_EVERY == 0
+    labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)).alias("h"))
+    many = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not many:
+        return None
+    limits = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, int((1 << 40) * min(1.0, most / n)))])
+    texts = labelled.where(F.col("h") < limits[F.col("lang")])
+    held = F.col("h") % CALIBRATE_EVERY == 0
     words = texts.where(~held).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).select("lang", F.regexp_replace("w", r"[^\p{L}]+", "").alias("w")).where("w <> ''").groupBy("lang", "w").count()
     counts: dict[str, dict[str, int]] = {}
     for lang, w, n in words.toArrow().select(["lang", "w", "count"]).to_pandas().itertuples(index=False):
@@ -197,10 +205,17 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> CharacterModels | None:
     if not counts:
         return None
     models = CharacterModels(counts)
-    sample = texts.where(held).select("text", "lang").toArrow().combine_chunks()
-    if sample.num_rows:
-        text = sample.column("text").combine_chunks()
-        models.calibrate(*TextScores(models).of(text), sample.column("lang").to_pylist())
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = TextScores(models)
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                cost, length = scores.of(part.column("text"))
+                yield pa.record_batch([part.column("lang"), pa.array(list(cost), pa.list_(pa.float64())), pa.array(length, pa.int64())], ["lang", "cost", "length"])
+
+    sample = texts.where(held).select("text", "lang").mapInArrow(costs, "lang string, cost array<double>, length long").toPandas()
+    if len(sample):
+        models.calibrate(np.stack(sample["cost"]), sample["length"].to_numpy(), sample["lang"].tolist())
     return models
 
 

@@ -160,11 +160,13 @@ def _pack_blocks(pieces: DataFrame, capacity: int) -> DataFrame:
 
     state_type = "block long, island int, lengths array<long>, population array<array<int>>"
     state = stored(pieces.groupBy("block").applyInPandas(start, state_type), "islands")
+    islands = state.where("island > 0").count()  # a task each, so that none gets many by chance
     for e in range(EPOCHS):
-        if state.where("island > 0").isEmpty():
+        if not islands:
             break
         elite = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("population")[0].alias("guest"))
-        state = stored(state.join(elite, ["block", "island"], "left").withColumn("epoch", F.lit(e)).mapInPandas(epoch, state_type), "islands")
+        dealt = state.join(elite, ["block", "island"], "left").withColumn("epoch", F.lit(e)).repartition(min(islands, 20_000), "block", "island")
+        state = stored(dealt.mapInPandas(epoch, state_type), "islands")
     best = state.select("block", F.col("population")[0].alias("packed")).groupBy("block").agg(F.min_by("packed", F.array_max("packed")).alias("packed"))
 
     def settle(key: tuple, rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:

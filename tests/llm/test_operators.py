@@ -411,6 +411,41 @@ def test_models_are_distributions():
     assert (cost >= 0).all() and length.tolist() == [4, 4, 0] and cost[0, 0] < cost[0, 1]
 
 
+def test_models_equal_plain_kneser_ney():
+    counts = {"a": {"abc": 3, "abd": 1, "bab": 2, "cad": 1, "a": 4}, "b": {"xyz": 1, "zyx": 2, "yy": 1, "abx": 1}}
+    order, models = 3, langid.CharacterModels(counts, 3)
+
+    def plain(lang, word):
+        raw = [{} for _ in range(order)]  # counts of n-grams; the first mark is never predicted
+        for w, times in counts[lang].items():
+            t = f"\x01{w}\x01"
+            for n in range(1, order + 1):
+                for e in range(max(n - 1, 1), len(t)):
+                    raw[n - 1][t[e - n + 1 : e + 1]] = raw[n - 1].get(t[e - n + 1 : e + 1], 0) + times
+        used = [{g: max(1, sum(1 for x in raw[n + 1] if x[1:] == g)) for g in raw[n]} if n + 1 < order else raw[n] for n in range(order)]
+        alphabet = max([2, *({len({c for w in counts[x] for c in w}) + 1 for x in counts})])
+
+        def p(context, c, n):
+            if n == 0:
+                return 1 / (4 * alphabet)
+            grams = used[n - 1]
+            ones, twos = (sum(1 for v in grams.values() if v == k) for k in (1, 2))
+            d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+            same = {g: v for g, v in grams.items() if g[:-1] == context[len(context) - n + 1 :]} if n > 1 else grams
+            lower = p(context, c, n - 1)
+            if not same:
+                return lower
+            return max(0, same.get((context[len(context) - n + 1 :] if n > 1 else "") + c, d) - d) / sum(same.values()) + d * len(same) / sum(same.values()) * lower
+
+        t = f"\x01{word}\x01"
+        return -sum(np.log(p(t[max(0, e - order + 1) : e], t[e], min(order, e + 1))) for e in range(1, len(t)))
+
+    probes = ["abc", "zyx", "abx", "qq", "bad", "y"]
+    cost, _ = models.score(probes)
+    for k, lang in enumerate(models.languages):
+        assert cost[:, k] == pytest.approx([plain(lang, w) for w in probes], rel=1e-4)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, 600 + i) for i in range(50)]
