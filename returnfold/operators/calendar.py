@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, running, whole
+from ..functions.columns import growth, running
 
 #: Names of period lengths, old ones and new ones.
 ALIASES = {"D": "D", "W": "W-MON", "W-MON": "W-MON", "M": "ME", "ME": "ME", "Q": "QE", "QE": "QE", "A": "YE", "Y": "YE", "YE": "YE"}
@@ -93,15 +93,26 @@ def monthly_returns(returns: DataFrame, eoy: bool = True, compounded: bool = Tru
     return out.join(years, ["series_id", "year"])
 
 
-def distribution(returns: DataFrame, compounded: bool = True) -> DataFrame:
-    """(series_id, period, values, outliers) for days, weeks, months, quarters and years: outliers lie beyond 1.5 quartile ranges."""
+def distribution_rows(returns: DataFrame, compounded: bool = True) -> DataFrame:
+    """(series_id, period, dt, r, outlier) of days, weeks, months, quarters and years: outliers lie beyond 1.5 quartile ranges.
+
+    Quartiles come from a count of each value, which is summed up before rows move.
+    """
     out = None
     for name, freq in (("Daily", None), ("Weekly", "W-MON"), ("Monthly", "ME"), ("Quarterly", "QE"), ("Yearly", "YE")):
         rows = returns.select("series_id", "dt", "r") if freq is None else resample(returns, freq, "comp" if compounded else "sum", empty=0.0)
-        q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.75))).over(whole())
-        fences = rows.withColumn("q", q).withColumn("w", 1.5 * (F.col("q")[1] - F.col("q")[0]))
-        inside = (F.col("r") >= F.col("q")[0] - F.col("w")) & (F.col("r") <= F.col("q")[1] + F.col("w"))
-        lists = fences.groupBy("series_id").agg(F.array_sort(F.collect_list(F.when(inside, F.struct("dt", "r")))).alias("v"), F.array_sort(F.collect_list(F.when(~inside, F.struct("dt", "r")))).alias("o"))
-        part = lists.select("series_id", F.lit(name).alias("period"), F.col("v.r").alias("values"), F.col("o.r").alias("outliers"))
+        part = rows.select("series_id", F.lit(name).alias("period"), "dt", "r")
         out = part if out is None else out.unionByName(part)
-    return out
+    q = F.percentile("r", F.array(F.lit(0.25), F.lit(0.75)))
+    fences = out.groupBy("series_id", "period").agg(q.alias("q"))
+    width = 1.5 * (F.col("q")[1] - F.col("q")[0])
+    inside = (F.col("r") >= F.col("q")[0] - width) & (F.col("r") <= F.col("q")[1] + width)
+    return out.join(fences, ["series_id", "period"]).select("series_id", "period", "dt", "r", (~inside).alias("outlier"))
+
+
+def distribution(returns: DataFrame, compounded: bool = True) -> DataFrame:
+    """(series_id, period, values, outliers): the rows of distribution_rows() as lists, for series short enough to be drawn."""
+    rows = distribution_rows(returns, compounded)
+    listed = lambda on: F.array_sort(F.collect_list(F.when(on, F.struct("dt", "r"))))
+    lists = rows.groupBy("series_id", "period").agg(listed(~F.col("outlier")).alias("v"), listed(F.col("outlier")).alias("o"))
+    return lists.select("series_id", "period", F.col("v.r").alias("values"), F.col("o.r").alias("outliers"))

@@ -7,7 +7,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import daily_rate, finite, growth, ordered, running, trailing, whole
+from ..functions.columns import daily_rate, finite, growth, ordered, running, whole
+
+#: Blocks of an exponentially weighted sum that still count.
+REACH = 3
 
 
 def clean(df: DataFrame, value: str = "r") -> DataFrame:
@@ -77,24 +80,32 @@ def multi_shift(prices: DataFrame, shift: int = 3) -> DataFrame:
     return prices.select("series_id", "dt", "p", *(F.lag("p", i).over(ordered()).alias(f"p{i}") for i in range(1, shift)))
 
 
-def exponential_stdev(returns: DataFrame, window: int = 30, halflife: bool = False, reach: int | None = None) -> DataFrame:
-    """Exponentially weighted sample deviation, null in the first window - 1 rows.
+def exponential_stdev(returns: DataFrame, window: int = 30, halflife: bool = False) -> DataFrame:
+    """Exponentially weighted sample deviation, null in the first window - 1 rows; rows without a return have the last one's.
 
-    The weights of rows further back than reach (some 27 spans, where they are below 1e-20) are left out,
-    which keeps the work per row bounded on series of any length.
+    Weights fall by keep a row. Sums over a series are made block by block: within a block, a running sum
+    of values over keep ** place, times keep ** place; to which come the totals of the last blocks, each
+    weighted by its distance. Those further back than REACH blocks weigh less than 1e-20.
     """
     keep = 0.5 ** (1 / window) if halflife else 1 - 2 / (window + 1)
-    reach = reach or max(2 * window, int(-46 / math.log(keep)) + 1)
-    rows = F.collect_list("r").over(trailing(reach))
-    n = F.size("rows")
-    weights = F.transform(F.sequence(F.lit(1), n), lambda i: F.pow(F.lit(keep), n - i))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    out = returns.select("series_id", "dt", "r", rows.alias("rows"), F.count("r").over(running()).alias("n")).withColumn("w", weights)
-    out = out.withColumns({"sw": total(F.col("w")), "sw2": total(F.transform("w", lambda x: x * x))})
-    out = out.withColumn("m", total(F.zip_with("w", "rows", lambda w, x: w * x)) / F.col("sw"))
-    square = total(F.zip_with("w", "rows", lambda w, x: w * (x - F.col("m")) * (x - F.col("m")))) / F.col("sw")
-    var = square * F.try_divide(F.col("sw") * F.col("sw"), F.col("sw") * F.col("sw") - F.col("sw2"))
-    return out.select("series_id", "dt", F.when(F.col("n") >= window, F.sqrt(var)).alias("ewm_std"))
+    size = max(2, int(-16 / math.log(keep)))  # keep ** -size is at most some 1e7
+    n = F.count("r").over(running())  # of this row, from 1
+    rows = returns.select("series_id", "dt", (F.col("r") - F.first("r", True).over(running())).alias("x"), n.alias("n"))
+    rows = rows.withColumns({"block": F.floor((F.col("n") - 1) / size), "at": (F.col("n") - 1) % size})
+    up = F.pow(F.lit(keep), -F.col("at"))
+    sums = {"s1": F.sum(F.col("x") * up), "s2": F.sum(F.col("x") * F.col("x") * up)}
+    totals = rows.groupBy("series_id", "block").agg(*((v * keep ** (size - 1)).alias(k) for k, v in sums.items()))
+    before = ordered(by="block")
+    lagged = lambda c: sum((F.coalesce(F.lag(c, k + 1).over(before), F.lit(0.0)) * keep ** (size * k) for k in range(REACH)), F.lit(0.0))
+    carried = totals.select("series_id", "block", lagged("s1").alias("c1"), lagged("s2").alias("c2"))
+    inside = running("series_id", "block")
+    down = F.pow(F.lit(keep), F.col("at"))
+    local = rows.select("series_id", "dt", "n", "block", "at", *((v.over(inside) * down).alias(k) for k, v in sums.items())).join(carried, ["series_id", "block"])
+    whole_ = lambda s, c: F.col(s) + F.col(c) * down * keep
+    w, w2 = ((1 - F.pow(F.lit(k), F.col("n"))) / (1 - k) for k in (keep, keep**2))
+    mean = F.try_divide(whole_("s1", "c1"), w)
+    var = F.greatest(F.try_divide(whole_("s2", "c2"), w) - mean * mean, F.lit(0.0)) * F.try_divide(w * w, w * w - w2)
+    return local.select("series_id", "dt", F.when(F.col("n") >= window, F.sqrt(var)).alias("ewm_std"))
 
 
 def consecutive(df: DataFrame, flag: str) -> DataFrame:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import growth, running, whole
-from ..operators.calendar import filled_daily, monthly_returns, period_end, resample
+from ..operators.benchmark import on_common_dates
+from ..operators.calendar import distribution_rows, filled_daily, monthly_returns, period_end, resample
 from ..operators.drawdown import longest_drawdowns, to_drawdown_series
 from ..operators.montecarlo import confidence_band, path_summary, percentile_path
 from ..operators.portfolio import make_portfolio, match_volatility
 from ..operators.rolling import rolling_greeks, rolling_sharpe, rolling_sortino, rolling_volatility
 
 
-def cumulative(returns: DataFrame, compounded: bool = True, benchmark: DataFrame | None = None, same_volatility: bool = False) -> DataFrame:
-    """(series_id, dt, value): running return; of the series scaled to the benchmark's deviation, if asked."""
+def cumulative(returns: DataFrame, compounded: bool = True, benchmark: DataFrame | None = None, same_volatility: bool = False, freq: str | None = None) -> DataFrame:
+    """(series_id, dt, value): running return; of the series scaled to the benchmark's deviation, or of bins of time, if asked."""
     rows = match_volatility(returns, benchmark) if same_volatility else returns
+    rows = rows if freq is None else resample(rows, freq, "comp" if compounded else "sum", empty=0.0)
     value = growth().over(running()) - 1 if compounded else F.sum("r").over(running())
     return rows.select("series_id", "dt", value.alias("value"))
 
@@ -53,12 +57,31 @@ def histogram(returns: DataFrame, freq: str = "ME", bins: int = 20, compounded:
 
 
 def _binned(rows: DataFrame, c: str, bins: int) -> DataFrame:
+    """Counts of bins of equal width; values that differ by rounding alone are one bin."""
     lo, hi = F.min(c).over(whole()), F.max(c).over(whole())
-    wide = rows.withColumns({"_lo": lo, "_w": (hi - lo) / bins})
+    apart = hi - lo > 1e-9 * F.greatest(F.abs(lo), F.abs(hi))
+    wide = rows.withColumns({"_lo": lo, "_w": F.when(apart, (hi - lo) / bins).otherwise(0.0)})
     at = F.when(F.col("_w") == 0, 0).otherwise(F.least(F.floor((F.col(c) - F.col("_lo")) / F.when(F.col("_w") != 0, F.col("_w"))), F.lit(bins - 1))).cast("int")
     return wide.groupBy("series_id", at.alias("bin")).agg(F.first(F.col("_lo") + at * F.col("_w")).alias("low"), F.count("*").alias("n"))
 
 
+def density(returns: DataFrame, freq: str = "ME", points: int = 64, compounded: bool = True) -> DataFrame:
+    """(series_id, x, density): Gaussian kernel estimate of the returns of all bins of time, of Scott's width, at points from least to greatest.
+
+    Series without spread are left out.
+    """
+    rows = resample(returns, freq, "comp" if compounded else "sum", empty=0.0)
+    wide = rows.groupBy("series_id").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), (F.stddev_samp("r") * F.pow(F.count("r"), F.lit(-0.2))).alias("h"), F.count("r").alias("n")).where("h > 0")
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1))).alias("x")
+    u = (F.col("x") - F.col("r")) / F.col("h")
+    return rows.join(wide, "series_id").select("series_id", "r", "h", "n", at).groupBy("series_id", "x").agg((F.sum(F.exp(-u * u / 2)) / F.first(F.col("n") * F.col("h") * F.lit((2 * math.pi) ** 0.5))).alias("density"))
+
+
+def with_benchmark(returns: DataFrame, benchmark: DataFrame, name: str = "Benchmark") -> DataFrame:
+    """returns and the benchmark (dt, b) as one more series, for charts that show both."""
+    return returns.select("series_id", "dt", "r").unionByName(benchmark.select(F.lit(name).alias("series_id"), "dt", F.col("b").alias("r")))
+
+
 def underwater(returns: DataFrame) -> DataFrame:
     """(series_id, dt, dd, mean)."""
     return to_drawdown_series(returns).withColumn("mean", F.avg("dd").over(whole()))
@@ -109,5 +132,22 @@ def montecarlo_lines(simulated: DataFrame, level: float = 0.95) -> DataFrame:
     return confidence_band(simulated, level).join(middle, ["series_id", "step"]).join(own, ["series_id", "step"])
 
 
-def montecarlo_histogram(simulated: DataFrame, bins: int = 50, column: str = "max_dd") -> DataFrame:
+def montecarlo_histogram(simulated: DataFrame, bins: int = 50, column: str = "terminal") -> DataFrame:
+    """(series_id, bin, low, n) of the paths' last values, or of max_dd."""
     return _binned(path_summary(simulated), column, bins)
+
+
+def charts(returns: DataFrame, benchmark: DataFrame | None = None, compounded: bool = True, window: int = 126, full: bool = True) -> dict[str, DataFrame]:
+    """The tables of all charts of a report by name; not full: those of the short one."""
+    out = {"snapshot": snapshot(returns), "heatmap": monthly_heatmap(returns, compounded)}
+    if not full:
+        return out
+    both = returns if benchmark is None else with_benchmark(returns, benchmark)
+    out |= {
+        "returns": cumulative(both, compounded), "log_returns": cumulative(both, compounded), "earnings": earnings(returns), "yearly": period_bars(both, "YE", compounded), "histogram": histogram(both, compounded=compounded), "density": density(both, compounded=compounded),
+        "daily": daily_active(returns), "rolling": rolling_lines(returns, window), "drawdowns": drawdown_periods(returns), "underwater": underwater(returns), "distribution": distribution_rows(returns, compounded),
+    }
+    if benchmark is not None:
+        joined = on_common_dates(returns, benchmark)
+        out |= {"same_volatility": cumulative(returns, compounded, benchmark, True), "rolling_beta": rolling_beta(joined), "active": daily_active(joined, True), "active_heatmap": active_heatmap(returns, benchmark, compounded)}
+    return out

@@ -11,12 +11,16 @@ from ..functions.columns import correlation, growth
 from ..operators.benchmark import beta
 from ..operators.calendar import aggregate_returns, monthly_returns
 from ..operators.drawdown import drawdown_summary, longest_drawdowns, to_drawdown_series
-from ..operators.stats import STATS, Settings, compute, longest_streak
+from ..operators.filters import match_dates
+from ..operators.stats import STATS, Settings, compute, longest_streak, total
 
 #: Fixed values: (name, statistic, whether it is a percentage, full table only), in the order of the table.
 LAYOUT = [
+    ("Start Period", "start", False, False),
+    ("End Period", "end", False, False),
+    ("Risk-Free Rate %", "rf", True, False),
     ("Time in Market %", "exposure", True, False),
-    ("Cumulative Return %", "comp", True, False),
+    ("Cumulative Return %", "total", True, False),
     ("CAGR %", "cagr", True, False),
     ("Sharpe", "sharpe", False, False),
     ("Prob. Sharpe Ratio %", "probabilistic_sharpe_ratio", True, False),
@@ -27,6 +31,9 @@ LAYOUT = [
     ("Smart Sortino/√2", "smart_adjusted_sortino", False, True),
     ("Omega", "omega", False, False),
     ("Max Drawdown %", "max_drawdown", True, False),
+    ("Max DD Date", "dd_date", False, False),
+    ("Max DD Period Start", "dd_start", False, False),
+    ("Max DD Period End", "dd_end", False, False),
     ("Longest DD Days", "longest_days", False, False),
     ("Volatility (ann.) %", "volatility", True, True),
     ("R^2", "r_squared", False, True),
@@ -91,6 +98,9 @@ LAYOUT = [
     ("Correlation %", "correlation", True, True),
     ("Treynor Ratio %", "treynor", True, True),
 ]
+#: Fixed value: the name of the total where returns are added up.
+SIMPLE_TOTAL = "Total Return %"
+DATES = ("start", "end", "dd_date", "dd_start", "dd_end")
 #: Months back from the last date, and whether the return is brought to a year.
 HORIZONS = {"m3": (3, False), "m6": (6, False), "y1": (12, False), "y3": (35, True), "y5": (59, True), "y10": (120, True)}
 
@@ -104,12 +114,12 @@ def horizons(returns: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(series_id, mtd, ytd, m3 ...): returns since dates counted back from the last date of all series."""
     last = returns.agg(F.max("dt").alias("_last"))  # one row
     r = F.col("r")
-    total = lambda on: (F.product(F.when(on, 1 + r).otherwise(1.0)) - 1) if settings.compounded else F.sum(F.when(on, r).otherwise(0.0))
+    since_then = lambda on: (F.product(F.when(on, 1 + r).otherwise(1.0)) - 1) if settings.compounded else F.sum(F.when(on, r).otherwise(0.0))
     since = {"mtd": F.col("dt") >= F.trunc("_last", "month"), "ytd": F.col("dt") >= F.trunc("_last", "year")}
-    out = [total(on).alias(name) for name, on in since.items()]
+    out = [since_then(on).alias(name) for name, on in since.items()]
     for name, (months, yearly) in HORIZONS.items():
         on = F.col("dt") >= F.add_months("_last", -months)
-        value = F.pow(F.abs(total(on) + 1), F.try_divide(F.lit(float(settings.periods)), F.count_if(on))) - 1 if yearly else total(on)
+        value = F.pow(F.abs(since_then(on) + 1), F.try_divide(F.lit(float(settings.periods)), F.count_if(on))) - 1 if yearly else since_then(on)
         out.append(value.alias(name))
     return returns.join(F.broadcast(last)).groupBy("series_id").agg(*out)
 
@@ -118,6 +128,7 @@ def metric_columns(returns: DataFrame, benchmark: DataFrame | None = None, setti
     """One row for each series with a column for each statistic of LAYOUT that is wanted."""
     own = sorted({s for _, s, _, f in LAYOUT if s in STATS and (full or not f)})
     out = compute(returns, *own, settings=settings)
+    plain = returns.groupBy("series_id").agg(F.min("dt").cast("date").alias("start"), F.max("dt").cast("date").alias("end"), F.lit(float(settings.rf)).alias("rf"), total(settings).alias("total"))
     monthly = aggregate_returns(returns, "month", settings.compounded)
     m = lambda c: F.avg(F.when(c, F.col("r")))
     months = monthly.groupBy("series_id").agg(
@@ -127,8 +138,9 @@ def metric_columns(returns: DataFrame, benchmark: DataFrame | None = None, setti
     pain = returns.groupBy("series_id", F.trunc("dt", "month").alias("_m")).agg(F.sum("r").alias("r")).groupBy("series_id").agg(STATS["gain_to_pain_ratio"](settings).alias("gain_to_pain_monthly"))
     years = aggregate_returns(returns, "year", settings.compounded).groupBy("series_id").agg(F.max("r").alias("best_year"), F.min("r").alias("worst_year"), STATS["win_rate"](settings).alias("win_year"), (F.pow(growth(), F.lit(1.0) / F.count("r")) - 1).alias("expected_yearly"))
     quarters = aggregate_returns(returns, "quarter", settings.compounded).groupBy("series_id").agg(STATS["win_rate"](settings).alias("win_quarter"))
-    episodes = drawdown_summary(to_drawdown_series(returns)).select("series_id", "longest_days", "avg_dd", "avg_days")
-    parts = [months.drop("_gp"), pain, years, quarters, episodes, horizons(returns, settings), longest_streak(returns), longest_streak(returns, losses=True)]
+    worst = [F.col(c).cast("date").alias(name) for c, name in (("valley", "dd_date"), ("start", "dd_start"), ("end", "dd_end"))]
+    episodes = drawdown_summary(to_drawdown_series(returns)).select("series_id", *worst, "longest_days", "avg_dd", "avg_days")
+    parts = [plain, months.drop("_gp"), pain, years, quarters, episodes, horizons(returns, settings), longest_streak(returns), longest_streak(returns, losses=True)]
     if benchmark is not None:
         both = returns.join(benchmark, "dt")
         d = F.col("r") - F.col("b")
@@ -140,12 +152,16 @@ def metric_columns(returns: DataFrame, benchmark: DataFrame | None = None, setti
 
 
 def metrics(returns: DataFrame, benchmark: DataFrame | None = None, settings: Settings = Settings(), full: bool = True) -> DataFrame:
-    """(series_id, ord, metric, value): the table of metrics, percentages times 100; risk in percent below 0."""
+    """(series_id, ord, metric, value, date): the table of metrics, percentages times 100; risk in percent below 0.
+
+    Rows that are dates have them in date and a null value.
+    """
     wide = metric_columns(returns, benchmark, settings, full)
-    shown = [(name, s, pct) for name, s, pct, f in LAYOUT if (full or not f) and s in wide.columns]
+    shown = [(SIMPLE_TOTAL if s == "total" and not settings.compounded else name, s, pct) for name, s, pct, f in LAYOUT if (full or not f) and s in wide.columns]
     value = lambda s, pct: (-F.abs(F.col(s)) if s in ("value_at_risk", "conditional_value_at_risk") else F.col(s).cast("double")) * (100.0 if pct else 1.0)
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("metric"), value(s, pct).alias("value")) for i, (name, s, pct) in enumerate(shown))))
-    return wide.select("series_id", rows.alias("m")).select("series_id", "m.ord", "m.metric", "m.value")
+    cell = lambda s, pct: (F.lit(None).cast("double").alias("value"), F.col(s).alias("date")) if s in DATES else (value(s, pct).alias("value"), F.lit(None).cast("date").alias("date"))
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(name).alias("metric"), *cell(s, pct)) for i, (name, s, pct) in enumerate(shown))))
+    return wide.select("series_id", rows.alias("m")).select("series_id", "m.*")
 
 
 def basic(returns: DataFrame, benchmark: DataFrame | None = None, settings: Settings = Settings()) -> dict[str, DataFrame]:
@@ -170,29 +186,46 @@ def html_table(rows: list, columns: list[str]) -> str:
     return f"<table><thead><tr>{head}</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows) + "</tbody></table>"
 
 
-def polyline(points: list[tuple[float, float]], width: int = 640, height: int = 160) -> str:
-    """An SVG line."""
+def polyline(*lines: list[tuple[float, float]], width: int = 640, height: int = 160) -> str:
+    """SVG lines on common axes; all but the first are dashed."""
+    points = [p for line in lines for p in line]
     if not points:
         return ""
     xs, ys = zip(*points)
     sx, sy = (max(xs) - min(xs)) or 1, (max(ys) - min(ys)) or 1
-    at = " ".join(f"{(x - min(xs)) / sx * width:.1f},{height - (y - min(ys)) / sy * height:.1f}" for x, y in points)
-    return f'<svg viewBox="0 0 {width} {height}"><polyline fill="none" stroke="currentColor" points="{at}"/></svg>'
+    at = lambda line: " ".join(f"{(x - min(xs)) / sx * width:.1f},{height - (y - min(ys)) / sy * height:.1f}" for x, y in line)
+    drawn = "".join(f'<polyline fill="none" stroke="currentColor"{" stroke-dasharray=\'4\'" * (k > 0)} points="{at(line)}"/>' for k, line in enumerate(lines) if line)
+    return f'<svg viewBox="0 0 {width} {height}">{drawn}</svg>'
 
 
 def html(returns: DataFrame, series: str, benchmark: DataFrame | None = None, settings: Settings = Settings(), title: str = "Strategy Tearsheet", output: str | None = None, worst: int = 10) -> str:
-    """Tear sheet of one series; the driver gets its metrics, its worst drawdowns and a row for each month."""
+    """Tear sheet of one series, beside a benchmark (dt, b) on the dates from which both have returns.
+
+    The driver gets its metrics, its worst drawdowns, and a row for each month and year.
+    """
     own = returns.where(F.col("series_id") == series)
-    table = metrics(own, benchmark, settings).orderBy("ord").select("metric", "value").collect()
+    facts, both = parameters(settings), [own]
+    if benchmark is not None:
+        own, benchmark = match_dates(own, benchmark)
+        both = [own, benchmark.select(F.lit("Benchmark").alias("series_id"), "dt", F.col("b").alias("r"))]
+        facts |= {"Dates": "matched"}
+    table = {}
+    for k, rows in enumerate(both):
+        for name, value, date in metrics(rows, benchmark if k == 0 else None, settings).orderBy("ord").select("metric", "value", "date").collect():
+            table.setdefault(name, [None] * len(both))[k] = date if value is None else value
     deep = longest_drawdowns(to_drawdown_series(own), worst).orderBy("rank").select("start", "valley", "end", "days", "max_dd").collect()
-    months = aggregate_returns(own, "month", settings.compounded).orderBy("period").collect()
-    years = aggregate_returns(own, "year", settings.compounded).orderBy("period").select(F.year("period"), F.col("r") * 100).collect()
-    level, line = 1.0, []
-    for i, row in enumerate(months):
-        level *= 1 + row["r"]
-        line.append((i, level))
-    facts = " · ".join(f"{k}: {v}" for k, v in parameters(settings).items())
-    parts = [f"<h1>{_html.escape(title)}</h1><p>{_html.escape(series)} · {facts}</p>", polyline(line), "<h2>Metrics</h2>", html_table(table, ["Metric", "Value"]), "<h2>Years</h2>", html_table(years, ["Year", "Return %"]), "<h2>Worst drawdowns</h2>", html_table(deep, ["Start", "Valley", "End", "Days", "Max %"])]
+    years, lines = {}, []
+    for k, rows in enumerate(both):
+        level, line = 1.0, []
+        for i, row in enumerate(aggregate_returns(rows, "month", settings.compounded).orderBy("period").collect()):
+            level = level * (1 + row["r"]) if settings.compounded else level + row["r"]
+            line.append((i, level))
+        lines.append(line)
+        for year, r in aggregate_returns(rows, "year", settings.compounded).select(F.year("period"), F.col("r") * 100).collect():
+            years.setdefault(year, [None] * len(both))[k] = r
+    names = [series, "Benchmark"][: len(both)]
+    shown = " · ".join(f"{k}: {v}" for k, v in facts.items())
+    parts = [f"<h1>{_html.escape(title)}</h1><p>{_html.escape(series)} · {shown}</p>", polyline(*lines), "<h2>Metrics</h2>", html_table([(k, *v) for k, v in table.items()], ["Metric", *names]), "<h2>Years (%)</h2>", html_table([(str(y), *years[y]) for y in sorted(years)], ["Year", *names]), "<h2>Worst drawdowns</h2>", html_table(deep, ["Start", "Valley", "End", "Days", "Max %"])]
     page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{_html.escape(title)}</title></head><body>{''.join(parts)}</body></html>"
     if output:
         with open(output, "w", encoding="utf-8") as f:

@@ -19,7 +19,7 @@ from .operators import rolling as L
 from .operators.stats import STATS, Settings, compute, longest_streak
 from .plans import chart_data as H
 from .plans import report as T
-from .sources.series import from_wide, to_wide
+from .sources.series import from_wide, naive_utc, stack, to_wide, validate
 from .sources.tables import market, prices_by_priority, returns_by_event, returns_by_priority, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,7 +240,7 @@ _KEEP = 1 - 2 / 31
     WITH + f", i AS (SELECT *, row_number() OVER {_W} AS n FROM ret)",
 )
 def _(spark, sf):
-    return P.exponential_stdev(returns_by_priority(spark, sf), 30, reach=690)
+    return P.exponential_stdev(returns_by_priority(spark, sf), 30)
 
 
 @query(
@@ -495,18 +495,19 @@ for _period, _x in (("year", "date_trunc('year', dt)::DATE"), ("month", "date_tr
     f"""SELECT series_id, dt, {n6('r', 'r')}, {n6(f'coalesce(p / lag(p) OVER {_W} - 1, 0)', 'b')} FROM ret LEFT JOIN (
   SELECT dt, first_value(p IGNORE NULLS) OVER (ORDER BY dt ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM (
     SELECT CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS DATE) AS dt FROM bench) LEFT JOIN bench USING (dt)) USING (dt)""",
-    WITH + ", bench AS (SELECT dt, product(1 + b) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS p FROM mkt WHERE day(dt) % 3 <> 0)",
+    WITH + ", bench AS (SELECT dt, product(1 + r) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS p FROM ret WHERE series_id = '1-URGENT')",
 )
 def _(spark, sf):
-    return B.align_benchmark(returns_by_priority(spark, sf), market(spark, sf).where("day(dt) % 3 <> 0"))
+    rows = returns_by_priority(spark, sf)  # one of the series as the benchmark: it lacks dates that others have
+    return B.align_benchmark(rows, rows.where("series_id = '1-URGENT'").select("dt", F.col("r").alias("b")))
 
 
-# Monte Carlo: 20 paths of each monthly series.
+# Monte Carlo: 1000 paths of each daily series; 20 where every row of every path is returned.
 
-SIMS, SEED = 20, 7
+SIMS, SHOWN, SEED = 1000, 20, 7
 PATHS = (
     WITH
-    + f""", monthly AS ({_MONTH}), placed AS (SELECT series_id, r, row_number() OVER (PARTITION BY series_id ORDER BY period) - 1 AS i FROM monthly
+    + f""", placed AS (SELECT series_id, r, row_number() OVER (PARTITION BY series_id ORDER BY dt) - 1 AS i FROM ret
 ), keyed AS (
   SELECT series_id, sim, i, r, CASE WHEN sim = 0 THEN lpad(CAST(i AS VARCHAR), 12, '0') ELSE md5(concat_ws('-', '{SEED}', sim, i)) END AS k FROM placed CROSS JOIN (SELECT unnest(range(0, {SIMS})) AS sim)
 ), paths AS (
@@ -517,21 +518,17 @@ PATHS = (
 )
 
 
-def _monthly(spark, sf):
-    return K.aggregate_returns(returns_by_priority(spark, sf), "month").withColumnRenamed("period", "dt")
-
-
 def _paths(spark, sf):
-    return M.paths(_monthly(spark, sf), SIMS, SEED)
+    return M.paths(returns_by_priority(spark, sf), SIMS, SEED)
 
 
 def _five(c: str) -> str:
     return ", ".join([n6(f"min({c})", "min"), n6(f"max({c})", "max"), n6(f"avg({c})", "mean"), n6(f"median({c})", "median"), n6(f"stddev_samp({c})", "std"), *(n6(f"quantile_cont({c}, {p / 100})", f"percentile_{p}") for p in (5, 25, 75, 95))])
 
 
-@query("montecarlo_paths", f"SELECT series_id, sim, step, {n6('r', 'r')}, {n6('v', 'v')} FROM paths", PATHS)
+@query("montecarlo_paths", f"SELECT series_id, sim, step, {n6('r', 'r')}, {n6('v', 'v')} FROM paths", PATHS.replace(f"range(0, {SIMS})", f"range(0, {SHOWN})"))
 def _(spark, sf):
-    return _paths(spark, sf)
+    return M.paths(returns_by_priority(spark, sf), SHOWN, SEED)
 
 
 @query("montecarlo_stats", f"SELECT series_id, {_five('terminal')} FROM mc GROUP BY 1", PATHS)
@@ -541,7 +538,7 @@ def _(spark, sf):
 
 @query("montecarlo_drawdown", f"SELECT series_id, {_five('max_dd')} FROM mc GROUP BY 1", PATHS)
 def _(spark, sf):
-    return M.montecarlo_drawdown(_monthly(spark, sf), SIMS, SEED)
+    return M.montecarlo_drawdown(returns_by_priority(spark, sf), SIMS, SEED)
 
 
 @query("montecarlo_bust", f"SELECT series_id, {n6('avg(CASE WHEN max_dd <= -0.02 THEN 1.0 ELSE 0.0 END)', 'bust_probability')} FROM mc GROUP BY 1", PATHS)
@@ -564,14 +561,14 @@ def _(spark, sf):
     return M.confidence_band(_paths(spark, sf))
 
 
-@query("montecarlo_sharpe", f"SELECT series_id, {_five('x')} FROM (SELECT series_id, sim, avg(r) / stddev_samp(r) * sqrt(12.0) AS x FROM paths WHERE step > 0 GROUP BY 1, 2 HAVING stddev_samp(r) > 0) GROUP BY 1", PATHS)
+@query("montecarlo_sharpe", f"SELECT series_id, {_five('x')} FROM (SELECT series_id, sim, avg(r) / stddev_samp(r) * sqrt(252.0) AS x FROM paths WHERE step > 0 GROUP BY 1, 2 HAVING stddev_samp(r) > 0) GROUP BY 1", PATHS)
 def _(spark, sf):
-    return M.montecarlo_sharpe(_monthly(spark, sf), SIMS, periods=12, seed=SEED)
+    return M.montecarlo_sharpe(returns_by_priority(spark, sf), SIMS, seed=SEED)
 
 
-@query("montecarlo_cagr", f"SELECT series_id, {_five('x')} FROM (SELECT series_id, sim, pow(1 + arg_max(v, step), 12.0 / count(*)) - 1 AS x FROM paths GROUP BY 1, 2) GROUP BY 1", PATHS)
+@query("montecarlo_cagr", f"SELECT series_id, {_five('x')} FROM (SELECT series_id, sim, pow(1 + arg_max(v, step), 252.0 / count(*)) - 1 AS x FROM paths GROUP BY 1, 2) GROUP BY 1", PATHS)
 def _(spark, sf):
-    return M.montecarlo_cagr(_monthly(spark, sf), SIMS, periods=12, seed=SEED)
+    return M.montecarlo_cagr(returns_by_priority(spark, sf), SIMS, seed=SEED)
 
 
 # Chart data.
@@ -612,7 +609,8 @@ _BIN = "CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((x - lo) / nullif(w, 0)), {
 
 def _histogram(rows: str, x: str, n: int) -> str:
     at = _BIN.format(n=n)
-    return f"SELECT series_id, {at} AS bin, {n6(f'any_value(lo + {at} * w)', 'low')}, count(*) AS n FROM (SELECT series_id, {x} AS x, min({x}) OVER s AS lo, (max({x}) OVER s - min({x}) OVER s) / {n} AS w FROM {rows} WINDOW s AS (PARTITION BY series_id)) GROUP BY 1, 2"
+    spread = f"max({x}) OVER s - min({x}) OVER s"
+    return f"SELECT series_id, {at} AS bin, {n6(f'any_value(lo + {at} * w)', 'low')}, count(*) AS n FROM (SELECT series_id, {x} AS x, min({x}) OVER s AS lo, CASE WHEN {spread} > 1e-9 * greatest(abs(max({x}) OVER s), abs(min({x}) OVER s)) THEN ({spread}) / {n} ELSE 0 END AS w FROM {rows} WINDOW s AS (PARTITION BY series_id)) GROUP BY 1, 2"
 
 
 @query("chart_histogram", _histogram(_bins("ME", "product(1 + r) - 1"), "coalesce(r, 0)", 20))
@@ -620,6 +618,68 @@ def _(spark, sf):
     return H.histogram(returns_by_priority(spark, sf))
 
 
+@query("chart_returns_resampled", f"SELECT series_id, dt, {n6(f'product(1 + coalesce(r, 0)) OVER {_CUM} - 1', 'value')} FROM {_bins('W-MON', 'product(1 + r) - 1')}")
+def _(spark, sf):
+    return H.cumulative(returns_by_priority(spark, sf), freq="W-MON")
+
+
+@query(
+    "chart_density",
+    f"""SELECT b.series_id, {n6('w.lo + (w.hi - w.lo) * i / 63.0', 'x', 9)}, {n6('sum(exp(-pow((w.lo + (w.hi - w.lo) * i / 63.0 - b.r) / w.h, 2) / 2)) / any_value(w.n * w.h * sqrt(2 * pi()))', 'density', 3)}
+FROM bins b JOIN (SELECT series_id, min(r) AS lo, max(r) AS hi, stddev_samp(r) * pow(count(r), -0.2) AS h, count(r) AS n FROM bins GROUP BY 1) w USING (series_id) CROSS JOIN (SELECT unnest(range(0, 64)) AS i) GROUP BY 1, i, w.lo, w.hi""",
+    WITH + f", bins AS (SELECT series_id, coalesce(r, 0) AS r FROM {_bins('ME', 'product(1 + r) - 1')})",
+    9,
+)
+def _(spark, sf):
+    rows = H.density(returns_by_priority(spark, sf))
+    return rows.withColumn("density", F.round(F.col("density") + shift(3), 3) + 0.0)
+
+
+@query("chart_histogram_both", _histogram(_bins("ME", "product(1 + r) - 1", "(SELECT series_id, dt, r FROM ret UNION ALL SELECT 'Benchmark', dt, b FROM mkt)"), "coalesce(r, 0)", 20))
+def _(spark, sf):
+    return H.histogram(H.with_benchmark(returns_by_priority(spark, sf), market(spark, sf)))
+
+
+@query("chart_box_data", f"SELECT series_id, dt, {n6('last_value(r IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY dt ROWS UNBOUNDED PRECEDING)', 'r')} FROM (SELECT series_id, CAST(unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) AS DATE) AS dt FROM bins GROUP BY 1) LEFT JOIN bins USING (series_id, dt)", WITH + f", bins AS (SELECT series_id, dt, coalesce(r, 0) AS r FROM {_bins('ME', 'product(1 + r) - 1')})")
+def _(spark, sf):
+    return H.box_data(returns_by_priority(spark, sf))
+
+
+@query("chart_tables", "SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT 'snapshot' AS name, count(*) AS n FROM ret UNION ALL SELECT 'heatmap', count(DISTINCT (series_id, year(dt))) FROM ret UNION ALL SELECT 'returns', (SELECT count(*) FROM ret) + (SELECT count(*) FROM mkt) UNION ALL SELECT 'underwater', count(*) FROM ret UNION ALL SELECT 'active', count(*) FROM both_)")
+def _(spark, sf):
+    tables, counts = H.charts(returns_by_priority(spark, sf), market(spark, sf)), None
+    for name in ("snapshot", "heatmap", "returns", "underwater", "active"):
+        n = tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
+
+
+@query("distribution_rows", " UNION ALL ".join(
+        f"SELECT series_id, '{name}' AS period, dt, {n6('r', 'r')}, NOT r BETWEEN q[1] - 1.5 * (q[2] - q[1]) AND q[2] + 1.5 * (q[2] - q[1]) AS outlier FROM (SELECT series_id, dt, coalesce(r, 0) AS r, quantile_cont(coalesce(r, 0), [0.25, 0.75]) OVER (PARTITION BY series_id) AS q FROM {rows})"
+        for name, rows in (("Daily", "ret"), ("Weekly", _bins("W-MON", "product(1 + r) - 1")), ("Monthly", _bins("ME", "product(1 + r) - 1")), ("Quarterly", _bins("QE", "product(1 + r) - 1")), ("Yearly", _bins("YE", "product(1 + r) - 1")))
+    ))
+def _(spark, sf):
+    return K.distribution_rows(returns_by_priority(spark, sf))
+
+
+@query("stacked", f"SELECT series_id, dt, {n6('r', 'r')}, NULL::DOUBLE AS b FROM ret UNION ALL SELECT NULL, dt, NULL, {n6('b', 'b')} FROM mkt")
+def _(spark, sf):
+    return stack(validate(returns_by_priority(spark, sf)), market(spark, sf))
+
+
+@query("naive_times", "SELECT event_type AS series_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS dt, count(*) AS n FROM events GROUP BY 1, 2", "")
+def _(spark, sf):
+    zoned = table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").cast("timestamp").alias("dt"))
+    return naive_utc(zoned).groupBy("series_id", "dt").agg(F.count("*").alias("n"))
+
+
+@query("texts", f"SELECT series_id, CAST(year(dt) AS BIGINT) AS year, {n6('round_even(100 * sum(r) / 0.25, 0) * 0.25', 'rounded')}, CASE WHEN contains(printf('%.1f', 100 * sum(r)), '-') THEN '' ELSE '+' END || printf('%.1f', 100 * sum(r)) AS signed, CASE WHEN n >= 1e3 THEN regexp_replace(printf('%.1f', n / 1e3), '\\.0$', '') || 'K%' ELSE printf('%.0f', n) || '%' END AS label FROM ret JOIN (SELECT o_orderpriority AS series_id, year(o_orderdate) AS y, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2) USING (series_id) WHERE y = year(dt) GROUP BY 1, 2, n")
+def _(spark, sf):
+    counts = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), F.year("o_orderdate").alias("year")).agg(F.count("*").cast("double").alias("n"))
+    sums = returns_by_priority(spark, sf).groupBy("series_id", F.year("dt").alias("year")).agg((100 * F.sum("r")).alias("x"))
+    return sums.join(counts, ["series_id", "year"]).select("series_id", "year", C.round_to("x", 0.25).alias("rounded"), C.signed(F.format_string("%.1f", F.col("x"))).alias("signed"), C.percent_label("n").alias("label"))
+
+
 @query("chart_underwater", f"SELECT series_id, dt, {n6('dd', 'dd')}, {n6('avg(dd) OVER (PARTITION BY series_id)', 'mean')} FROM under")
 def _(spark, sf):
     return H.underwater(returns_by_priority(spark, sf))
@@ -655,9 +715,8 @@ def _(spark, sf):
     return H.montecarlo_lines(_paths(spark, sf))
 
 
-@query("chart_montecarlo_histogram", _histogram("mc", "max_dd", 50), PATHS)
-def _(spark, sf):
-    return H.montecarlo_histogram(_paths(spark, sf))
+for _column in ("terminal", "max_dd"):
+    query("chart_montecarlo_histogram" + ("_max_dd" if _column == "max_dd" else ""), _histogram("mc", _column, 50), PATHS)(lambda spark, sf, column=_column: H.montecarlo_histogram(_paths(spark, sf), column=column))
 
 
 @query("labels", """SELECT DISTINCT o_orderpriority AS series_id, CAST(year(o_orderdate) AS BIGINT) AS year, CASE WHEN t >= 1e9 THEN '$' || regexp_replace(printf('%.1f', t / 1e9), '\\.0$', '') || 'B' WHEN t >= 1e6 THEN '$' || regexp_replace(printf('%.1f', t / 1e6), '\\.0$', '') || 'M' WHEN t >= 1e3 THEN '$' || regexp_replace(printf('%.1f', t / 1e3), '\\.0$', '') || 'K' ELSE '$' || printf('%.0f', t) END AS total
@@ -703,27 +762,55 @@ def _(spark, sf):
     return T.horizons(returns_by_priority(spark, sf))
 
 
-def _metrics_sql(full: bool) -> str:
-    """The table of metrics, from the same pieces as the single queries."""
-    extra = {
-        "expected_monthly": f"(SELECT {STAT_SQL['expected_return']} FROM ({_MONTH}) m WHERE m.series_id = s.series_id)",
-        "expected_yearly": f"(SELECT {STAT_SQL['expected_return']} FROM (SELECT series_id, year(dt) AS y, product(1 + r) - 1 AS r FROM ret GROUP BY 1, 2) m WHERE m.series_id = s.series_id)",
-    }
+def _streak(losses: bool) -> str:
+    return _STREAK.format(name="x", sign="<" if losses else ">", rows="ret")
+
+
+_YEAR, _QUARTER = (f"SELECT series_id, date_trunc('{_p}', dt)::DATE AS period, product(1 + r) - 1 AS r FROM ret GROUP BY 1, 2" for _p in ("year", "quarter"))
+_WORST = '(max_dd, "start")'
+#: Statistics that no single aggregate over e gives: rows, and what is worked out of them for each series.
+METRIC_SQL = {
+    "start": ("ret", "min(dt)"), "end": ("ret", "max(dt)"), "rf": ("ret", "0.0"), "total": ("ret", _CG), "dd_date": ("episodes", f"arg_min(valley, {_WORST})"), "dd_start": ("episodes", f'arg_min("start", {_WORST})'), "dd_end": ("episodes", f'arg_min("end", {_WORST})'),
+    "longest_days": ("episodes", "max(days)"), "avg_dd": ("episodes", "avg(max_dd)"), "avg_days": ("episodes", "avg(days)"), "r_squared": ("both_", "pow(corr(r, b), 2)"), "correlation": ("both_", "corr(r, b)"), "information_ratio": ("both_", "coalesce(avg(r - b) / nullif(stddev_samp(r - b), 0), 0)"),
+    "beta": ("both_", "coalesce(covar_samp(r, b) / nullif(var_samp(b), 0), 0)"), "alpha": ("both_", "coalesce((avg(r) - covar_samp(r, b) / nullif(var_samp(b), 0) * avg(b)) * 252, 0)"), "treynor": ("both_", f"coalesce({_CG} / nullif(covar_samp(r, b) / nullif(var_samp(b), 0), 0), 0)"),
+    "expected_monthly": (f"({_MONTH})", STAT_SQL["expected_return"]), "expected_yearly": (f"({_YEAR})", STAT_SQL["expected_return"]), "gain_to_pain_monthly": ("(SELECT series_id, date_trunc('month', dt) AS m, sum(r) AS r FROM ret GROUP BY 1, 2)", STAT_SQL["gain_to_pain_ratio"]),
+    "consecutive_wins": (f"({_streak(False)})", "max(x)"), "consecutive_losses": (f"({_streak(True)})", "max(x)"), "mtd": ("ret", _since(f"date_trunc('month', {_LAST})")), "ytd": ("ret", _since(f"date_trunc('year', {_LAST})")), "m3": ("ret", _since(_ago(3))), "m6": ("ret", _since(_ago(6))), "y1": ("ret", _since(_ago(12))), "y3": ("ret", _yearly(35)), "y5": ("ret", _yearly(59)), "y10": ("ret", _yearly(120)),
+    "best_month": (f"({_MONTH})", "max(r)"), "worst_month": (f"({_MONTH})", "min(r)"), "best_year": (f"({_YEAR})", "max(r)"), "worst_year": (f"({_YEAR})", "min(r)"), "avg_up_month": (f"({_MONTH})", _AW), "avg_down_month": (f"({_MONTH})", _AL), "win_month": (f"({_MONTH})", _WIN), "win_quarter": (f"({_QUARTER})", _WIN), "win_year": (f"({_YEAR})", _WIN),
+}
+
+
+def _metrics_sql(full: bool, only: bool = False) -> str:
+    """The table of metrics, from the same pieces as the single queries; only: no rows but those of single statistics of e."""
     rows = []
-    shown = [x for x in T.LAYOUT if full or not x[3]]
-    for i, (label, stat, pct, _) in enumerate(shown):
-        if stat in STAT_SQL and stat not in extra:
-            x = f"-abs({STAT_SQL[stat]})" if stat in ("value_at_risk", "conditional_value_at_risk") else STAT_SQL[stat]
-            rows.append(f"SELECT series_id, {i}::BIGINT AS ord, '{label}' AS metric, round(CAST({x} AS DOUBLE) * {100.0 if pct else 1.0} + {shift(DIGITS)!r}, {DIGITS}) + 0.0 AS value FROM e GROUP BY 1")
+    for i, (label, stat, pct, _) in enumerate(x for x in T.LAYOUT if full or not x[3]):
+        if stat in STAT_SQL:
+            source, x = "e", f"-abs({STAT_SQL[stat]})" if stat in ("value_at_risk", "conditional_value_at_risk") else STAT_SQL[stat]
+        elif only or stat not in METRIC_SQL:
+            continue
+        else:
+            source, x = METRIC_SQL[stat]
+        shown = "NULL::DOUBLE AS value, x AS date" if stat in T.DATES else f"round(CAST(x AS DOUBLE) * {100.0 if pct else 1.0} + {shift(DIGITS)!r}, {DIGITS}) + 0.0 AS value, NULL::DATE AS date"
+        rows.append(f"SELECT series_id, {i}::BIGINT AS ord, '{label}' AS metric, {shown} FROM (SELECT series_id, {x} AS x FROM {source} GROUP BY 1)")
     return " UNION ALL ".join(rows)
 
 
-@query("metrics_basic_scan", _metrics_sql(False))
+@query("metrics_basic_scan", f"SELECT series_id, ord, metric, value FROM ({_metrics_sql(False, only=True)})")
 def _(spark, sf):
     rows = T.metrics(returns_by_priority(spark, sf), full=False)
-    return rows.where(F.col("metric").isin([label for label, s, _, f in T.LAYOUT if s in STAT_SQL and not f]))
+    return rows.where(F.col("metric").isin([label for label, s, _, f in T.LAYOUT if s in STAT_SQL and not f])).drop("date")
 
 
-@query("metrics_full")
+@query("metrics_full", _metrics_sql(True), EPISODES)
 def _(spark, sf):
     return T.metrics(returns_by_priority(spark, sf), market(spark, sf))
+
+
+_SIMPLE = ["Total Return %", "CAGR %", "All-time (ann.) %", "Best Month %", "MTD %"]
+
+
+@query(
+    "metrics_simple",
+    f"SELECT series_id, metric, {n6('x * 100', 'value')} FROM (" + " UNION ALL ".join(f"SELECT series_id, '{m}' AS metric, {x} AS x FROM {rows} GROUP BY 1" for m, x, rows in (("Total Return %", "sum(r)", "ret"), ("CAGR %", f"pow(abs(sum(r) + 1), 252.0 / {_N}) - 1", "ret"), ("All-time (ann.) %", f"pow(abs(sum(r) + 1), 252.0 / {_N}) - 1", "ret"), ("Best Month %", "max(r)", "(SELECT series_id, date_trunc('month', dt) AS m, sum(r) AS r FROM ret GROUP BY 1, 2)"), ("MTD %", f"sum(CASE WHEN dt >= date_trunc('month', {_LAST}) THEN r ELSE 0 END)", "ret"))) + ")",
+)
+def _(spark, sf):
+    return T.metrics(returns_by_priority(spark, sf), settings=Settings(compounded=False)).where(F.col("metric").isin(_SIMPLE)).select("series_id", "metric", "value")

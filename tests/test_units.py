@@ -3,13 +3,14 @@
 import datetime as dt
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from returnfold.functions import columns as C
 from returnfold.operators import benchmark, calendar, drawdown, filters, montecarlo, portfolio, prepare, rolling
 from returnfold.operators.stats import STATS, Settings, compute, longest_streak
-from returnfold.plans import report
+from returnfold.plans import chart_data, report
 from returnfold.sources import series
 from returnfold.streaming import running
 
@@ -184,3 +185,39 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() >= 1 and got.where("n <> 24").count() == 0
+
+
+def test_metrics_of_added_returns_and_dates(spark):
+    rows = frame(spark, [0.1, -0.2, 0.05, 0.3])
+    got = {r["metric"]: r for r in report.metrics(rows, settings=Settings(compounded=False, rf=0.02)).collect()}
+    assert "Cumulative Return %" not in got and got["Total Return %"]["value"] == pytest.approx(25.0) and got["Risk-Free Rate %"]["value"] == 2.0
+    assert [got[k]["date"] - got["Start Period"]["date"] for k in ("End Period", "Max DD Date", "Max DD Period Start", "Max DD Period End")] == [dt.timedelta(d) for d in (3, 1, 1, 2)]
+
+
+def test_tear_sheet_beside_a_benchmark(spark):
+    rows = frame(spark, [0.0, 0.01, -0.02, 0.015] * 30)
+    page = report.html(rows, "a", rows.select("dt", (rows["r"] / 2).alias("b")))
+    assert page.count("<polyline") == 2 and "<th>Benchmark</th>" in page and "Dates: matched" in page and "Beta" in page
+
+
+def test_exponential_deviation_equals_pandas(spark):
+    values = [0.01 * math.sin(i * i) + (0.5 if i == 300 else 0) for i in range(1500)]
+    for args in ({"window": 30}, {"window": 5, "halflife": True}):
+        got = [r["ewm_std"] for r in prepare.exponential_stdev(frame(spark, values), **args).orderBy("dt").collect()]
+        ewm = pd.Series(values).ewm(halflife=5, min_periods=5) if "halflife" in args else pd.Series(values).ewm(span=30, min_periods=30)
+        for x, y in zip(got, ewm.std()):
+            assert (x is None and math.isnan(y)) or x == pytest.approx(y, rel=1e-6, abs=1e-9)
+
+
+def test_all_charts_have_rows(spark):
+    rows = frame(spark, [0.01, -0.02, 0.015] * 100)
+    tables = chart_data.charts(rows, rows.select("dt", (rows["r"] / 2).alias("b")))
+    assert len(tables) == 17 and all(t.limit(1).count() == 1 for t in tables.values())
+    assert set(chart_data.charts(rows, full=False)) == {"snapshot", "heatmap"}
+
+
+def test_small_helpers(spark):
+    from returnfold.operators.calendar import frequency
+
+    assert [frequency(x) for x in ("M", "A", "D", "2H")] == ["ME", "YE", "D", "2H"]
+    assert report.parameters(Settings(), "X")["Benchmark"] == "X" and "Benchmark" not in report.parameters()
