@@ -28,7 +28,7 @@ from .common import sliced, table
 from .syncmers import mixed
 from .words import Memo, strings, word_codes
 
-SAMPLE, ORDER, CALIBRATE_EVERY, STRICTNESS = 1000, 4, 5, 6.0
+SAMPLE, ORDER, CALIBRATE_EVERY, STRICTNESS = 1000, 4, 5, 8.0
 UNKNOWN = "und"
 #: A text column of this name is read but not returned by predict().
 DROPPED = "_text"
