@@ -10,8 +10,10 @@ as long as their centroids' distances are at most PRUNE times the least one, up
 PROBE_SHARE. There is a list for each PER_LIST vectors, up to MOST_LISTS of them, which is what
 the graph in memory is bounded by; with more vectors, lists grow.
 
-Lists are cut into blocks of about LIST_ROWS vectors, and the queries of a list into blocks too, so a
-list that holds a third of all vectors is many small tasks. Scores are cosines in double precision.
+Lists are packed into groups of about LIST_ROWS vectors, in which a vector or query stands once with its
+lists, so that a query gets K rows from a group, not from each list. Groups are cut into blocks of so many
+vectors and of QUERY_ROWS queries, so a list that holds a third of all vectors is many small tasks.
+Scores are cosines in double precision.
 
 Null, zero or non-finite vectors take no part, nor do vectors of another length than most have. Repeated
 rows of a vec_id are candidates once; rows that share a vec_id are never neighbours of each other.
@@ -32,6 +34,8 @@ from pyspark.sql import Window as W
 from .common import stored, table
 
 SAMPLE, PER_LIST, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 50, 16_384, 4000, 500
+#: Lists of a group.
+GROUPED = max(1, LIST_ROWS // (3 * PER_LIST))
 REPLICAS, REACH, PROBES, PROBE_SHARE, PRUNE, DEGREE, BEAM = 3, 1.15, 16, 3, 1.6, 16, 96
 
 
@@ -140,7 +144,7 @@ def probes_of(graph: CentroidGraph, vectors: np.ndarray) -> list[list[int]]:
 
 
 def _placed(rows: DataFrame, graph, place) -> DataFrame:
-    """rows (vec_id, embedding) once for each of its lists; the graph is of bounded size and broadcast."""
+    """(vec_id, embedding, lists, group) of rows (vec_id, embedding), once for each group of lists; the graph is of bounded size and broadcast."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,7 +153,17 @@ def _placed(rows: DataFrame, graph, place) -> DataFrame:
                 if len(part):
                     yield part.assign(lists=place(graph.value, unit(part["embedding"])))
 
-    return rows.mapInPandas(put, "vec_id long, embedding array<double>, lists array<int>").select("vec_id", "embedding", F.explode("lists").alias("list"))
+    return rows.mapInPandas(put, "vec_id long, embedding array<double>, lists array<int>").withColumn("group", F.explode(F.array_distinct(F.transform("lists", lambda x: F.floor(x / GROUPED).cast("int")))))
+
+
+def _meet(asked, placed) -> np.ndarray:
+    """Whether a query visits a list that a row is in, for each query and row."""
+    number = {x: k for k, x in enumerate(sorted({int(x) for lists in placed for x in lists}))}
+    hot = np.zeros((2, max(len(asked), len(placed)), max(1, len(number))), np.float32)
+    for side, column in enumerate((asked, placed)):
+        for k, lists in enumerate(column):
+            hot[side, k, [number[int(x)] for x in lists if int(x) in number]] = 1
+    return hot[0, : len(asked)] @ hot[1, : len(placed)].T > 0
 
 
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int, at_once: int = 50_000) -> pd.DataFrame:
@@ -160,6 +174,8 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int, at_once: int = 50_0
     qi, vi = queries["vec_id"].to_numpy(), rows["vec_id"].to_numpy()
     rough = (q / qn[:, None]) @ (v / vn[:, None]).T
     rough[qi[:, None] == vi[None, :]] = -np.inf
+    if "lists" in queries:
+        rough[~_meet(queries["lists"], rows["lists"])] = -np.inf
     least = np.partition(rough, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), -np.inf)
     i, j = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))  # row by row, with all that may tie with the last
     score = np.concatenate([np.empty(0), *((v[j[at : at + at_once]] * q[i[at : at + at_once]]).sum(1) for at in range(0, len(i), at_once))]) / (vn[j] * qn[i])  # one way for all, so equal vectors tie
@@ -183,14 +199,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
     postings = stored(_placed(vectors, graph, lists_of), "postings")
     asked = stored(_placed(queries, graph, probes_of), "probes")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("asks")), "list")
+    sizes = postings.groupBy("group").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("blocks")).join(asked.groupBy("group").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("asks")), "group")
     sizes = stored(sizes, "sizes")
     block = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    right = postings.join(sizes, "list").withColumn("block", block("blocks")).withColumn("ask", each("asks"))
-    left = asked.join(sizes, "list").withColumn("ask", block("asks")).withColumn("block", each("blocks"))
-    key = ["list", "block", "ask"]
-    apart = lambda df: df.select(*(F.col(c).alias(c) for c in (*key, "vec_id", "embedding")))
+    right = postings.join(sizes, "group").withColumn("block", block("blocks")).withColumn("ask", each("asks"))
+    left = asked.join(sizes, "group").withColumn("ask", block("asks")).withColumn("block", each("blocks"))
+    key = ["group", "block", "ask"]
+    apart = lambda df: df.select(*(F.col(c).alias(c) for c in (*key, "vec_id", "embedding", "lists")))
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         return _best(q, v, k) if len(q) and len(v) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
