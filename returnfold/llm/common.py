@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranges(docs: DataFrame, text: str = "text", most_bytes: int = 16 << 20, most: int = 1000) -> int:
+def ranges(docs: DataFrame, text: str = "text", most_bytes: int = 8 << 20, most: int = 1000) -> int:
     """How many ranges of rows to deal docs out in, so that each has some most_bytes of text; rows of a range needn't fit in memory."""
     size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     return max(1, min(most, -(-size // most_bytes)))
