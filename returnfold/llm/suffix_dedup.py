@@ -7,16 +7,19 @@ suffix is, in its first LENGTH bytes, the K bytes of least hash; equal suffixes
 equal places, and suffixes that follow one another mostly share theirs. A run is the bytes of such
 suffixes: some twenty of them in about LENGTH + 20 bytes.
 
-1. Documents are stored in chunks of some MB. Each chunk asks, of its anchors' hashes, which stand in
-   several documents; most don't, and their suffixes are done.
-2. Sampled splitters range-partition the other runs by their anchors' leading bytes. A chunk sends
-   each different run once, with the least doc_id that has it. An anchor with very many different runs
+1. Documents are stored in chunks of some MB. Each chunk gives a row for each hash of an anchor in it; a
+   window by hash says which stand in several documents. Most don't, and their suffixes are done.
+2. Sampled splitters range-partition the other runs by their anchors' leading bytes. A chunk sends a row for
+   each different run, with the least doc_id that has it. An anchor with very many different runs
    (the edge of a passage that many documents share) sends its suffixes one by one instead, partitioned
-   by their own leading bytes, so that no bucket holds all of them.
-3. A bucket takes its runs apart into suffixes, sorts them by multikey quicksort with eight bytes as a
-   symbol, to a depth of LENGTH, and gives each string the least doc_id of all that are equal to it.
-   Equal strings have one route, so none is divided by a boundary between buckets; the least doc_ids
-   go back to each chunk, which compares them with its own documents.
+   by their own leading bytes, so that no range holds all of them.
+3. A range is sorted by leading bytes and read in blocks of some MB that end where these change. A block takes
+   its runs apart into suffixes, sorts them by multikey quicksort with eight bytes as a symbol, to a depth
+   of LENGTH, and gives each string the least doc_id of all that are equal to it. Equal strings have equal
+   leading bytes, so none is divided by a boundary between ranges or blocks. Where that doc_id is less than
+   what the chunk sent, a row goes back to the chunk, which compares it with its own documents.
+
+Each step moves rows for hashes, runs and answers, so all grow in proportion to the text, and a range needn't fit in memory.
 
 A null text is empty. A null doc_id counts as larger than all others. Rows that share a doc_id don't
 take from each other.
@@ -29,14 +32,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, sliced, stored, table, trim
 from .syncmers import mixed, rolling
 
 LENGTH, K, LEAD = 50, 16, 16
-CHUNK_BYTES, BUCKET_BYTES, HOT, SAMPLE = 2 << 20, 12 << 20, 512, 200_000
+CHUNK_BYTES, RANGE_BYTES, BLOCK_BYTES, HOT = 2 << 20, 12 << 20, 8 << 20, 512
+SAMPLE, SAMPLE_CHUNKS, MOST_RANGES = 200_000, 2000, 20_000
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -116,13 +120,16 @@ class Chunk:
         different = np.add.reduceat(new | np.concatenate([[True], run[1:] != run[:-1]]), at)
         return key[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), different
 
-    def records(self, answers: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What to send, given an answer (0 own, 1 shared, 2 hot) to each question.
+    def records(self, keys: np.ndarray, crowded: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What to send, given the keys that several documents have, and which of these are crowded.
 
         (different records, their leading places, their least doc_ids; and of each occurrence: first suffix, record).
         """
-        said = answers[np.searchsorted(np.unique(self.key), self.key)] if len(self.key) else np.empty(0, np.uint8)
-        shared, hot = said == 1, said == 2
+        order = np.argsort(keys)
+        at = np.minimum(np.searchsorted(keys, self.key, sorter=order), max(0, len(keys) - 1))
+        known = keys[order][at] == self.key if len(keys) else np.zeros(len(self.key), bool)
+        hot = known & crowded[order][at] if len(keys) else known
+        shared = known & ~hot
         single = _spread(self.start[hot], self.count[hot])
         start = np.concatenate([self.start[shared], single])
         count = np.concatenate([self.count[shared], np.ones(len(single), np.int64)])
@@ -140,9 +147,11 @@ class Chunk:
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes, offsets) of a large binary array that starts at its buffers' start."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
-    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]] if len(texts) else np.empty(0, np.uint8), offsets
+    """(all bytes, offsets) of a large binary array."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _lead_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -185,8 +194,8 @@ def _store_chunks(docs: DataFrame) -> DataFrame:
     return stored(docs.mapInArrow(pack, "chunk long, size long, body binary"), "chunks")
 
 
-def _ask(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, answers): for each chunk and range of hashes, what Chunk.records() needs to know."""
+def _shared(chunks: DataFrame) -> DataFrame:
+    """(chunk, key, crowded): the anchors of each chunk that stand in several documents."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,28 +203,20 @@ def _ask(chunks: DataFrame, buckets: int) -> DataFrame:
                 chunk = Chunk(body.as_py())
                 chunk.find_runs()
                 key, several, different = chunk.questions()
-                cuts = np.searchsorted((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-                note = np.minimum(different, 127).astype(np.uint8) | several.astype(np.uint8) << 7
-                some = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([_pack(key[cuts[b] : cuts[b + 1]].astype(np.uint32), note[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())], ["bucket", "chunk", "asked"])
+                note = number << 8 | several.astype(np.int64) << 7 | np.minimum(different, 127)
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(note)], ["key", "note"])
                 trim()
 
-    def answer(rows: pa.Table) -> pa.Table:
-        asked = [_unpack(x.as_py(), np.uint32, np.uint8) for x in rows.column("asked")]
-        _, where, chunks_with = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True, return_counts=True)
-        note = np.concatenate([n for _, n in asked])
-        different = np.bincount(where, note & 127)
-        shared = (chunks_with > 1) | (np.bincount(where, note >> 7) > 0)
-        said = (shared.astype(np.uint8) + (shared & (different >= HOT) & (different >= 4 * chunks_with)))[where]
-        parts = np.split(said, np.cumsum([len(k) for k, _ in asked])[:-1])
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "answers": pa.array([_pack(p) for p in parts], pa.binary())})
-
-    return chunks.select("chunk", "body").mapInArrow(ask, "bucket int, chunk long, asked binary").groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, answers binary")
+    alike, note = Window.partitionBy("key"), F.col("note")
+    asked = chunks.select("chunk", "body").mapInArrow(ask, "key long, note long")
+    told = asked.select("key", "note", F.count("*").over(alike).alias("n"), F.max(note.bitwiseAND(128)).over(alike).alias("several"), F.sum(note.bitwiseAND(127)).over(alike).alias("different"))
+    crowded = (F.col("different") >= HOT) & (F.col("different") >= 4 * F.col("n"))
+    return told.where("n > 1 or several > 0").select(F.shiftright(note, 8).alias("chunk"), "key", crowded.alias("crowded"))
 
 
-def _splitters(chunks: DataFrame, buckets: int, n_chunks: int) -> np.ndarray:
-    """buckets - 1 leading strings that share out the anchors, from at most about SAMPLE of them."""
-    quota = max(1, SAMPLE // max(1, n_chunks))
+def _splitters(chunks: DataFrame, n_ranges: int, n_chunks: int) -> np.ndarray:
+    """n_ranges - 1 leading strings that share out the anchors, from about SAMPLE of them in about SAMPLE_CHUNKS chunks."""
+    quota = max(1, SAMPLE // max(1, min(n_chunks, SAMPLE_CHUNKS)))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,15 +226,70 @@ def _splitters(chunks: DataFrame, buckets: int, n_chunks: int) -> np.ndarray:
                 at = chunk.anchor[np.argsort(mixed(chunk.key), kind="stable")[:: max(1, len(chunk.key) // quota)][:quota]]
                 yield pa.record_batch([pa.array([bytes(x) for x in chunk.data[at[:, None] + np.arange(LEAD)]] if len(at) else [], pa.binary())], ["lead"])
 
-    some = chunks.sample(min(1.0, SAMPLE / max(1, n_chunks)), seed=1) if n_chunks > SAMPLE else chunks
+    some = chunks.sample(SAMPLE_CHUNKS / n_chunks, seed=1) if n_chunks > SAMPLE_CHUNKS else chunks
     found = np.sort(np.array([r.as_py() for r in some.select("body").mapInArrow(leads, "lead binary").toArrow().column("lead")], f"S{LEAD}"))
-    return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
+    return np.unique(found[np.arange(1, n_ranges) * len(found) // n_ranges]) if len(found) else found
 
 
-def _answered(chunk: Chunk, replies: list) -> np.ndarray:
-    """The answers to all of a chunk's questions, in order of its keys."""
-    said = {b: _unpack(x, np.uint8)[0] for b, x in replies or []}
-    return np.concatenate([said[b] for b in sorted(said)]) if said else np.empty(0, np.uint8)
+def _routed(body: bytes, told: pa.Table) -> tuple:
+    """(chunk, bytes and offsets of its records, and the rest of Chunk.records())."""
+    chunk = Chunk(body)
+    chunk.find_runs()
+    texts, *rest = chunk.records(told.column("key").to_numpy().view(np.uint64), told.column("crowded").to_numpy(zero_copy_only=False).astype(bool))
+    return chunk, *_bytes_of(texts), *rest
+
+
+def _least(rows: pa.Table) -> pa.Table:
+    """(chunk, at, least) of those rows of which some suffix also starts in a document of less doc_id than theirs.
+
+    least holds the least doc_id of each suffix, or only one if all are the same.
+    """
+    sent = rows.column("least").to_numpy()
+    coded = pa.concat_arrays(rows.column("run").cast(pa.large_binary()).chunks).dictionary_encode()
+    code, (data, offsets) = np.asarray(coded.indices).astype(np.int64), _bytes_of(coded.dictionary)
+    first, leads = np.full(len(offsets) - 1, NO_DOC), np.zeros(len(offsets) - 1, np.int64)
+    np.minimum.at(first, code, sent)
+    leads[code] = rows.column("lead").to_numpy()
+    count = np.diff(offsets) - LENGTH + 1
+    _, kmer, alike = np.unique(_lead_of(data, offsets[:-1] + leads), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(count)), count)
+    answer = first[owner]
+    mixed_up = np.flatnonzero(alike[kmer][owner] > 1)  # the others' strings stand in one run only
+    if len(mixed_up):
+        run = multikey_runs(data, _spread(offsets[:-1], count)[mixed_up])
+        lowest = np.full(int(run.max()) + 1, NO_DOC)
+        np.minimum.at(lowest, run, answer[mixed_up])
+        answer[mixed_up] = lowest[run]
+    begins = np.cumsum(count) - count
+    low, high = np.minimum.reduceat(answer, begins), np.maximum.reduceat(answer, begins)
+    back = np.flatnonzero(low[code] < sent)
+    own = code[back]
+    size = np.where(low == high, 1, count)[own]
+    ends = pa.py_buffer(np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32))
+    least = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, ends, pa.py_buffer(answer[_spread(begins[own], size)])])
+    return pa.table({"chunk": rows.column("chunk").take(pa.array(back)), "at": rows.column("at").take(pa.array(back)), "least": least})
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_least() of rows in order of leading bytes, block by block; a block ends where these change."""
+    held, size, enough = [], 0, BLOCK_BYTES
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < enough:
+            continue
+        rows = pa.Table.from_batches(held)
+        data, offsets = _bytes_of(pa.concat_arrays(rows.column("run").cast(pa.large_binary()).chunks))
+        lead = _lead_of(data, offsets[:-1] + rows.column("lead").to_numpy())
+        cut = int(np.max(np.flatnonzero(lead != lead[-1]), initial=-1)) + 1
+        if cut:
+            yield from _least(rows.slice(0, cut)).to_batches()
+            trim()
+        held = rows.slice(cut).to_batches()
+        size = sum(b.nbytes for b in held)
+        enough = max(BLOCK_BYTES, 2 * size)
+    if held:
+        yield from _least(pa.Table.from_batches(held)).to_batches()
 
 
 def removed_bytes(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
@@ -243,86 +299,52 @@ def removed_bytes(docs: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """
     spark, chunks = docs.sparkSession, _store_chunks(docs)
     total, n_chunks = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head()
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    listed = lambda df, col: df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", col)).alias(col))
-    answers = stored(listed(_ask(chunks, buckets), "answers"), "answers")
-    cuts = spark.sparkContext.broadcast(_splitters(chunks, buckets, n_chunks))
-
-    def routed(chunk: Chunk, replies) -> tuple:
-        chunk.find_runs()
-        texts, leads, least, start, code = chunk.records(_answered(chunk, replies))
-        data, offsets = _bytes_of(texts)
-        bucket = np.searchsorted(cuts.value, _lead_of(data, offsets[:-1] + leads), side="right") if len(texts) else np.empty(0, np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return data, offsets, leads, least, start, code, bucket, order
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, body, replies in zip(batch.column("chunk").to_pylist(), batch.column("body"), batch.column("answers")):
-                data, offsets, leads, least, _, _, bucket, order = routed(Chunk(body.as_py()), [(r["bucket"], r["answers"]) for r in replies.as_py() or []])
-                size, rows = np.diff(offsets), []
-                for b in np.unique(bucket).tolist():
-                    own = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, side="right")]
-                    rows.append((b, number, _pack(size[own].astype(np.uint8), leads[own].astype(np.uint8), least[own], data[_spread(offsets[own], size[own])])))
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "chunk", "runs"])
-                trim()
+    n_ranges = max(1, min(MOST_RANGES, -(-total // RANGE_BYTES)))
+    shared = stored(_shared(chunks), "anchors")
+    cuts = spark.sparkContext.broadcast(_splitters(chunks, n_ranges, n_chunks))
+
+    def send(bodies: pa.Table, told: pa.Table) -> pa.Table:
+        if not (bodies.num_rows and told.num_rows):
+            return pa.table({"range": pa.array([], pa.int32()), "run": pa.array([], pa.binary()), "lead": pa.array([], pa.int32()), "least": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "at": pa.array([], pa.int32())})
+        chunk, data, offsets, leads, least, _, _ = _routed(bodies.column("body")[0].as_py(), told)
+        n = len(least)
+        where = np.searchsorted(cuts.value, _lead_of(data, offsets[:-1] + leads), side="right") if n else np.empty(0)
+        runs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        trim()
+        return pa.table({"range": pa.array(where.astype(np.int32)), "run": runs, "lead": pa.array(leads.astype(np.int32)), "least": least, "chunk": np.full(n, bodies.column("chunk")[0].as_py()), "at": np.arange(n, dtype=np.int32)})
 
-    def settle(rows: pa.Table) -> pa.Table:
-        got = [_unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8) for x in rows.column("runs")]
-        size, lead, least = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3))
-        data = np.concatenate([g[3] for g in got])
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        code, (data, offsets) = np.asarray(coded.indices).astype(np.int64), _bytes_of(coded.dictionary)
-        first, leads = np.full(len(offsets) - 1, NO_DOC), np.zeros(len(offsets) - 1, np.int64)
-        np.minimum.at(first, code, least)
-        leads[code] = lead
+    def apply(bodies: pa.Table, told: pa.Table) -> pa.Table:
+        back = told.filter(told.column("at").is_valid())
+        chunk, _, offsets, _, least, start, code = _routed(bodies.column("body")[0].as_py(), told.filter(told.column("at").is_null()))
         count = np.diff(offsets) - LENGTH + 1
-        _, kmer, alike = np.unique(_lead_of(data, offsets[:-1] + leads), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(count)), count)
-        answer = first[owner]
-        mixed_up = np.flatnonzero(alike[kmer][owner] > 1)  # the others' strings stand in one run only
-        if len(mixed_up):
-            run = multikey_runs(data, _spread(offsets[:-1], count)[mixed_up])
-            lowest = np.full(int(run.max()) + 1, NO_DOC)
-            np.minimum.at(lowest, run, answer[mixed_up])
-            answer[mixed_up] = lowest[run]
-        begins, out, at = np.cumsum(count) - count, [], 0
-        for g in got:
-            own = code[at : at + len(g[0])]
-            at += len(g[0])
-            out.append(_pack(answer[_spread(begins[own], count[own])]))
+        begins, least = np.cumsum(count) - count, np.repeat(least, count)
+        at, said = back.column("at").to_numpy().astype(np.int64), [np.frombuffer(x.as_py(), np.int64) for x in back.column("least")]
+        if said:
+            size = np.array([len(x) for x in said])
+            inner = _spread(np.zeros(len(at), np.int64), count[at])
+            least[_spread(begins[at], count[at])] = np.concatenate(said)[np.repeat(np.cumsum(size) - size, count[at]) + np.where(np.repeat(size, count[at]) > 1, inner, 0)]
+        suffix = _spread(start, count[code])
+        earlier = least[_spread(begins[code], count[code])] < np.repeat(chunk.ids[np.searchsorted(chunk.ends, start, side="right")], count[code])
+        change = np.zeros(len(chunk.data) + 1, np.int32)
+        np.add.at(change, suffix[earlier], 1)
+        np.add.at(change, suffix[earlier] + LENGTH, -1)
+        gone = np.cumsum(change[:-1]) > 0
+        out = []
+        for lo in range(0, len(chunk.sizes), 2000):  # a chunk may hold very many short documents
+            part = slice(lo, lo + 2000)
+            spans = list(zip((chunk.ends - chunk.sizes)[part].tolist(), chunk.ends[part].tolist()))
+            out.append(finish(pa.record_batch(
+                [pa.array([None if i == NO_DOC else i for i in chunk.ids[part].tolist()], pa.int64()), pa.array([chunk.data[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(gone[a:b]).tobytes() for a, b in spans], pa.binary())],
+                ["doc_id", "bytes", "gone"],
+            )))
         trim()
-        return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "least": pa.array(out, pa.binary())})
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body, replies, found in zip(batch.column("body"), batch.column("answers"), batch.column("least")):
-                chunk = Chunk(body.as_py())
-                _, offsets, _, _, start, code, bucket, order = routed(chunk, [(r["bucket"], r["answers"]) for r in replies.as_py() or []])
-                count = np.diff(offsets) - LENGTH + 1
-                said = {r["bucket"]: _unpack(r["least"], np.int64)[0] for r in found.as_py() or []}
-                least = np.concatenate([said[b] for b in np.unique(bucket).tolist()]) if said else np.empty(0, np.int64)
-                begins = np.empty(len(count), np.int64)
-                begins[order] = np.cumsum(count[order]) - count[order]
-                suffix = _spread(start, count[code])
-                earlier = least[_spread(begins[code], count[code])] < np.repeat(chunk.ids[np.searchsorted(chunk.ends, start, side="right")], count[code])
-                change = np.zeros(len(chunk.data) + 1, np.int32)
-                np.add.at(change, suffix[earlier], 1)
-                np.add.at(change, suffix[earlier] + LENGTH, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                for lo in range(0, len(chunk.sizes), 2000):  # a chunk may hold very many short documents
-                    part = slice(lo, lo + 2000)
-                    spans = list(zip((chunk.ends - chunk.sizes)[part].tolist(), chunk.ends[part].tolist()))
-                    yield finish(pa.record_batch(
-                        [pa.array([None if i == NO_DOC else i for i in chunk.ids[part].tolist()], pa.int64()), pa.array([chunk.data[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([np.packbits(gone[a:b]).tobytes() for a, b in spans], pa.binary())],
-                        ["doc_id", "bytes", "gone"],
-                    ))
-                trim()
+        return pa.Table.from_batches(out)
 
-    asked = chunks.join(answers, "chunk", "left").select("chunk", "body", "answers")
-    least = listed(asked.mapInArrow(send, "bucket int, chunk long, runs binary").groupBy("bucket").applyInArrow(settle, "chunk long, bucket int, least binary"), "least")
-    return asked.join(least, "chunk", "left").select("body", "answers", "least").mapInArrow(apply, schema)
+    bodies = chunks.select("chunk", "body").groupBy("chunk")
+    sent = bodies.cogroup(shared.groupBy("chunk")).applyInArrow(send, "range int, run binary, lead int, least long, chunk long, at int")
+    back = sent.repartition(n_ranges, "range").sortWithinPartitions(F.expr(f"substring(run, lead + 1, {LEAD})")).mapInArrow(_settle, "chunk long, at int, least binary")
+    told = shared.unionByName(back, allowMissingColumns=True)
+    return bodies.cogroup(told.groupBy("chunk")).applyInArrow(apply, schema)
 
 
 def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:

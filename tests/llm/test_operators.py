@@ -220,7 +220,8 @@ def brute_removals(rows, length=50):
 def test_suffix_dedup(spark, docs, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 9000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 9000)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 20_000)
     shared = prose(9, 30)
     more = [(100 + i, f"{prose(20 + i, 5 + i)} {shared} {prose(50 + i, 9)}", "en", "s", 1) for i in range(30)] + [(5, shared, "en", "s", 1)]
     rows = docs.unionByName(spark.createDataFrame(more, DOC))
@@ -236,6 +237,19 @@ def test_suffix_dedup_null_ids_come_last(spark):
     assert got == {None: len(t), 7: 0}
 
 
+def test_suffix_blocks_end_between_leading_bytes(monkeypatch):
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab") for _ in range(90)) for _ in range(12)]
+    rows = [(rng.choice(strings)[: rng.randint(55, 90)], 5, rng.randint(0, 9), rng.randint(0, 3), i) for i in range(400)]
+    rows.sort(key=lambda r: r[0][5 : 5 + suffix_dedup.LEAD])
+    kinds = {"run": pa.binary(), "lead": pa.int32(), "least": pa.int64(), "chunk": pa.int64(), "at": pa.int32()}
+    batches = [pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 7]), kinds.values())], list(kinds)) for i in range(0, 400, 7)]
+    answers = lambda: sorted(tuple(r.values()) for b in suffix_dedup._settle(iter(batches)) for r in b.to_pylist())
+    whole = answers()
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    assert len(whole) > 100 and answers() == whole
+
+
 def test_multikey_runs():
     data = np.frombuffer(b"abcdefgh" * 20 + b"abcdefgX" * 20, np.uint8)
     at = np.arange(len(data) - 60)
