@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_templates, url_filter
+from . import dialogue_repair, line_templates, url_filter
+from .dialogue_repair import op11_dialogue_repair
 from .langid import op9_language_id
 from .line_templates import op7_line_templates
 from .near_copies import op8_minhash_near_copies
@@ -16,9 +17,9 @@ from .vector_search import op2_posting_lists
 
 
 def queries() -> dict:
-    found = (op1_wavelet_shards, op2_posting_lists, op3_best_fit_packing, op4_syncmer_fingerprints, op5_suffix_dedup, op6_sentencepiece, op7_line_templates, op8_minhash_near_copies, op9_language_id, op10_url_filter)
+    found = (op1_wavelet_shards, op2_posting_lists, op3_best_fit_packing, op4_syncmer_fingerprints, op5_suffix_dedup, op6_sentencepiece, op7_line_templates, op8_minhash_near_copies, op9_language_id, op10_url_filter, op11_dialogue_repair)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return line_templates.ORACLE | url_filter.ORACLE
+    return line_templates.ORACLE | url_filter.ORACLE | dialogue_repair.ORACLE
