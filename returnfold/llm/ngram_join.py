@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, sliced, stored, table, trim
 from .components import components
-from .near_copies import _forest, shingles
+from .near_copies import shingles, text_id
 
 WIDTH, PERCENT = 3, 90
 #: Counters of shingles, as a power of two; a block of them is a row on the way to the driver.
@@ -85,10 +85,10 @@ def levels(docs: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def ordered_sets(docs: DataFrame, level: bytes, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, node, group, prefix, shingles) of (doc_id, text): all shingles in order as bytes, prefix as their first ones; node names the set, group its size and prefix. Null where there is none."""
+def ordered_prefixes(docs: DataFrame, level: bytes, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_id, n, node, group, prefix) of (doc_id, text): node names the set, n is its size, prefix its first shingles in order, group names size and prefix. Null where there is none."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
-    key = docs.schema["doc_id"].dataType.simpleString()
+    named = docs.select("doc_id", text_id().alias("text_id"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -98,51 +98,52 @@ def ordered_sets(docs: DataFrame, level: bytes, percent: int = PERCENT) -> DataF
             for part in sliced(batch, "text", 2 << 20):
                 doc, h = _sets(part.column("text"))
                 size = np.bincount(doc, minlength=part.num_rows)
-                plain = h.tobytes()  # by hash
+                ends = np.cumsum(size)
+                flat = h.tobytes()  # by hash
                 h = h[np.lexsort((h, of[h >> np.uint64(64 - COUNTERS)], doc))]
-                flat, ends = h.tobytes(), np.cumsum(size) * 8
                 long = prefix_length(size, percent) * (size > 0)
-                nodes, groups, all_ = [], [], []
-                for n, p, end in zip(size.tolist(), long.tolist(), ends.tolist()):
-                    at = end - 8 * n
-                    nodes.append(xxhash.xxh3_128_digest(plain[at:end]) if n else None)
-                    groups.append(xxhash.xxh3_128_digest(flat[at : at + 8 * p], n) if n else None)
-                    all_.append(flat[at:end])
-                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)]), pa.int32()), pa.array(h[place < np.repeat(long, size)].view(np.int64)))
-                yield pa.record_batch([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.binary()), prefix, pa.array(all_, pa.binary())], ["doc_id", "n", "node", "group", "prefix", "shingles"])
+                first = h[np.arange(len(h)) - np.repeat(ends - size, size) < np.repeat(long, size)]
+                upto, some = np.cumsum(long), first.tobytes()
+                nodes = [xxhash.xxh3_128_digest(flat[8 * (e - n) : 8 * e]) if n else None for n, e in zip(size.tolist(), ends.tolist())]
+                groups = [xxhash.xxh3_128_digest(some[8 * (e - p) : 8 * e], n) if n else None for n, p, e in zip(size.tolist(), long.tolist(), upto.tolist())]
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(first.view(np.int64)))
+                yield pa.record_batch([part.column("doc_id"), part.column("text_id"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.binary()), prefix], ["doc_id", "text_id", "n", "node", "group", "prefix"])
                 trim()
 
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {key}, n long, node binary, `group` binary, prefix array<long>, shingles binary")
+    return named.mapInArrow(make, "doc_id long, text_id binary, n long, node binary, `group` binary, prefix array<long>")
 
 
-def _read(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, np.uint64)
+def _split(texts: pa.Array) -> list[np.ndarray]:
+    """The shingles of each text, by hash."""
+    doc, h = _sets(texts)
+    return np.split(h, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]) if len(texts) else []
 
 
-def linked(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sets are."""
-    a, b = _read(a), _read(b)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) of nodes that are linked; sets has one row (node, n, shingles) for each node."""
+def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) of nodes that are linked; texts has one row (node, n, text) for each node."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [linked(x.as_py(), y.as_py(), percent) for x, y in zip(batch.column("s_a"), batch.column("s_b"))]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-            trim()
+            for part in sliced(batch, "text_a", 1 << 20):
+                coded = pa.chunked_array([part.column("text_a"), part.column("text_b")]).combine_chunks().dictionary_encode()  # a text in several pairs is cut up once
+                sets, code = _split(coded.dictionary), coded.indices.to_pylist()
+                near = [linked(sets[x], sets[y], percent) for x, y in zip(code[: part.num_rows], code[part.num_rows :])]
+                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                trim()
 
-    sizes = sets.select("node", "n")
+    sizes = texts.select("node", "n")
     for c in "ab":
         pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")), c)
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     for c in "ab":
-        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")), c)
-    return pairs.select("a", "b", "s_a", "s_b").mapInArrow(look, "a binary, b binary")
+        pairs = pairs.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")), c)
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(look, "a binary, b binary")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -156,22 +157,22 @@ def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 def _meet_in_blocks(crowded: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different classes within large buckets, enough to join what is linked.
 
-    crowded has key, node, class, n, shingles, the bucket's largest class main, its rows and size, and those
-    outside main, others and others_size. These meet all, block by block; a pair counts in the first shingle
-    that both prefixes have.
+    crowded has key, its place in the set's order, node, class, prefix, text, the bucket's largest class main,
+    its rows and size, and those outside main, others and others_size. These meet all, block by block; a pair
+    counts in the first shingle that both prefixes have.
     """
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table([pa.array([], pa.binary())] * 2, ["a", "b"])
         if not (len(left) and len(right)):
             return none
-        key, main = np.int64(left.column("key")[0].as_py()).view(np.uint64), left.column("main")[0].as_py()
-        (na, ca, sa), (nb, cb, sb) = ([x.column(c).to_pylist() for c in ("node", "class", "shingles")] for x in (left, right))
-        sa, sb = [_read(x) for x in sa], [_read(x) for x in sb]
+        left, right, main = left.combine_chunks(), right.combine_chunks(), left.column("main")[0].as_py()
+        (na, ca), (nb, cb) = ([x.column(c).to_pylist() for c in ("node", "class")] for x in (left, right))
+        sa, sb = (_split(x.column("text").chunk(0)) for x in (left, right))
         number = {c: k for k, c in enumerate({*ca, *cb})}
         of_a, of_b = (np.array([number[c] for c in x]) for x in (ca, cb))
         size_a, size_b = (np.array([len(s) for s in x]) for x in (sa, sb))
-        place_a, place_b = (np.array([int(np.flatnonzero(s == key)[0]) for s in x]) for x in (sa, sb))
+        place_a, place_b = (np.asarray(x.column("place")) for x in (left, right))
         least = need(size_a[:, None] + size_b[None, :], percent)
         fits = (of_a[:, None] != of_b[None, :]) & (np.minimum((size_a - place_a)[:, None], (size_b - place_b)[None, :]) >= least)
         if not fits.any():
@@ -186,45 +187,39 @@ def _meet_in_blocks(crowded: DataFrame, percent: int) -> DataFrame:
                 up[c] = c = up[up[c]]
             return c
 
-        long_a, long_b = prefix_length(size_a, percent), prefix_length(size_b, percent)
+        before, whole = [p[:k] for p, k in zip(left.column("prefix").to_pylist(), place_a.tolist())], [set(p) for p in right.column("prefix").to_pylist()]
         for x, y in zip(*(z.tolist() for z in np.nonzero(fits))):
             p, q = root(ca[x]), root(cb[y])
             if p == q or (cb[y] != main and na[x] >= nb[y]):  # joined before, or met the other way round
                 continue
-            common = np.isin(sa[x][: place_a[x]], sb[y][: long_b[y]], assume_unique=True)
-            if common.any():
-                continue
-            both = len(np.intersect1d(sa[x], sb[y], assume_unique=True))
-            if 100 * both >= percent * (len(sa[x]) + len(sb[y]) - both):
+            if whole[y].isdisjoint(before[x]) and linked(sa[x], sb[y], percent):
                 up[q] = p
                 found.append((na[x], nb[y]))
         trim()
         return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
-    cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) * 8 / BLOCK_BYTES)).cast("int")
+    cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
     all_, others = cuts("rows", "size"), cuts("others", "others_size")
     deal = lambda most: F.pmod(F.xxhash64("node"), most).cast("int")
     each = lambda most: F.explode(F.sequence(F.lit(0), most - 1))
     left = crowded.where(F.col("class") != F.col("main")).withColumn("i", deal(others)).withColumn("j", each(all_))
     right = crowded.withColumn("j", deal(all_)).withColumn("i", each(others))
-    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "main", "shingles"))).groupBy("key", "i", "j") for x in (left, right)]
+    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "main", "place", "prefix", "text"))).groupBy("key", "i", "j") for x in (left, right)]
     return grouped[0].cogroup(grouped[1]).applyInArrow(block, "a binary, b binary")
 
 
-def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of those of sets, as ordered_sets() gives them, that may be linked with another; the others are alone."""
+def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of those of sets, as ordered_prefixes() gives them for docs, that may be linked with another; the others are alone."""
     able = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller ones are linked with none but equal ones
-    nodes = stored(able.groupBy("node").agg(F.first("group").alias("group")), "nodes")
+    nodes = stored(able.groupBy("node").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.min("text_id").alias("text_id")), "nodes")
     members = nodes.groupBy("group").agg(F.count("*").alias("members"), F.min("node").alias("leader"))
-    groups = able.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(members, "group")
-    post = stored(groups.select("group", "n", "members", "leader", F.posexplode("prefix").alias("place", "key")), "prefixes")
-    shared = stored(post.groupBy("key").agg(F.sum("members").alias("rows")).where("rows > 1"), "shared")
-    post = stored(post.join(shared, "key"), "post")  # key, group, n, members, leader, place, rows
-    mates = post.groupBy("group").agg(F.first("leader").alias("leader"), F.sum("rows").alias("company"))
-    mates = stored(mates, "mates")
+    groups = stored(able.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(members, "group"), "groups")
+    shared = stored(groups.select("members", F.explode("prefix").alias("key")).groupBy("key").agg(F.sum("members").alias("rows")).where("rows > 1"), "shared")
+    post = stored(groups.select("group", "n", "leader", F.posexplode("prefix").alias("place", "key")).join(shared, "key"), "post")
+    mates = stored(post.groupBy("group").agg(F.first("leader").alias("leader"), F.sum("rows").alias("company")), "mates")
     some = stored(nodes.join(mates.select("group"), "group", "left_semi"), "some")
-    full = able.join(some.select("node"), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    full = stored(full, "candidates")
+    texts = docs.select(text_id().alias("text_id"), "text").join(some.select("text_id", "node", "n"), "text_id")
+    full = stored(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")), "candidates")
     alone = some.select("node", F.col("node").alias("class"))
 
     def meet(pairs: DataFrame) -> DataFrame:
@@ -247,14 +242,15 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = keyed.join(heads, "key").groupBy("leader").agg(F.max("h").alias("h")).select(F.col("leader").alias("a"), F.col("h.leader").alias("b")).where("a <> b")
     of = joined(of, meet(best))
     # one set of each class that a shingle has, and the shingle's head
-    placed = some.join(of, "node")
+    placed = some.select("node", "group").join(of, "node")
     kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.min("node").alias("node"))
     heads = heads.select("key", F.col("h.leader").alias("head")).join(of.select(F.col("node").alias("head"), F.col("class").alias("of_head")), "head")
     apart = kinds.join(heads, "key").where(F.col("class") != F.col("of_head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     of = joined(of, meet(apart))
     # all that share a shingle and still lie apart
-    placed = stored(some.join(of, "node").join(full.select("node", "n"), "node"), "placed")
-    kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    chars = full.select("node", F.octet_length("text").alias("chars"))
+    placed = stored(some.select("node", "group").join(of, "node").join(chars, "node"), "placed")
+    kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum("chars").alias("size"))
     torn = kinds.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("rows", "class", "size")).alias("m")).where("kinds > 1")
     torn = stored(torn.select("key", "rows", "size", F.col("m.class").alias("main"), (F.col("rows") - F.col("m.rows")).alias("others"), (F.col("size") - F.col("m.size")).alias("others_size")), "torn")
     calm, crowded = torn.where(F.col("rows") <= CROWD), torn.where(F.col("rows") > CROWD)
@@ -268,7 +264,7 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = pairs.join(placed.select(F.col("group").alias(f"group_{s}"), F.col("node").alias(s), F.col("class").alias(f"of_{s}")), f"group_{s}")
     rest = meet(pairs.where("of_a <> of_b and (group_a <> group_b or a < b)").select("a", "b"))
     # many: blocks
-    many = post.select("key", "group").join(crowded, "key").join(placed.drop("n"), "group").join(full, "node")
+    many = post.select("key", "group", "place").join(crowded, "key").join(placed.select("node", "group", "class"), "group").join(groups.select("group", "prefix"), "group").join(full.select("node", "text"), "node")
     rest = rest.unionByName(stored(_meet_in_blocks(many, percent), "blocks"))
     return joined(of, rest).withColumnRenamed("class", "component")
 
@@ -276,8 +272,8 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text): the size of its set, and the least doc_id that links lead to."""
     docs = documents(docs)
-    sets = stored(ordered_sets(docs, levels(docs), percent), "sets")
-    of = classes(sets.where("n > 0"), percent)
+    sets = stored(ordered_prefixes(docs, levels(docs), percent), "sets")
+    of = classes(sets.where("n > 0"), docs, percent)
     least = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = stored(least, "least")
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
