@@ -11,8 +11,8 @@ Only what joins components counts, so pairs that links have joined before aren't
 costs little comes first. Members meet their group's first; groups meet the group with most company
 among those of their shingles; then one set of each component meets that of each of its shingles. What
 still lies apart is compared whole: pairs of groups where a shingle has few sets, and blocks of bounded
-size, from which only links leave, where it has many. There a bitmap of each set bounds the overlap of
-a pair from above, so no pair is lost by it.
+size, from which only links leave, where it has many. A bitmap of each set, BITS parities, bounds the
+overlap of a pair from above, so no pair is lost by it, and texts move only for pairs that it leaves.
 
 Shingles are 64-bit hashes. Equal sets are one set throughout. Null texts and texts without words have
 no shingle and are alone. Rows without a doc_id have the component of their set, null if it has no other;
@@ -40,6 +40,8 @@ COUNTERS, BLOCK_OF_COUNTERS = 20, 4096
 CROWD, BLOCK, BLOCK_BYTES = 16, 1000, 8 << 20
 #: Bits of a set's bitmap.
 BITS = 1024
+#: Texts wanted are broadcast by name, 32 bytes each, up to this many; more meet theirs in a shuffle.
+MOST_NAMES = 100_000
 
 
 def need(total: int | np.ndarray, percent: int = PERCENT):
@@ -86,7 +88,7 @@ def levels(docs: DataFrame) -> bytes:
 
 
 def ordered_prefixes(docs: DataFrame, level: bytes, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_id, n, node, group, prefix) of (doc_id, text): node names the set, n is its size, prefix its first shingles in order, group names size and prefix. Null where there is none."""
+    """(doc_id, text_id, n, node, group, prefix, bits) of (doc_id, text): node names the set, n is its size, prefix its first shingles in order, group names size and prefix, bits is its bitmap. Null where there is none."""
     sent = docs.sparkSession.sparkContext.broadcast(level)
     named = docs.select("doc_id", text_id().alias("text_id"), "text")
 
@@ -107,10 +109,17 @@ def ordered_prefixes(docs: DataFrame, level: bytes, percent: int = PERCENT) -> D
                 nodes = [xxhash.xxh3_128_digest(flat[8 * (e - n) : 8 * e]) if n else None for n, e in zip(size.tolist(), ends.tolist())]
                 groups = [xxhash.xxh3_128_digest(some[8 * (e - p) : 8 * e], n) if n else None for n, p, e in zip(size.tolist(), long.tolist(), upto.tolist())]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), pa.array(first.view(np.int64)))
-                yield pa.record_batch([part.column("doc_id"), part.column("text_id"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.binary()), prefix], ["doc_id", "text_id", "n", "node", "group", "prefix"])
+                yield pa.record_batch([part.column("doc_id"), part.column("text_id"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(groups, pa.binary()), prefix, bitmaps(doc, h, part.num_rows)], ["doc_id", "text_id", "n", "node", "group", "prefix", "bits"])
                 trim()
 
-    return named.mapInArrow(make, "doc_id long, text_id binary, n long, node binary, `group` binary, prefix array<long>")
+    return named.mapInArrow(make, "doc_id long, text_id binary, n long, node binary, `group` binary, prefix array<long>, bits array<long>")
+
+
+def bitmaps(doc: np.ndarray, h: np.ndarray, docs: int) -> pa.Array:
+    """For each document the parity of its shingles in each of BITS classes, as longs."""
+    odd = np.bincount(doc * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=docs * BITS) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(docs, BITS), axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * (BITS // 64), pa.int32()), pa.array(words.ravel()))
 
 
 def _split(texts: pa.Array) -> list[np.ndarray]:
@@ -125,8 +134,25 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) of nodes that sizes and bitmaps allow; nodes has (node, n, bits)."""
+    for c in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+    total = F.col("n_a") + F.col("n_b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= total - 2 * F.ceil(percent * total / (100 + percent)))
+    return pairs.where(near).select("a", "b")
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of wanted (node, text_id), a stored table of distinct nodes."""
+    named = docs.select(text_id().alias("text_id"), "text")
+    few = wanted.limit(MOST_NAMES + 1).count() <= MOST_NAMES
+    return stored(named.join(F.broadcast(wanted) if few else wanted, "text_id").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
 def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) of nodes that are linked; texts has one row (node, n, text) for each node."""
+    """Those of pairs (a, b) of nodes that are linked; texts has one row (node, text) for each node."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,49 +163,60 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
                 trim()
 
-    sizes = texts.select("node", "n")
-    for c in "ab":
-        pairs = pairs.join(sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")), c)
-    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     for c in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")), c)
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(look, "a binary, b binary")
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A row a set: the parity of its shingles in each of BITS classes, as 0 and 1."""
-    out = np.zeros((len(sets), BITS), np.int64)
-    n = np.array([len(s) for s in sets])
-    np.add.at(out, (np.repeat(np.arange(len(sets)), n), (np.concatenate(sets) % np.uint64(BITS)).astype(np.int64)), 1)
-    return (out & 1).astype(np.float32)
+def _fits(left: pa.Table, right: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of rows (node, class, main, n, place, bits) may be linked: of different classes, and sizes, places and bitmaps allow it. Each once."""
+    a, b = ([np.asarray(x.column(c)) for c in ("n", "place")] for x in (left, right))
+    (na, ca), (nb, cb) = ([x.column(c).to_pylist() for c in ("node", "class")] for x in (left, right))
+    number, rank = ({c: k for k, c in enumerate(sorted({*x, *y}))} for x, y in ((ca, cb), (na, nb)))
+    of_a, of_b, rank_a, rank_b = (np.array([by[c] for c in x]) for by, x in ((number, ca), (number, cb), (rank, na), (rank, nb)))
+    total = a[0][:, None] + b[0][None, :]
+    least = need(total, percent)
+    main = number.get(left.column("main")[0].as_py(), -1)
+    fits = (of_a[:, None] != of_b[None, :]) & ((of_b == main)[None, :] | (rank_a[:, None] < rank_b[None, :]))  # two outside the main class meet twice
+    fits &= np.minimum((a[0] - a[1])[:, None], (b[0] - b[1])[None, :]) >= least
+    one, two = (np.unpackbits(np.asarray(x.column("bits").combine_chunks().flatten()).view(np.uint8).reshape(len(x), -1), axis=1).astype(np.float32) for x in (left, right))
+    return fits & (one.sum(1)[:, None] + two.sum(1)[None, :] - 2 * (one @ two.T) <= total - 2 * least)
+
+
+def _dealt(rows: DataFrame, *columns: str):
+    """Blocks of rows of a bucket, those outside its largest class on the left, all on the right, grouped together."""
+    cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
+    all_, others = cuts("rows", "size"), cuts("others", "others_size")
+    deal = lambda most: F.pmod(F.xxhash64("node"), most).cast("int")
+    each = lambda most: F.explode(F.sequence(F.lit(0), most - 1))
+    left = rows.where(F.col("class") != F.col("main")).withColumn("i", deal(others)).withColumn("j", each(all_))
+    right = rows.withColumn("j", deal(all_)).withColumn("i", each(others))
+    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "main", "n", "place", "bits", *columns))).groupBy("key", "i", "j") for x in (left, right)]
+    return grouped[0].cogroup(grouped[1])
+
+
+def _possible(crowded: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of those rows of crowded that may be linked with another of their bucket."""
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes = pa.array([], pa.binary())
+        if len(left) and len(right):
+            fits = _fits(left, right, percent)
+            nodes = pa.chunked_array([x.column("node").combine_chunks().filter(pa.array(fits.any(k))) for x, k in ((left, 1), (right, 0))]).combine_chunks()
+        return pa.table([pa.array([left.column("key")[0].as_py()] * len(nodes) if len(nodes) else [], pa.int64()), nodes], ["key", "node"])
+
+    return _dealt(crowded).applyInArrow(block, "key long, node binary").distinct()
 
 
 def _meet_in_blocks(crowded: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different classes within large buckets, enough to join what is linked.
 
-    crowded has key, its place in the set's order, node, class, prefix, text, the bucket's largest class main,
-    its rows and size, and those outside main, others and others_size. These meet all, block by block; a pair
-    counts in the first shingle that both prefixes have.
+    crowded has key, its place in the set's order, node, class, n, bits, prefix, text, the bucket's largest
+    class main, its rows and size, and those outside main, others and others_size. These meet all, block by
+    block; a pair counts in the first shingle that both prefixes have.
     """
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], pa.binary())] * 2, ["a", "b"])
-        if not (len(left) and len(right)):
-            return none
-        left, right, main = left.combine_chunks(), right.combine_chunks(), left.column("main")[0].as_py()
-        (na, ca), (nb, cb) = ([x.column(c).to_pylist() for c in ("node", "class")] for x in (left, right))
-        sa, sb = (_split(x.column("text").chunk(0)) for x in (left, right))
-        number = {c: k for k, c in enumerate({*ca, *cb})}
-        of_a, of_b = (np.array([number[c] for c in x]) for x in (ca, cb))
-        size_a, size_b = (np.array([len(s) for s in x]) for x in (sa, sb))
-        place_a, place_b = (np.asarray(x.column("place")) for x in (left, right))
-        least = need(size_a[:, None] + size_b[None, :], percent)
-        fits = (of_a[:, None] != of_b[None, :]) & (np.minimum((size_a - place_a)[:, None], (size_b - place_b)[None, :]) >= least)
-        if not fits.any():
-            return none
-        one, two = _bitmaps(sa), _bitmaps(sb)
-        differ = one.sum(1)[:, None] + two.sum(1)[None, :] - 2 * (one @ two.T)
-        fits &= differ <= size_a[:, None] + size_b[None, :] - 2 * least
         found, up = [], {}
 
         def root(c):
@@ -187,43 +224,38 @@ def _meet_in_blocks(crowded: DataFrame, percent: int) -> DataFrame:
                 up[c] = c = up[up[c]]
             return c
 
-        before, whole = [p[:k] for p, k in zip(left.column("prefix").to_pylist(), place_a.tolist())], [set(p) for p in right.column("prefix").to_pylist()]
-        for x, y in zip(*(z.tolist() for z in np.nonzero(fits))):
-            p, q = root(ca[x]), root(cb[y])
-            if p == q or (cb[y] != main and na[x] >= nb[y]):  # joined before, or met the other way round
-                continue
-            if whole[y].isdisjoint(before[x]) and linked(sa[x], sb[y], percent):
-                up[q] = p
-                found.append((na[x], nb[y]))
-        trim()
-        return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+        if len(left) and len(right):
+            fits = _fits(left, right, percent)
+            (na, ca, before), (nb, cb, whole) = ([x.column(c).to_pylist() for c in ("node", "class", "prefix")] for x in (left, right))
+            before, whole = [set(p[:k]) for p, k in zip(before, left.column("place").to_pylist())], [set(p) for p in whole]
+            sa, sb = (_split(x.column("text").combine_chunks()) for x in (left, right))
+            for x, y in zip(*(z.tolist() for z in np.nonzero(fits))):
+                p, q = root(ca[x]), root(cb[y])
+                if p != q and before[x].isdisjoint(whole[y]) and linked(sa[x], sb[y], percent):
+                    up[q] = p
+                    found.append((na[x], nb[y]))
+            trim()
+        return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
-    all_, others = cuts("rows", "size"), cuts("others", "others_size")
-    deal = lambda most: F.pmod(F.xxhash64("node"), most).cast("int")
-    each = lambda most: F.explode(F.sequence(F.lit(0), most - 1))
-    left = crowded.where(F.col("class") != F.col("main")).withColumn("i", deal(others)).withColumn("j", each(all_))
-    right = crowded.withColumn("j", deal(all_)).withColumn("i", each(others))
-    grouped = [x.select(*(F.col(c).alias(c) for c in ("key", "i", "j", "node", "class", "main", "place", "prefix", "text"))).groupBy("key", "i", "j") for x in (left, right)]
-    return grouped[0].cogroup(grouped[1]).applyInArrow(block, "a binary, b binary")
+    return _dealt(crowded, "prefix", "text").applyInArrow(block, "a binary, b binary")
 
 
 def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of those of sets, as ordered_prefixes() gives them for docs, that may be linked with another; the others are alone."""
     able = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller ones are linked with none but equal ones
-    nodes = stored(able.groupBy("node").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.min("text_id").alias("text_id")), "nodes")
+    nodes = stored(able.groupBy("node").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_id").alias("text_id")), "nodes")
     members = nodes.groupBy("group").agg(F.count("*").alias("members"), F.min("node").alias("leader"))
     groups = stored(able.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(members, "group"), "groups")
     shared = stored(groups.select("members", F.explode("prefix").alias("key")).groupBy("key").agg(F.sum("members").alias("rows")).where("rows > 1"), "shared")
     post = stored(groups.select("group", "n", "leader", F.posexplode("prefix").alias("place", "key")).join(shared, "key"), "post")
     mates = stored(post.groupBy("group").agg(F.first("leader").alias("leader"), F.sum("rows").alias("company")), "mates")
     some = stored(nodes.join(mates.select("group"), "group", "left_semi"), "some")
-    texts = docs.select(text_id().alias("text_id"), "text").join(some.select("text_id", "node", "n"), "text_id")
-    full = stored(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("text").alias("text")), "candidates")
     alone = some.select("node", F.col("node").alias("class"))
 
     def meet(pairs: DataFrame) -> DataFrame:
-        return stored(compare(pairs, full, percent), "near")
+        near = stored(likely(pairs, some, percent), "likely")
+        wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        return stored(compare(near, texts_of(stored(some.select("node", "text_id").join(wanted, "node"), "wanted"), docs), percent), "near")
 
     def joined(of: DataFrame, near: DataFrame) -> DataFrame:
         """Classes when these links have joined some."""
@@ -248,9 +280,8 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     apart = kinds.join(heads, "key").where(F.col("class") != F.col("of_head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     of = joined(of, meet(apart))
     # all that share a shingle and still lie apart
-    chars = full.select("node", F.octet_length("text").alias("chars"))
-    placed = stored(some.select("node", "group").join(of, "node").join(chars, "node"), "placed")
-    kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum("chars").alias("size"))
+    placed = stored(some.select("node", "group", "n").join(of, "node"), "placed")
+    kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum(8 * F.col("n")).alias("size"))
     torn = kinds.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("rows", "class", "size")).alias("m")).where("kinds > 1")
     torn = stored(torn.select("key", "rows", "size", F.col("m.class").alias("main"), (F.col("rows") - F.col("m.rows")).alias("others"), (F.col("size") - F.col("m.size")).alias("others_size")), "torn")
     calm, crowded = torn.where(F.col("rows") <= CROWD), torn.where(F.col("rows") > CROWD)
@@ -264,7 +295,10 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
         pairs = pairs.join(placed.select(F.col("group").alias(f"group_{s}"), F.col("node").alias(s), F.col("class").alias(f"of_{s}")), f"group_{s}")
     rest = meet(pairs.where("of_a <> of_b and (group_a <> group_b or a < b)").select("a", "b"))
     # many: blocks
-    many = post.select("key", "group", "place").join(crowded, "key").join(placed.select("node", "group", "class"), "group").join(groups.select("group", "prefix"), "group").join(full.select("node", "text"), "node")
+    many = post.select("key", "group", "place").join(crowded, "key").join(placed.select("node", "group", "class"), "group").join(some.select("node", "n", "bits"), "node")
+    possible = stored(_possible(many, percent), "possible")
+    text = texts_of(stored(some.select("node", "text_id").join(possible.select("node").distinct(), "node"), "wanted"), docs)
+    many = many.join(possible, ["key", "node"]).join(groups.select("group", "prefix"), "group").join(text, "node")
     rest = rest.unionByName(stored(_meet_in_blocks(many, percent), "blocks"))
     return joined(of, rest).withColumnRenamed("class", "component")
 
