@@ -6,20 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import whole
+from .quantile import quantiles
 
 
-def _quantile(q: float) -> Column:
-    return F.percentile("r", F.lit(q)).over(whole())
+def _beside_quantile(returns: DataFrame, q: float) -> DataFrame:
+    """returns with _q, the exact quantile of the row's series, however long that is."""
+    found = quantiles(returns, ["series_id"], "r", [q])
+    return returns.alias("r").join(found.alias("q"), F.expr("r.series_id <=> q.series_id")).select("r.*", F.col("q.q")[0].alias("_q"))
 
 
 def outliers(returns: DataFrame, quantile: float = 0.95) -> DataFrame:
     """Rows above the series' quantile."""
-    return returns.withColumn("_q", _quantile(quantile)).where("r > _q").drop("_q")
+    return _beside_quantile(returns, quantile).where("r > _q").drop("_q")
 
 
 def remove_outliers(returns: DataFrame, quantile: float = 0.95) -> DataFrame:
     """Rows below the series' quantile."""
-    return returns.withColumn("_q", _quantile(quantile)).where("r < _q").drop("_q")
+    return _beside_quantile(returns, quantile).where("r < _q").drop("_q")
 
 
 def _as_of(day) -> Column:

@@ -1,26 +1,65 @@
 """Monte Carlo by permutation: every simulated path has a series' returns in another order.
 
-The order comes from md5(seed, sim, place), so a seed gives the same paths at any parallelism, in any
-engine. Path 0 is the series itself. Paths are dealt by (series, path), and a path's rows are sorted
-where they are, so more paths need more tasks, not larger ones.
+The order is a keyed permutation of 0 .. n - 1 in whole numbers, so a row's place in a path is worked out
+where the row is, and a seed gives the same paths at any parallelism, in any engine. It is a swap-or-not
+shuffle: each round has a key k below n, which pairs place x with (k - x) mod n, and a bit of the pair, by a
+hash of its larger place, says whether the two swap. That is one-to-one for every n. Path 0 is the series
+itself. Paths are dealt by (series, path), so more paths need more tasks, not larger ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import growth, ordered
+from .quantile import quantiles
+
+ROUNDS = 6
+#: Modulus of all hashes, so that no product of two of them leaves 63 bits.
+PRIME = (1 << 31) - 1
+#: A prime above every n, so that steps of it reach every place.
+STRIDE = 2147483629
+#: Values of a group that a quantile may hold at once; with more paths, they are counted in cells.
+BUFFER = 100_000
+
+
+def _mixed(x: Column, shift: int, factor: int) -> Column:
+    return (x.bitwiseXOR(F.shiftright(x, shift)) * factor) % PRIME
+
+
+def shuffled(df: DataFrame, place: str, n: str, sim: str, seed: int, name: str = "step") -> DataFrame:
+    """df with name: where the permutation of 0 .. n - 1 that sim and seed choose sends place; sim 0 leaves it. n is below PRIME.
+
+    All is one stretch of generated code, which the JVM compiles only while it is short; hence few rounds, after a step by
+    STRIDE and a turn that tear neighbours apart.
+    """
+    key = lambda r: (F.col(sim) * 48271 + ((seed * 69621 + r * 1298837 + 12345) % PRIME)) % PRIME
+    out = df.withColumn("_z", key(ROUNDS)).withColumn("_x", (F.col(place) * STRIDE + _mixed(F.col("_z"), 13, 40692)) % F.col(n))
+    for r in range(ROUNDS):
+        out = out.withColumn("_z", key(r)).withColumn("_z", _mixed(F.col("_z"), 13, 40692))
+        out = out.withColumn("_y", (F.col("_z") % F.col(n) - F.col("_x") + F.col(n)) % F.col(n))
+        out = out.withColumn("_t", (F.greatest("_x", "_y") * 16807 + F.col("_z")) % PRIME)
+        bit = F.shiftright(_mixed(F.col("_t"), 15, 1103515245), 11).bitwiseAND(F.lit(1))
+        out = out.withColumn("_x", F.when(bit == 1, F.col("_y")).otherwise(F.col("_x")))
+    return out.withColumn(name, F.when(F.col(sim) == 0, F.col(place)).otherwise(F.col("_x"))).drop("_x", "_y", "_z", "_t")
 
 
 def paths(returns: DataFrame, sims: int = 1000, seed: int = 0) -> DataFrame:
-    """(series_id, sim, step, r, v): v is the path's compounded return up to step (from 0)."""
-    rows = returns.where("r is not null and not isnan(r)").withColumn("i", F.row_number().over(ordered()) - 1)
-    each = rows.select("series_id", "i", "r", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))).alias("sim"))
-    key = F.when(F.col("sim") == 0, F.lpad(F.col("i").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws("-", F.lit(str(seed)), "sim", "i").cast("binary")))
-    w = Window.partitionBy("series_id", "sim").orderBy("k", "i")
-    out = each.withColumn("k", key)
-    return out.select("series_id", "sim", (F.row_number().over(w) - 1).alias("step"), "r", (growth().over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("v"))
+    """(series_id, sim, step, r, v): v is the path's compounded return up to step (from 0). Rows without a return are left out."""
+    w = ordered()
+    rows = returns.where("r is not null and not isnan(r)").select("series_id", "r", (F.row_number().over(w) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("series_id")).alias("n"))
+    each = rows.select("series_id", "i", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))).alias("sim"))
+    placed = shuffled(each.repartition("series_id", "sim"), "i", "n", "sim", seed).select("series_id", "sim", "step", "r")
+    path = Window.partitionBy("series_id", "sim").orderBy("step")
+    return placed.select("series_id", "sim", "step", "r", (growth().over(path.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("v"))
+
+
+def quantile_paths(simulated: DataFrame, probabilities: list[float], sims: int = 1000) -> DataFrame:
+    """(series_id, step, q): quantiles over the paths, step by step. sims says how many paths there are: up to BUFFER of them, a group's values are held at once."""
+    if sims > BUFFER:
+        return quantiles(simulated, ["series_id", "step"], "v", probabilities)
+    return simulated.groupBy("series_id", "step").agg(F.percentile("v", F.array(*map(F.lit, probabilities))).alias("q"))
 
 
 def path_summary(simulated: DataFrame) -> DataFrame:
@@ -54,15 +93,14 @@ def goal_probability(summary: DataFrame, goal: float) -> DataFrame:
     return summary.groupBy("series_id").agg(F.avg((F.col("terminal") >= goal).cast("double")).alias("goal_probability"))
 
 
-def percentile_path(simulated: DataFrame, p: float) -> DataFrame:
+def percentile_path(simulated: DataFrame, p: float, sims: int = 1000) -> DataFrame:
     """(series_id, step, v): percentile p (0 to 100) over the paths, step by step."""
-    return simulated.groupBy("series_id", "step").agg(F.percentile("v", F.lit(p / 100)).alias("v"))
+    return quantile_paths(simulated, [p / 100], sims).select("series_id", "step", F.col("q")[0].alias("v"))
 
 
-def confidence_band(simulated: DataFrame, level: float = 0.95) -> DataFrame:
+def confidence_band(simulated: DataFrame, level: float = 0.95, sims: int = 1000) -> DataFrame:
     """(series_id, step, lower, upper)."""
-    q = F.percentile("v", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return simulated.groupBy("series_id", "step").agg(q.alias("q")).select("series_id", "step", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    return quantile_paths(simulated, [(1 - level) / 2, (1 + level) / 2], sims).select("series_id", "step", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def path_sharpes(simulated: DataFrame, rf: float = 0.0, periods: float = 252) -> DataFrame:

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import daily_rate, finite, growth, ordered, running, whole
+from ..functions.columns import daily_rate, finite, ordered, running, whole
+from .scan import running_growth
 
 #: Blocks of an exponentially weighted sum that still count.
 REACH = 3
@@ -32,7 +33,7 @@ def to_returns(prices: DataFrame) -> DataFrame:
 
 def to_prices(returns: DataFrame, base: float = 100000.0) -> DataFrame:
     """(series_id, dt, p): base times the running product of 1 + r."""
-    return clean(returns).select("series_id", "dt", (base * growth().over(running())).alias("p"))
+    return running_growth(clean(returns)).select("series_id", "dt", (base * F.col("g")).alias("p"))
 
 
 def prepare(df: DataFrame, kind: str = "returns", rf: float = 0.0, periods: float | None = None, value: str = "r") -> DataFrame:
@@ -50,9 +51,11 @@ def prepare(df: DataFrame, kind: str = "returns", rf: float = 0.0, periods: floa
 def prepare_prices(df: DataFrame, kind: str = "price", base: float = 1.0, value: str = "p") -> DataFrame:
     """(series_id, dt, p) from prices, from returns, or from what is found (infer: below 0, or none above 1, is returns)."""
     df = df.select("series_id", "dt", F.coalesce(finite(F.col(value).cast("double")), F.lit(0.0)).alias("v"))
-    made = base * growth("v").over(running())
+    if kind == "price":
+        return df.select("series_id", "dt", F.col("v").alias("p"))
     returns = (F.min("v").over(whole()) < 0) | (F.max("v").over(whole()) < 1)
-    return df.select("series_id", "dt", {"price": F.col("v"), "returns": made, "infer": F.when(returns, made).otherwise(F.col("v"))}[kind].alias("p"))
+    made = running_growth(df, c="v").withColumn("made", base * F.col("g"))
+    return made.select("series_id", "dt", {"returns": F.col("made"), "infer": F.when(returns, F.col("made")).otherwise(F.col("v"))}[kind].alias("p"))
 
 
 def to_log_returns(returns: DataFrame) -> DataFrame:

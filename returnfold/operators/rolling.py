@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import growth, guarded, ratio, running, trailing, whole
+from ..functions.columns import guarded, ratio, trailing, whole
+from .scan import running_growth
 
 
 def _with(df: DataFrame, name: str, value, n: int, c: str = "r") -> DataFrame:
@@ -14,7 +15,7 @@ def _with(df: DataFrame, name: str, value, n: int, c: str = "r") -> DataFrame:
 
 def compsum(returns: DataFrame) -> DataFrame:
     """(series_id, dt, compsum): running compounded return."""
-    return returns.select("series_id", "dt", (growth().over(running()) - 1).alias("compsum"))
+    return running_growth(returns).select("series_id", "dt", (F.col("g") - 1).alias("compsum"))
 
 
 def rolling_volatility(returns: DataFrame, window: int = 126, periods: float = 252) -> DataFrame:

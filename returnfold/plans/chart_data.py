@@ -11,7 +11,7 @@ from ..functions.columns import growth, running, whole
 from ..operators.benchmark import on_common_dates
 from ..operators.calendar import distribution_rows, filled_daily, monthly_returns, period_end, resample
 from ..operators.drawdown import longest_drawdowns, to_drawdown_series
-from ..operators.montecarlo import confidence_band, path_summary, percentile_path
+from ..operators.montecarlo import path_summary
 from ..operators.portfolio import make_portfolio, match_volatility
 from ..operators.rolling import rolling_greeks, rolling_sharpe, rolling_sortino, rolling_volatility
 
@@ -127,9 +127,9 @@ def box_data(returns: DataFrame, freq: str = "ME", compounded: bool = True) -> D
 
 def montecarlo_lines(simulated: DataFrame, level: float = 0.95) -> DataFrame:
     """(series_id, step, lower, median, upper, original)."""
-    own = simulated.where("sim = 0").select("series_id", "step", F.col("v").alias("original"))
-    middle = percentile_path(simulated, 50).withColumnRenamed("v", "median")
-    return confidence_band(simulated, level).join(middle, ["series_id", "step"]).join(own, ["series_id", "step"])
+    q = F.percentile("v", F.array(*(F.lit(p) for p in ((1 - level) / 2, 0.5, (1 + level) / 2))))
+    lines = simulated.groupBy("series_id", "step").agg(q.alias("q"), F.max(F.when(F.col("sim") == 0, F.col("v"))).alias("original"))
+    return lines.select("series_id", "step", *(F.col("q")[k].alias(c) for k, c in enumerate(("lower", "median", "upper"))), "original")
 
 
 def montecarlo_histogram(simulated: DataFrame, bins: int = 50, column: str = "terminal") -> DataFrame:

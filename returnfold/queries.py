@@ -505,13 +505,31 @@ def _(spark, sf):
 # Monte Carlo: 1000 paths of each daily series; 20 where every row of every path is returned.
 
 SIMS, SHOWN, SEED = 1000, 20, 7
+
+
+def _mixed(x: str, shift: int, factor: int) -> str:
+    return f"((xor({x}, {x} >> {shift}) * {factor}) % {M.PRIME})"
+
+
+def _rounds() -> str:
+    """The rounds of the permutation, one inside the other."""
+    key = lambda k: f"((sim * 48271 + {(SEED * 69621 + k * 1298837 + 12345) % M.PRIME}) % {M.PRIME})"
+    rows = f"SELECT series_id, r, i, n, sim, (i * {M.STRIDE} + {_mixed(key(M.ROUNDS), 13, 40692)}) % n AS x FROM placed CROSS JOIN (SELECT unnest(range(0, {SIMS})) AS sim)"
+    for k in range(M.ROUNDS):
+        rows = f"SELECT *, {_mixed(key(k), 13, 40692)} AS z FROM ({rows})"
+        rows = f"SELECT *, (z % n - x + n) % n AS y FROM ({rows})"
+        rows = f"SELECT *, (greatest(x, y) * 16807 + z) % {M.PRIME} AS t FROM ({rows})"
+        rows = f"SELECT * EXCLUDE (y, z, t) REPLACE (CASE WHEN ({_mixed('t', 15, 1103515245)} >> 11) & 1 = 1 THEN y ELSE x END AS x) FROM ({rows})"
+    return f"SELECT series_id, sim, r, CASE WHEN sim = 0 THEN i ELSE x END AS step FROM ({rows})"
+
+
 PATHS = (
     WITH
-    + f""", placed AS (SELECT series_id, r, row_number() OVER (PARTITION BY series_id ORDER BY dt) - 1 AS i FROM ret
+    + f""", placed AS (SELECT series_id, r, row_number() OVER (PARTITION BY series_id ORDER BY dt) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM ret
 ), keyed AS (
-  SELECT series_id, sim, i, r, CASE WHEN sim = 0 THEN lpad(CAST(i AS VARCHAR), 12, '0') ELSE md5(concat_ws('-', '{SEED}', sim, i)) END AS k FROM placed CROSS JOIN (SELECT unnest(range(0, {SIMS})) AS sim)
+  {_rounds()}
 ), paths AS (
-  SELECT series_id, sim, row_number() OVER w - 1 AS step, r, product(1 + r) OVER (w ROWS UNBOUNDED PRECEDING) - 1 AS v FROM keyed WINDOW w AS (PARTITION BY series_id, sim ORDER BY k, i)
+  SELECT series_id, sim, step, r, product(1 + r) OVER (PARTITION BY series_id, sim ORDER BY step ROWS UNBOUNDED PRECEDING) - 1 AS v FROM keyed
 ), mc AS (
   SELECT series_id, sim, arg_max(v, step) AS terminal, min(dd) AS max_dd FROM (SELECT *, (1 + v) / nullif(max(1 + v) OVER (PARTITION BY series_id, sim ORDER BY step ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM paths) GROUP BY 1, 2
 )"""
