@@ -31,7 +31,6 @@ from .words import Memo, strings, word_codes
 SAMPLE, ORDER, CALIBRATE_EVERY, STRICTNESS = 1000, 4, 5, 8.0
 UNKNOWN = "und"
 #: A text column of this name is read but not returned by predict().
-DROPPED = "_text"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,20 +218,28 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> CharacterModels | None:
     return models
 
 
-def predict(docs: DataFrame, models: CharacterModels | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected, read from its column text. Null texts are unknown."""
+def predict(docs: DataFrame, models: CharacterModels | None, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected"), keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred, score and rejected, read from its column text; names says what to call them.
+
+    Columns of docs that have one of these names give way to them, as with withColumn; all others are kept, text itself
+    unless keep_text is off. Null texts are unknown. An empty table gives no rows.
+    """
+    docs = docs.drop(*(c for c in names if c != text))
+    kept = [f for f in docs.schema if f.name not in names and (keep_text or f.name != text)]
     if models is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
+        made = dict(zip(names, (F.lit(UNKNOWN), F.lit(0.0), F.lit(True))))
+        return docs.select(*(F.col(f"`{f.name}`") for f in kept), *(v.alias(k) for k, v in made.items()))
+    sent = docs.sparkSession.sparkContext.broadcast(models)
+    columns = [f.name for f in kept]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = TextScores(models)
+        scores = TextScores(sent.value)
         for batch in batches:
             for part in sliced(batch, text):
-                lang, score, rejected = models.decide(*scores.of(pc.fill_null(part.column(text), "")))
-                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(lang), pa.array(score), pa.array(rejected)], [*kept, "lang_pred", "score", "rejected"])
+                lang, score, rejected = sent.value.decide(*scores.of(pc.fill_null(part.column(text), "")))
+                yield pa.record_batch([*(part.column(c) for c in columns), pa.array(lang), pa.array(score), pa.array(rejected)], [*columns, *names])
 
-    kept = [c for c in docs.columns if c != DROPPED]
-    schema = T.StructType([f for f in docs.schema if f.name != DROPPED] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType(kept + [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
     return docs.mapInArrow(choose, schema)
 
 
@@ -240,5 +247,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the language of every text of documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     models = learn(docs.where(~held_out()))
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").alias(DROPPED))
-    return predict(rows, models, DROPPED).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return predict(rows, models, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "rejected")

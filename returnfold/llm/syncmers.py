@@ -27,7 +27,7 @@ from .common import documents, ranges, table
 from .token_shards import bucket_of, range_limits
 
 K, S, SLOTS = 20, 12, 128
-EMPTY = 0xFFFF
+EMPTY = 0xFFFFFFFF
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,7 +81,7 @@ def closed_syncmers(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarra
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """One row of SLOTS 16-bit numbers for each text."""
+    """One row of SLOTS 32-bit numbers for each text."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -92,9 +92,9 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     none = np.flatnonzero((np.bincount(doc, minlength=len(texts)) == 0) & (sizes > 0))
     whole = np.array([int.from_bytes(hashlib.blake2b(texts[i], digest_size=8).digest(), "little") for i in none], np.uint64)
     doc, h = np.concatenate([doc, none]), np.concatenate([h, whole])
-    slot, value = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.minimum(h >> np.uint64(48), EMPTY - 1).astype(np.uint16)
+    slot, value = (h & np.uint64(SLOTS - 1)).astype(np.int64), np.minimum(h >> np.uint64(32), EMPTY - 1).astype(np.uint32)
     order = np.argsort(value, kind="stable")[::-1]
-    out = np.full(len(texts) * SLOTS, EMPTY, np.uint16)
+    out = np.full(len(texts) * SLOTS, EMPTY, np.uint32)
     out[(doc * SLOTS + slot)[order]] = value[order]  # the last to be written is the smallest
     return out.reshape(len(texts), SLOTS)
 
@@ -107,7 +107,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shown(rows: np.ndarray) -> list[str]:
-    return [r.tobytes().hex() for r in rows.astype(">u2")]
+    return [r.tobytes().hex() for r in rows.astype(">u4")]
 
 
 def anchors(docs: DataFrame) -> DataFrame:

@@ -52,16 +52,37 @@ def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
-#: Character references in attributes and what they stand for; the ampersand's own are the last to be replaced.
-REFERENCES = {"&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&#47;": "/", "&#x2f;": "/", "&#58;": ":", "&#x3a;": ":", "&#x3f;": "?", "&#x3d;": "=", "&amp;": "&", "&#38;": "&", "&#x26;": "&"}
+#: Named character references that addresses may hold; numeric ones are worked out.
+REFERENCES = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "sol": "/", "colon": ":", "quest": "?", "equals": "=", "num": "#", "period": ".", "percnt": "%", "lowbar": "_", "plus": "+", "commat": "@", "semi": ";", "comma": ",", "excl": "!", "lpar": "(", "rpar": ")", "nbsp": " "}
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+#: What a page doesn't show: comments, and what scripts and styles hold.
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template)\b.*?(?:</\1\s*>|$)"
+#: A tag with its attributes; a quoted value is a unit, whatever it holds. At most 100 quoted values, so that no page exhausts a stack.
+TAG = r"""(?is)<(?:link|meta|base)[\s/][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+){0,100}+>"""
+#: An attribute with a value: name and value.
+ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+PIECE = r"(?s)&#[xX][0-9A-Fa-f]{1,8};?|&#[0-9]{1,9};?|&[A-Za-z]{1,12};|[^&]+|&"
 
 
 def unescaped(text: Column) -> Column:
-    """text without character references."""
-    for name, char in REFERENCES.items():
-        text = F.regexp_replace(text, f"(?i){name}", char)
-    return text
+    """text without character references; those that name no character stay as they are."""
+    named = F.create_map(*[F.lit(x) for kv in REFERENCES.items() for x in kv])
+
+    def char(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^&#[xX]?([0-9A-Fa-f]+);?$", 1)
+        code = F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        sound = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        numeric = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(p.startswith("&#"), numeric).when(p.startswith("&"), F.try_element_at(named, F.regexp_extract(p, "^&([A-Za-z]*)", 1))), p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), char), "")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's first attribute of this name, without quotes, references and white space around it; null if there is none."""
+    names, values = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    value = F.get(values, (F.array_position(F.transform(names, F.lower), name) - 1).cast("int"))
+    return F.regexp_replace(unescaped(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")), r"^\s+|\s+$", "")
 
 
 def resolved(url: Column, to: Column) -> Column:
@@ -91,12 +112,23 @@ def comparable(url: Column) -> Column:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's url, and the form in which it is compared or that of an address it redirects to or names as canonical."""
-    tags = lambda tag, attribute: F.regexp_extract_all("html", F.lit(rf"""(?is)(<{tag}\b[^>]*\b{attribute}\b[^>]*>)"""), F.lit(1))
-    value = lambda name: lambda x: unescaped(F.regexp_extract(x, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1))
-    to = F.concat(F.transform(tags("link", r"""rel\s*=\s*(?:"[^"]*\bcanonical|'[^']*\bcanonical|canonical)"""), value("href")), F.transform(tags("meta", r"""http-equiv\s*=\s*["']?refresh"""), value("url")))
-    named = pages.where("url like '%://%'").select("url", F.explode(F.concat(F.array(F.lit("#")), F.coalesce(to, F.array()))).alias("to")).where("to <> ''")
-    return named.select(F.col("url").alias("a"), comparable(resolved(F.col("url"), F.col("to"))).alias("b")).where("b is not null and a <> b").distinct()
+    """(a, b): a page's url, and the form in which it is compared or that of an address it redirects to or names as canonical.
+
+    Targets are resolved against the page's first <base href>, if it has one. Comments, scripts and styles don't count.
+    """
+    seen = pages.where("url like '%://%'").select("url", F.coalesce(F.regexp_extract_all(F.regexp_replace("html", UNSEEN, " "), F.lit(TAG), F.lit(0)), F.array().cast("array<string>")).alias("tags"))
+    is_ = lambda tag, name: F.lower(F.substring(tag, 2, 4)) == name
+    bases = F.filter(F.transform(F.filter("tags", lambda t: is_(t, "base")), lambda t: attribute(t, "href")), lambda x: x.isNotNull())
+    tags = seen.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode("tags").alias("tag")).where(~is_(F.col("tag"), "base"))
+    tag = F.col("tag")
+    canonical = is_(tag, "link") & F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = is_(tag, "meta") & (F.lower(attribute(tag, "http-equiv")) == "refresh")
+    shown = F.regexp_extract(attribute(tag, "content"), r"""(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?(.*)$""", 1)
+    to = F.when(canonical, attribute(tag, "href")).when(refresh, F.regexp_replace(shown, r"""(?s)^["']|["'].*$""", ""))
+    named = tags.withColumn("to", to).where("to <> ''")
+    origin = F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), F.col("url"))
+    found = named.select("url", comparable(resolved(origin, F.col("to"))).alias("b")).union(seen.select("url", comparable(resolved(F.col("url"), F.lit("#")))))
+    return found.select(F.col("url").alias("a"), "b").where("b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: dict[str, str], more_links: DataFrame | None = None) -> DataFrame:
@@ -122,15 +154,33 @@ ORACLE = {
     "op10_url_filter": r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html FROM pages
-), raw AS (
-  SELECT DISTINCT url, unnest(list_concat(['#'],
-    list_transform(coalesce(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*(?:"[^"]*\bcanonical|''[^'']*\bcanonical|canonical)\b[^>]*>'), []), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
-    list_transform(coalesce(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), []), lambda x: regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t
-  FROM p WHERE url LIKE '%://%'
+), tags AS (
+  SELECT url, html_id, unnest(list_zip(ts, range(len(ts)))) AS z FROM (SELECT *, regexp_extract_all(seen, '(?is)<(?:link|meta|base)[\s/](?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS ts FROM (
+    SELECT url, row_number() OVER () AS html_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|$)', ' ', 'g'), '(?is)<(?:script\b.*?(?:</script\s*>|$)|style\b.*?(?:</style\s*>|$)|template\b.*?(?:</template\s*>|$))', ' ', 'g') AS seen FROM p WHERE url LIKE '%://%'))
+), cells AS (
+  SELECT url, html_id, tag_id, kind, c[1] AS name, c[2] AS quoted, c[3] AS nth FROM (
+    SELECT url, html_id, z[2] AS tag_id, lower(z[1][2:5]) AS kind, unnest(list_zip(regexp_extract_all(z[1], @ATTRIBUTE, 1), regexp_extract_all(z[1], @ATTRIBUTE, 2), range(len(regexp_extract_all(z[1], @ATTRIBUTE, 1))))) AS c FROM tags)
+), valued AS (
+  SELECT url, html_id, tag_id, kind, lower(name) AS name, nth, array_to_string(list_transform(regexp_extract_all(CASE WHEN quoted[1] IN ('"', '''') THEN quoted[2:-2] ELSE quoted END, '(?s)&#[xX][0-9A-Fa-f]{1,8};?|&#[0-9]{1,9};?|&[A-Za-z]{1,12};|[^&]+|&'),
+    lambda x: CASE WHEN x[1] <> '&' OR x = '&' THEN x WHEN x[2] <> '#' THEN coalesce(@NAMED[rtrim(x[2:], ';')], x)
+      ELSE CASE WHEN (CASE WHEN lower(x[3]) = 'x' THEN ('0x' || rtrim(x[4:], ';'))::BIGINT ELSE rtrim(x[3:], ';')::BIGINT END) BETWEEN 1 AND 55295 OR (CASE WHEN lower(x[3]) = 'x' THEN ('0x' || rtrim(x[4:], ';'))::BIGINT ELSE rtrim(x[3:], ';')::BIGINT END) BETWEEN 57344 AND 1114111 THEN chr((CASE WHEN lower(x[3]) = 'x' THEN ('0x' || rtrim(x[4:], ';'))::BIGINT ELSE rtrim(x[3:], ';')::BIGINT END)::INT) ELSE x END END), '') AS value FROM cells
+), tagged AS (
+  SELECT url, html_id, tag_id, any_value(kind) AS kind, arg_min(trim(value, @SPACE), nth) FILTER (name = 'href') AS href, arg_min(trim(value, @SPACE), nth) FILTER (name = 'rel') AS rel,
+    arg_min(trim(value, @SPACE), nth) FILTER (name = 'http-equiv') AS equiv, arg_min(trim(value, @SPACE), nth) FILTER (name = 'content') AS content FROM valued GROUP BY 1, 2, 3
+), based AS (
+  SELECT *, first_value(CASE WHEN kind = 'base' THEN href END IGNORE NULLS) OVER (PARTITION BY html_id ORDER BY tag_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS base FROM tagged
+), aimed AS (
+  SELECT url AS page, base, CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN kind = 'meta' AND lower(equiv) = 'refresh' THEN regexp_replace(regexp_extract(content, '(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?(.*)$', 1), '(?s)^["'']|["''].*$', '', 'g') END AS dest FROM based
+), origins AS (
+  SELECT page, dest, CASE WHEN coalesce(base, '') = '' THEN page WHEN regexp_matches(base, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN base WHEN starts_with(base, '//') THEN split_part(page, '://', 1) || ':' || base
+    WHEN starts_with(base, '/') THEN regexp_extract(page, '^[^/?#]*://[^/?#]*') || base WHEN regexp_matches(base, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN page
+    ELSE regexp_extract(page, '^[^/?#]*://[^/?#]*') || coalesce(nullif(regexp_extract(regexp_extract(page, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1), '(?s)^.*/'), ''), '/') || base END AS url FROM aimed WHERE dest <> ''
+  UNION ALL SELECT url, '#', url FROM p WHERE url LIKE '%://%'
 ), named AS (
-  SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;', '"', 'gi'), '&#34;', '"', 'gi'), '&apos;', '''', 'gi'), '&#39;', '''', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&#47;', '/', 'gi'), '&#x2f;', '/', 'gi'), '&#58;', ':', 'gi'), '&#x3a;', ':', 'gi'), '&#x3f;', '?', 'gi'), '&#x3d;', '=', 'gi'), '&amp;', '&', 'gi'), '&#38;', '&', 'gi'), '&#x26;', '&', 'gi') AS dest, regexp_extract(url, '^[^/?#]*://[^/?#]*') AS root, regexp_extract(url, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1) AS path FROM raw WHERE t <> ''
+  SELECT page, url, dest, regexp_extract(url, '^[^/?#]*://[^/?#]*') AS root, regexp_extract(url, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1) AS path FROM origins
 ), full_links AS (
-  SELECT url AS a, CASE WHEN regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dest WHEN starts_with(dest, '//') THEN split_part(url, '://', 1) || ':' || dest
+  SELECT page AS a, CASE WHEN regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dest WHEN starts_with(dest, '//') THEN split_part(url, '://', 1) || ':' || dest
     WHEN starts_with(dest, '/') THEN root || dest WHEN starts_with(dest, '?') THEN root || path || dest WHEN starts_with(dest, '#') THEN regexp_replace(url, '(?s)#.*$', '')
     WHEN NOT regexp_matches(dest, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN root || CASE WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^.*/') ELSE '/' END || dest END AS b
   FROM named
@@ -169,5 +219,7 @@ WITH RECURSIVE p AS (
 SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule,
   coalesce(o.said, CASE WHEN s.allowed THEN 'allow' WHEN s.blocked THEN 'block' END, 'allow') AS verdict
 FROM p LEFT JOIN own o ON o.url = p.url LEFT JOIN shared s ON s.url = p.url
-"""
+""".replace("@ATTRIBUTE", r"""'(?s)([^\s"''<>/=]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'""")
+    .replace("@NAMED", "MAP {" + ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in REFERENCES.items()) + "}")
+    .replace("@SPACE", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)")
 }

@@ -176,22 +176,32 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int, at_once: int = 50_0
     rough[qi[:, None] == vi[None, :]] = -np.inf
     if "lists" in queries:
         rough[~_meet(queries["lists"], rows["lists"])] = -np.inf
-    least = np.partition(rough, -k, axis=1)[:, -k] if len(v) > k else np.full(len(q), -np.inf)
+    ids, of = np.unique(vi, return_inverse=True)
+    one = rough
+    if len(ids) < len(vi):  # the best of each vec_id
+        by = np.argsort(of, kind="stable")
+        one = np.maximum.reduceat(rough[:, by], np.searchsorted(of[by], np.arange(len(ids))), axis=1)
+    least = np.partition(one, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
     i, j = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))  # row by row, with all that may tie with the last
     score = np.concatenate([np.empty(0), *((v[j[at : at + at_once]] * q[i[at : at + at_once]]).sum(1) for at in range(0, len(i), at_once))]) / (vn[j] * qn[i])  # one way for all, so equal vectors tie
     order = np.lexsort((vi[j], -score, i))
+    order = order[~pd.DataFrame({"i": i[order], "v": vi[j[order]]}).duplicated().to_numpy()]
     i, j, score = i[order], j[order], score[order]
     top = np.arange(len(i)) - np.searchsorted(i, i) < k
     return pd.DataFrame({"query_id": qi[i[top]], "vec_id": vi[j[top]], "score": score[top]})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest that each of queries has among vectors, both (vec_id, embedding)."""
+    """(query_id, rank, vec_id, score): the k nearest that each of queries has among vectors, both (vec_id, embedding).
+
+    Repeated rows are one. A vec_id that stands for several vectors is one candidate, by the nearest of them, and one query,
+    which gets what is nearest to any of them. Empty tables and those without usable vectors give no rows.
+    """
     spark = vectors.sparkSession
     length = vectors.where(usable("embedding")).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").select("n", "count").head()
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fit = lambda df: df.where(usable("embedding") & (F.size("embedding") == length["n"])).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    fit = lambda df: df.where(usable("embedding") & (F.size("embedding") == length["n"])).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct()
     vectors, queries, n = fit(vectors), fit(queries), length["count"]
     every = max(1, -(-n // SAMPLE))
     sample = vectors.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(every)) == 0).limit(2 * SAMPLE).select("embedding").toPandas()["embedding"]
@@ -211,7 +221,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         return _best(q, v, k) if len(q) and len(v) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    found = apart(left).groupBy(*key).cogroup(apart(right).groupBy(*key)).applyInPandas(best, "query_id long, vec_id long, score double").distinct()
+    found = apart(left).groupBy(*key).cogroup(apart(right).groupBy(*key)).applyInPandas(best, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -129,7 +129,7 @@ def test_fingerprints_equal_brute_force():
                 with np.errstate(over="ignore"):
                     h = int(syncmers.mixed(np.array([mers[0] * syncmers._A + mers[-1]], np.uint64))[0])
                 slot = h % syncmers.SLOTS
-                least[slot] = min(least.get(slot, syncmers.EMPTY), h >> 48)
+                least[slot] = min(least.get(slot, syncmers.EMPTY), h >> 32)
         if least:
             assert {k: v for k, v in enumerate(row.tolist()) if v != syncmers.EMPTY} == least
     used = (rows[:1] != syncmers.EMPTY) | (rows[1:2] != syncmers.EMPTY)
