@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, growth, ratio
 from .calendar import period_key
+from .scan import BLOCK, blocks, in_block, in_blocks, out_of_blocks, running_growth
+
+
+def benchmark_prices(benchmark: DataFrame) -> DataFrame:
+    """(series_id, dt, p) for each day from a benchmark's first to its last date: the price of the next date that it has.
+
+    The growth of 1 and the date before are found in blocks of time; a block's first row takes the last date of the blocks
+    before it. A row then stands for the days since the date before.
+    """
+    grown = running_growth(benchmark.select("series_id", F.to_date("dt").alias("dt"), F.coalesce("b", F.lit(0.0)).alias("b")), "p", "b")
+    rows = in_blocks(grown).withColumn("_prev", F.lag("dt").over(in_block()))
+    carried = rows.groupBy(BLOCK).agg(F.max("dt").alias("_end")).select(BLOCK, F.lag("_end").over(blocks()).alias("_before"))
+    first = F.coalesce(F.date_add(F.coalesce("_prev", "_before"), 1), F.col("dt"))
+    return out_of_blocks(rows.join(carried, BLOCK), ["series_id"], {"p": F.col("p"), "dt": F.explode(F.sequence(F.least(first, F.col("dt")), F.col("dt")))})
 
 
 def align_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(series_id, dt, r, b): the benchmark's return over each of the series' own steps.
 
-    The benchmark becomes prices; a date that it lacks takes the next later price, as in a backward fill;
-    the return is from one date of the series to its next. One row of benchmark for each date is small
-    beside the returns; Spark broadcasts it if it is.
+    benchmark has (dt, b), or (series_id, dt, b) if each series has its own. It becomes prices; a date that it lacks takes
+    the next later price, as in a backward fill; the return is from one date of the series to its next. Spark broadcasts
+    the prices if they are small.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)  # one benchmark, a row a day
-    prices = benchmark.select("dt", growth(F.coalesce("b", F.lit(0.0))).over(order).alias("p"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("dt").rowsBetween(0, Window.unboundedFollowing)
-    days = benchmark.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("dt"))
-    filled = days.join(prices, "dt", "left").select("dt", F.first("p", True).over(ahead).alias("p"))
-    own = Window.partitionBy("series_id").orderBy("dt")
-    joined = returns.join(filled, "dt", "left")
-    b = F.coalesce(ratio(F.col("p"), F.lag("p").over(own)) - 1, F.lit(0.0))
-    return joined.select("series_id", "dt", "r", b.alias("b"))
+    own = "series_id" in benchmark.columns
+    prices = benchmark_prices(benchmark if own else benchmark.withColumn("series_id", F.lit("")))
+    key = ["series_id", "dt"] if own else ["dt"]
+    joined = in_blocks(returns.join(prices.select(*key, "p"), key, "left").select("series_id", "dt", "r", "p"))
+    rows = joined.withColumns({"_lag": F.lag("p").over(in_block()), "_first": F.row_number().over(in_block()) == 1})
+    carried = rows.groupBy(BLOCK).agg(F.max_by("p", "dt").alias("_end")).select(BLOCK, F.lag("_end").over(blocks()).alias("_before"))
+    before = F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))
+    return out_of_blocks(rows.join(carried, BLOCK), ["series_id", "dt", "r"], {"b": F.coalesce(ratio(F.col("p"), before) - 1, F.lit(0.0))})
 
 
 def on_common_dates(returns: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def paths(returns: DataFrame, sims: int = 1000, seed: int = 0) -> DataFrame:
     rows = returns.where("r is not null and not isnan(r)").select("series_id", "r", (F.row_number().over(w) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("series_id")).alias("n"))
     each = rows.select("series_id", "i", "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))).alias("sim"))
     placed = shuffled(each.repartition("series_id", "sim"), "i", "n", "sim", seed).select("series_id", "sim", "step", "r")
-    path = Window.partitionBy("series_id", "sim").orderBy("step")
-    return placed.select("series_id", "sim", "step", "r", (growth().over(path.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("v"))
+    path = Window.partitionBy("series_id", "sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    # step comes out of the window, so that a caller's condition on it is not pushed into the rounds, which it would multiply
+    return placed.select("series_id", "sim", F.max("step").over(path).alias("step"), "r", (growth().over(path) - 1).alias("v"))
 
 
 def quantile_paths(simulated: DataFrame, probabilities: list[float], sims: int = 1000) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from .operators import rolling as L
 from .operators.stats import STATS, Settings, compute, longest_streak
 from .plans import chart_data as H
 from .plans import report as T
-from .sources.series import from_wide, naive_utc, stack, to_wide, validate
+from .sources.series import beside, download_returns, from_wide, naive_utc, read_series, stack, to_wide, validate, write_series
 from .sources.tables import market, prices_by_priority, returns_by_event, returns_by_priority, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -369,6 +372,37 @@ def _(spark, sf):
     return rows.select("series_id", "period", F.size("values").cast("long").alias("n_values"), F.size("outliers").cast("long").alias("n_outliers"), F.aggregate("values", F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
+# Stored series.
+
+
+def _stored_prices(spark, sf) -> str:
+    """A new folder of closing prices by year, in spark.checkpoint.dir or, for a local session without one, a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-prices-")
+    path = f"{base.rstrip('/')}/prices-{uuid.uuid4().hex}"
+    write_series(prices_by_priority(spark, sf).withColumnRenamed("p", "close"), path)
+    return path
+
+
+@query("download_returns", f"SELECT series_id, dt, {n6(f'coalesce(p / lag(p) OVER {_W} - 1, 0)', 'r', 9)} FROM prices WHERE series_id IN ('1-URGENT', '5-LOW') QUALIFY dt >= DATE '1996-03-01'", PRICES, 9)
+def _(spark, sf):
+    return download_returns(spark, _stored_prices(spark, sf), ["1-URGENT", "5-LOW"], datetime.date(1996, 3, 1))
+
+
+@query("read_series", f"SELECT series_id, dt, {n6('p', 'close')} FROM prices WHERE dt BETWEEN DATE '1996-03-01' AND DATE '1997-11-15'", PRICES)
+def _(spark, sf):
+    return read_series(spark, _stored_prices(spark, sf), value="close", since=datetime.date(1996, 3, 1), until=datetime.date(1997, 11, 15))
+
+
+@query("beside", f"SELECT coalesce(a.dt, b.dt) AS dt, {n6('a.r', 'urgent')}, {n6('b.r', 'low')} FROM (SELECT dt, r FROM ret WHERE series_id = '1-URGENT') a FULL JOIN (SELECT dt, r FROM ret WHERE series_id = '5-LOW' AND year(dt) > 1995) b ON a.dt = b.dt")
+def _(spark, sf):
+    rows = returns_by_priority(spark, sf)
+    return beside(rows.where("series_id = '1-URGENT'").select("dt", F.col("r").alias("urgent")), rows.where("series_id = '5-LOW' and year(dt) > 1995").select("dt", F.col("r").alias("low")))
+
+
 # Rolling measures.
 
 

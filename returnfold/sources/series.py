@@ -33,20 +33,31 @@ def validate(df: DataFrame, value: str = "r", allow_empty: bool = True) -> DataF
     return df
 
 
-def read_series(spark: SparkSession, path: str, kind: str = "parquet", value: str = "r", since=None, until=None, **options) -> DataFrame:
-    """(series_id, dt, value) from files of any kind that Spark reads; since and until reach the scan."""
+def read_series(spark: SparkSession, path: str, kind: str = "parquet", value: str = "r", since=None, until=None, series: list[str] | None = None, **options) -> DataFrame:
+    """(series_id, dt, value) from files of any kind that Spark reads.
+
+    since, until and series reach the scan; where the files lie in folders by year, as write_series() puts them, the
+    years outside the limits aren't listed.
+    """
     df = spark.read.format(kind).options(**options).load(path)
-    df = df.select("series_id", "dt", F.col(value).cast("double").alias(value))
-    if since is not None:
-        df = df.where(F.col("dt") >= F.lit(since))
-    return validate(df if until is None else df.where(F.col("dt") <= F.lit(until)), value)
+    for limit, low in ((since, True), (until, False)):
+        if limit is not None:
+            day = F.lit(limit).cast("date") if dict(df.dtypes)["dt"] == "date" else F.lit(limit)
+            df = df.where(F.col("dt") >= day if low else F.col("dt") <= day)
+            if "year" in df.columns:
+                year = int(str(limit)[:4])
+                df = df.where(F.col("year") >= year if low else F.col("year") <= year)
+    if series is not None:
+        df = df.where(F.col("series_id").isin(series))
+    return validate(df.select("series_id", "dt", F.col(value).cast("double").alias(value)), value)
 
 
 def download_returns(spark: SparkSession, path: str, series: list[str] | None = None, since=None, **options) -> DataFrame:
-    """Daily returns from stored closing prices (series_id, dt, close): the change to the row before, 0 for the first."""
-    prices = read_series(spark, path, value="close", **options)
-    if series is not None:
-        prices = prices.where(F.col("series_id").isin(series))
+    """Daily returns from stored closing prices (series_id, dt, close): the change to the row before, 0 for the first.
+
+    since leaves out rows before it only after the change is known; series reach the scan.
+    """
+    prices = read_series(spark, path, value="close", series=series, **options)
     change = F.try_divide(F.col("close"), F.lag("close").over(ordered())) - 1
     out = prices.select("series_id", "dt", F.coalesce(finite(change), F.lit(0.0)).alias("r"))
     return out if since is None else out.where(F.col("dt") >= F.lit(since))
