@@ -8,7 +8,7 @@ shingle are paired if their sizes and the places of the shingle allow a link; a
 expanded and compared, shingle by shingle.
 
 Only what joins components counts, so pairs that links have joined before aren't compared again; what
-costs little comes first. Members meet their group's first; groups meet the group with most company
+costs little comes first. Members meet their group's first, and groups the group with most company
 among those of their shingles; then one set of each component meets that of each of its shingles. What
 still lies apart is compared whole: pairs of groups where a shingle has few sets, and blocks of bounded
 size, from which only links leave, where it has many. A bitmap of each set, BITS parities, bounds the
@@ -254,6 +254,8 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
 
     def meet(pairs: DataFrame) -> DataFrame:
         near = stored(likely(pairs, some, percent), "likely")
+        if near.isEmpty():
+            return near
         wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
         return stored(compare(near, texts_of(stored(some.select("node", "text_id").join(wanted, "node"), "wanted"), docs), percent), "near")
 
@@ -266,13 +268,12 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
         whole = components(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
         return stored(of.join(whole.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
 
-    # members and the first of their group
-    of = joined(alone, meet(some.join(mates, "group").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))))
-    # first members and that of the group with most company
+    # members and the first of their group; first members and that of the group with most company
+    own = some.join(mates, "group").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     keyed = post.select("key", "group", "leader").join(mates.select("group", "company"), "group")
     heads = stored(keyed.groupBy("key").agg(F.max(F.struct("company", "leader")).alias("h")), "heads")
     best = keyed.join(heads, "key").groupBy("leader").agg(F.max("h").alias("h")).select(F.col("leader").alias("a"), F.col("h.leader").alias("b")).where("a <> b")
-    of = joined(of, meet(best))
+    of = joined(alone, meet(own.union(best)))
     # one set of each class that a shingle has, and the shingle's head
     placed = some.select("node", "group").join(of, "node")
     kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.min("node").alias("node"))
@@ -295,6 +296,8 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
         pairs = pairs.join(placed.select(F.col("group").alias(f"group_{s}"), F.col("node").alias(s), F.col("class").alias(f"of_{s}")), f"group_{s}")
     rest = meet(pairs.where("of_a <> of_b and (group_a <> group_b or a < b)").select("a", "b"))
     # many: blocks
+    if crowded.isEmpty():
+        return joined(of, rest).withColumnRenamed("class", "component")
     many = post.select("key", "group", "place").join(crowded, "key").join(placed.select("node", "group", "class"), "group").join(some.select("node", "n", "bits"), "node")
     possible = stored(_possible(many, percent), "possible")
     text = texts_of(stored(some.select("node", "text_id").join(possible.select("node").distinct(), "node"), "wanted"), docs)
