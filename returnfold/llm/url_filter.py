@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .components import components
 
 #: Fixed values of the contract: rule and verdict.
@@ -125,9 +125,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     refresh = is_(tag, "meta") & (F.lower(attribute(tag, "http-equiv")) == "refresh")
     shown = F.regexp_extract(attribute(tag, "content"), r"""(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?(.*)$""", 1)
     to = F.when(canonical, attribute(tag, "href")).when(refresh, F.regexp_replace(shown, r"""(?s)^["']|["'].*$""", ""))
-    named = tags.withColumn("to", to).where("to <> ''")
     origin = F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), F.col("url"))
-    found = named.select("url", comparable(resolved(origin, F.col("to"))).alias("b")).union(seen.select("url", comparable(resolved(F.col("url"), F.lit("#")))))
+    # stored, as Spark would put these expressions into each place where the next ones name them
+    named = stored(stored(tags.select("url", "base", to.alias("to")), "targets").where("to <> ''").select("url", origin.alias("origin"), "to"), "origins")
+    found = named.select("url", comparable(resolved(F.col("origin"), F.col("to"))).alias("b")).union(seen.select("url", comparable(resolved(F.col("url"), F.lit("#")))))
     return found.select(F.col("url").alias("a"), "b").where("b is not null and a <> b").distinct()
 
 
