@@ -24,10 +24,6 @@ def onward(*keys: str, by: str = TIME) -> WindowSpec:
     return ordered(*keys, by=by).rowsBetween(0, Window.unboundedFollowing)
 
 
-def trailing(n: int, *keys: str, by: str = TIME) -> WindowSpec:
-    return ordered(*keys, by=by).rowsBetween(1 - n, 0)
-
-
 def whole(*keys: str) -> WindowSpec:
     return Window.partitionBy(*(keys or (KEY,)))
 
@@ -47,11 +43,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def guarded(value: Column, c: str, n: int, spec: WindowSpec) -> Column:
-    """value where the window holds n rows with c, as a rolling window does that needs to be full."""
-    return F.when(F.count(c).over(spec) == n, value)
-
-
 def growth(c: Column | str = "r") -> Column:
     """Aggregate: product of 1 + c."""
     return F.product(1 + col(c))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import guarded, ratio, trailing, whole
+from ..functions.columns import ratio
 from .scan import running_growth
+from .sliding import sliding, sliding_rank
 
 
-def _with(df: DataFrame, name: str, value, n: int, c: str = "r") -> DataFrame:
-    return df.withColumn(name, guarded(value, c, n, trailing(n)))
+def full(c: str, n: int, value: Column) -> Column:
+    """value where the window holds n rows with c."""
+    return F.when(F.col(f"n_{c}") == n, value)
+
+
+def deviation(c: str) -> Column:
+    """Sample deviation of the window's c; null below two rows."""
+    return F.when(F.col(f"n_{c}") > 1, F.sqrt(F.col(f"m2_{c}") / (F.col(f"n_{c}") - 1)))
 
 
 def compsum(returns: DataFrame) -> DataFrame:
@@ -18,40 +25,47 @@ def compsum(returns: DataFrame) -> DataFrame:
     return running_growth(returns).select("series_id", "dt", (F.col("g") - 1).alias("compsum"))
 
 
+def rolling_measures(returns: DataFrame, names: list[str], window: int = 126, periods: float = 252, annualize: bool = True) -> DataFrame:
+    """returns with these of rolling_volatility, rolling_sharpe and rolling_sortino, all from the same moments."""
+    below = {"below": F.when(F.col("r") < 0, F.col("r") * F.col("r"))} if "rolling_sortino" in names else {}
+    moments = sliding(returns, window, {"r": F.col("r")}, sums=below)
+    scale = periods**0.5 if annualize else 1.0
+    made = {"rolling_volatility": deviation("r") * scale, "rolling_sharpe": ratio(F.col("mean_r"), deviation("r")) * scale}
+    if below:
+        made["rolling_sortino"] = ratio(F.col("mean_r"), F.sqrt(F.col("sum_below") / window)) * scale
+    return moments.select(*returns.columns, *(full("r", window, made[k]).alias(k) for k in names))
+
+
 def rolling_volatility(returns: DataFrame, window: int = 126, periods: float = 252) -> DataFrame:
-    return _with(returns, "rolling_volatility", F.stddev_samp("r").over(trailing(window)) * periods**0.5, window)
+    return rolling_measures(returns, ["rolling_volatility"], window, periods)
 
 
 def rolling_sharpe(returns: DataFrame, window: int = 126, periods: float = 252, annualize: bool = True) -> DataFrame:
-    w, scale = trailing(window), periods**0.5 if annualize else 1.0
-    return _with(returns, "rolling_sharpe", ratio(F.avg("r").over(w), F.stddev_samp("r").over(w)) * scale, window)
+    return rolling_measures(returns, ["rolling_sharpe"], window, periods, annualize)
 
 
 def rolling_sortino(returns: DataFrame, window: int = 126, periods: float = 252, annualize: bool = True) -> DataFrame:
-    w, scale = trailing(window), periods**0.5 if annualize else 1.0
-    below = F.sqrt(F.sum(F.when(F.col("r") < 0, F.col("r") * F.col("r")).otherwise(0.0)).over(w) / window)
-    return _with(returns, "rolling_sortino", ratio(F.avg("r").over(w), below) * scale, window)
+    return rolling_measures(returns, ["rolling_sortino"], window, periods, annualize)
 
 
 def implied_volatility(returns: DataFrame, periods: int = 252, annualize: bool = True) -> DataFrame:
     """Deviation of log returns: over the last `periods` rows and annualised, or of the whole series."""
-    logs = returns.withColumn("l", F.when(F.col("r") > -1, F.log1p("r")))
+    log = F.when(F.col("r") > -1, F.log1p("r"))
     if not annualize:
-        return logs.groupBy("series_id").agg(F.stddev_samp("l").alias("implied_volatility"))
-    return _with(logs, "implied_volatility", F.stddev_samp("l").over(trailing(periods)) * periods**0.5, periods, "l").drop("l")
+        return returns.groupBy("series_id").agg(F.stddev_samp(log).alias("implied_volatility"))
+    return sliding(returns, periods, {"l": log}).select(*returns.columns, full("l", periods, deviation("l") * periods**0.5).alias("implied_volatility"))
 
 
 def pct_rank(prices: DataFrame, window: int = 60) -> DataFrame:
-    """(series_id, dt, pct_rank): percent rank of a price among the last `window`, ties in the middle; the first windows are short."""
-    rows = prices.withColumn("_a", F.collect_list("p").over(trailing(window)))
-    below, same = F.size(F.filter("_a", lambda x: x < F.col("p"))), F.size(F.filter("_a", lambda x: x == F.col("p")))
-    return rows.select("series_id", "dt", ((below + (same + 1) / 2) / F.size("_a") * 100).alias("pct_rank"))
+    """(series_id, dt, pct_rank): percent rank of a price among the last `window`, ties in the middle; the first windows are short. Null prices have no rank and don't count."""
+    return sliding_rank(prices, window, "p", "pct_rank")
 
 
 def rolling_greeks(joined: DataFrame, window: int = 252) -> DataFrame:
     """(series_id, dt, beta, alpha) of (series_id, dt, r, b): rolling beta; alpha from it and the means of the whole series."""
-    w = trailing(window)
-    rows = joined.withColumns({"r": F.coalesce("r", F.lit(0.0)), "b": F.coalesce("b", F.lit(0.0))})
-    beta = guarded(ratio(F.covar_samp("r", "b").over(w), F.var_samp("b").over(w)), "r", window, w)
-    rows = rows.withColumn("beta", beta).withColumns({"_r": F.avg("r").over(whole()), "_b": F.avg("b").over(whole())})
-    return rows.select("series_id", "dt", "beta", (F.col("_r") - F.col("beta") * F.col("_b")).alias("alpha"))
+    key = F.struct("series_id").alias("_s")  # null series are a series too
+    rows = joined.select("series_id", "dt", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in "rb"))
+    means = rows.groupBy(key).agg(F.avg("r").alias("_r"), F.avg("b").alias("_b"))
+    moments = sliding(rows, window, {"r": F.col("r"), "b": F.col("b")}, [("r", "b")])
+    betas = moments.select(key, "dt", full("r", window, ratio(F.col("co_r_b"), F.col("m2_b"))).alias("beta"))
+    return betas.join(means, "_s").select("_s.series_id", "dt", "beta", (F.col("_r") - F.col("beta") * F.col("_b")).alias("alpha"))

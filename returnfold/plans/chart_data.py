@@ -13,7 +13,7 @@ from ..operators.calendar import distribution_rows, filled_daily, monthly_return
 from ..operators.drawdown import longest_drawdowns, to_drawdown_series
 from ..operators.montecarlo import path_summary
 from ..operators.portfolio import make_portfolio, match_volatility
-from ..operators.rolling import rolling_greeks, rolling_sharpe, rolling_sortino, rolling_volatility
+from ..operators.rolling import rolling_greeks, rolling_measures
 
 
 def cumulative(returns: DataFrame, compounded: bool = True, benchmark: DataFrame | None = None, same_volatility: bool = False, freq: str | None = None) -> DataFrame:
@@ -101,8 +101,8 @@ def rolling_beta(joined: DataFrame, windows: tuple[int, ...] = (126, 252)) -> Da
 
 
 def rolling_lines(returns: DataFrame, window: int = 126, periods: float = 252) -> DataFrame:
-    """(series_id, dt, rolling_volatility, rolling_sharpe, rolling_sortino), all over one sort."""
-    return rolling_sortino(rolling_sharpe(rolling_volatility(returns, window, periods), window, periods), window, periods).drop("r")
+    """(series_id, dt, rolling_volatility, rolling_sharpe, rolling_sortino), all from the same moments."""
+    return rolling_measures(returns, ["rolling_volatility", "rolling_sharpe", "rolling_sortino"], window, periods).drop("r")
 
 
 def monthly_heatmap(returns: DataFrame, compounded: bool = True) -> DataFrame:
