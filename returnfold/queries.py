@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fluent
 from .functions import columns as C
 from .operators import benchmark as B
 from .operators import calendar as K
@@ -436,6 +437,15 @@ def _(spark, sf):
     return L.pct_rank(prices_by_priority(spark, sf))
 
 
+_RS21 = _full(f"avg(r) OVER {_roll(21)} / nullif(stddev_samp(r) OVER {_roll(21)}, 0) * sqrt(252.0)", 21)
+
+
+@query("transform_steps", f"SELECT series_id, dt, {n6('r', 'r')}, {n6('rolling_sharpe', 'rolling_sharpe')} FROM (SELECT *, {_RS21} AS rolling_sharpe FROM ret) WHERE dt >= DATE '1998-01-01'")
+def _(spark, sf):
+    """Rolling Sharpe ratios of the year to date, step by step."""
+    return returns_by_priority(spark, sf).transform(fluent.rolling_sharpe(window=21)).transform(fluent.year_to_date(AS_OF))
+
+
 _BETA = _full(f"covar_samp(r, b) OVER {_roll(252)} / nullif(var_samp(b) OVER {_roll(252)}, 0)", 252)
 
 
