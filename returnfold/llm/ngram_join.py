@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sliced, stored, table, trim
+from .common import documents, drop, sliced, stored, table, trim
 from .components import components
 from .near_copies import shingles, text_id
 
@@ -240,16 +240,23 @@ def _meet_in_blocks(crowded: DataFrame, percent: int) -> DataFrame:
     return _dealt(crowded, "prefix", "text").applyInArrow(block, "a binary, b binary")
 
 
-def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of those of sets, as ordered_prefixes() gives them for docs, that may be linked with another; the others are alone."""
+def grouped(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Stored tables of those of sets that may be linked with another: nodes (node, group, n, bits, text_id) and groups (group, n, prefix, members, leader)."""
     able = sets.where(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller ones are linked with none but equal ones
     nodes = stored(able.groupBy("node").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("text_id").alias("text_id")), "nodes")
     members = nodes.groupBy("group").agg(F.count("*").alias("members"), F.min("node").alias("leader"))
     groups = stored(able.groupBy("group").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(members, "group"), "groups")
+    return nodes, groups
+
+
+def classes(nodes: DataFrame, groups: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of those of grouped() for docs that share a prefix shingle with another; the others are alone. Deletes nodes and groups."""
     shared = stored(groups.select("members", F.explode("prefix").alias("key")).groupBy("key").agg(F.sum("members").alias("rows")).where("rows > 1"), "shared")
     post = stored(groups.select("group", "n", "leader", F.posexplode("prefix").alias("place", "key")).join(shared, "key"), "post")
+    drop(shared)
     mates = stored(post.groupBy("group").agg(F.first("leader").alias("leader"), F.sum("rows").alias("company")), "mates")
     some = stored(nodes.join(mates.select("group"), "group", "left_semi"), "some")
+    drop(nodes)
     alone = some.select("node", F.col("node").alias("class"))
 
     def meet(pairs: DataFrame) -> DataFrame:
@@ -257,7 +264,10 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
         if near.isEmpty():
             return near
         wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        return stored(compare(near, texts_of(stored(some.select("node", "text_id").join(wanted, "node"), "wanted"), docs), percent), "near")
+        texts = texts_of(stored(some.select("node", "text_id").join(wanted, "node"), "wanted"), docs)
+        links = stored(compare(near, texts, percent), "near")
+        drop(texts)
+        return links
 
     def joined(of: DataFrame, near: DataFrame) -> DataFrame:
         """Classes when these links have joined some."""
@@ -280,6 +290,7 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     heads = heads.select("key", F.col("h.leader").alias("head")).join(of.select(F.col("node").alias("head"), F.col("class").alias("of_head")), "head")
     apart = kinds.join(heads, "key").where(F.col("class") != F.col("of_head")).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     of = joined(of, meet(apart))
+    drop(mates)
     # all that share a shingle and still lie apart
     placed = stored(some.select("node", "group", "n").join(of, "node"), "placed")
     kinds = post.select("key", "group").join(placed, "group").groupBy("key", "class").agg(F.count("*").alias("rows"), F.sum(8 * F.col("n")).alias("size"))
@@ -297,12 +308,14 @@ def classes(sets: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     rest = meet(pairs.where("of_a <> of_b and (group_a <> group_b or a < b)").select("a", "b"))
     # many: blocks
     if crowded.isEmpty():
+        drop(torn, placed, groups, post)
         return joined(of, rest).withColumnRenamed("class", "component")
     many = post.select("key", "group", "place").join(crowded, "key").join(placed.select("node", "group", "class"), "group").join(some.select("node", "n", "bits"), "node")
     possible = stored(_possible(many, percent), "possible")
     text = texts_of(stored(some.select("node", "text_id").join(possible.select("node").distinct(), "node"), "wanted"), docs)
     many = many.join(possible, ["key", "node"]).join(groups.select("group", "prefix"), "group").join(text, "node")
     rest = rest.unionByName(stored(_meet_in_blocks(many, percent), "blocks"))
+    drop(text, possible, torn, placed, groups, post)
     return joined(of, rest).withColumnRenamed("class", "component")
 
 
@@ -310,12 +323,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of (doc_id, text): the size of its set, and the least doc_id that links lead to."""
     docs = documents(docs)
     sets = stored(ordered_prefixes(docs, levels(docs), percent), "sets")
-    of = classes(sets.where("n > 0"), docs, percent)
-    least = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes, groups = grouped(sets.where("n > 0"), percent)
+    rows = stored(sets.select("doc_id", "n", "node"), "rows")
+    drop(sets)
+    of = classes(nodes, groups, docs, percent)
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = stored(least, "least")
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(least.join(ids, "component").select("node", "component_id"), "named")
-    rows = sets.select("doc_id", F.col("n").alias("n_shingles"), "node")
+    rows = rows.withColumnRenamed("n", "n_shingles")
     full, bare = rows.where("node is not null").join(named, "node"), rows.where("node is null").withColumn("component_id", F.col("doc_id"))
     return full.select("doc_id", "n_shingles", "component_id").unionByName(bare.select("doc_id", "n_shingles", "component_id"))
 
