@@ -8,6 +8,7 @@ so the ids of a text are those of its words put together.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -44,15 +45,19 @@ class Ragged:
     def row(self, i: int) -> list[int]:
         return self.flat[self.ends[i] : self.ends[i + 1]].tolist()
 
-    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All integers of these rows, and how many each has."""
-        bounds, flat = np.array(self.ends), np.array(self.flat)
-        start = bounds[rows]
-        n = bounds[rows + 1] - start
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0)
-        at += np.repeat(start - (ends - n), n)
-        return flat[at], n
+    def gather(self, rows: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """All integers of these rows, and how many each has; at_once rows are worked out together, so that places take little memory."""
+        bounds, flat = (np.frombuffer(x, x.typecode) if x else np.empty(0, x.typecode) for x in (self.ends, self.flat))
+        n = bounds[rows + 1] - bounds[rows]
+        out, done = np.empty(n.sum(), flat.dtype), 0
+        for k in range(0, len(rows), at_once):
+            part = n[k : k + at_once]
+            ends = np.cumsum(part)
+            at = np.arange(ends[-1])
+            at += np.repeat(bounds[rows[k : k + at_once]] - (ends - part), part)
+            out[done : done + len(at)] = flat[at]
+            done += len(at)
+        return out, n
 
 
 def word_codes(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -110,6 +115,7 @@ class WordIds:
     def __init__(self, path: str, most_words: int = 1_500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has a core; the library's threads each keep memory that a worker never gives back
         self.tokenizer = Tokenizer.from_file(path)
         self.merger = Tokenizer(self.tokenizer.model)  # shares the vocabulary
         self.merger.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
