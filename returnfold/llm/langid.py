@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, table
+from .common import sliced, table, trim
 from .syncmers import mixed
 from .words import Memo, strings, word_codes
 
@@ -211,6 +211,8 @@ def learn(docs: DataFrame, most: int = SAMPLE) -> CharacterModels | None:
             for part in sliced(batch, "text"):
                 cost, length = scores.of(part.column("text"))
                 yield pa.record_batch([part.column("lang"), pa.array(list(cost), pa.list_(pa.float64())), pa.array(length, pa.int64())], ["lang", "cost", "length"])
+        del scores
+        trim()
 
     sample = texts.where(held).select("text", "lang").mapInArrow(costs, "lang string, cost array<double>, length long").toPandas()
     if len(sample):
@@ -238,6 +240,8 @@ def predict(docs: DataFrame, models: CharacterModels | None, text: str = "text",
             for part in sliced(batch, text):
                 lang, score, rejected = sent.value.decide(*scores.of(pc.fill_null(part.column(text), "")))
                 yield pa.record_batch([*(part.column(c) for c in columns), pa.array(lang), pa.array(score), pa.array(rejected)], [*columns, *names])
+        del scores
+        trim()
 
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
     return docs.mapInArrow(choose, schema)

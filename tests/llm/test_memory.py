@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 
-from returnfold.llm import words
+from returnfold.llm import suffix_dedup, words
 
 
 def test_gathering_rows_takes_little_beside_its_result():
@@ -23,3 +23,17 @@ def test_a_task_encodes_without_threads_of_the_library(monkeypatch):
     monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
     words.WordIds(words.tokenizer_path("word_bpe_49k.json"))
     assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_runs_of_a_chunk_take_little_a_byte():
+    text = np.random.default_rng(4).integers(97, 123, 1 << 20, dtype=np.uint8).tobytes()
+    body = suffix_dedup.Chunk.body([1], [text])
+    tracemalloc.start()
+    chunk = suffix_dedup.Chunk(body)
+    chunk.find_runs()
+    runs = tracemalloc.get_traced_memory()[1]
+    chunk.records(np.ones(len(np.unique(chunk.key)), np.uint8))
+    records = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert chunk.count.sum() == len(text) - suffix_dedup.LENGTH + 1
+    assert runs < 30 * len(text) and records < 45 * len(text)
