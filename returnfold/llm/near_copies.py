@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, stored, table, trim
+from .common import sliced, stored, table, trimmed
 from .components import components
 from .syncmers import mixed
 from .words import strings, word_codes
@@ -162,20 +162,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     """
     others = [c for c in docs.columns if c != "text"]
 
+    def of_texts(texts: pa.Array) -> list[pa.Array]:
+        weighted, sets, full = registers(texts)
+        one, two = band_keys(weighted[full]), band_keys(sets[full])
+        twice = (one != two).any(1)
+        many = np.zeros(len(full), np.int64)
+        many[full] = np.where(twice, 2 * BANDS, BANDS)
+        used = np.hstack([np.ones(one.shape, bool), np.broadcast_to(twice[:, None], two.shape)])
+        keys = pa.array(np.hstack([one, two])[used], mask=np.hstack([np.zeros(one.shape, bool), one == two])[used])
+        short = [(w if (w == s).all() else np.concatenate([w, s])).tobytes() for w, s in zip(*((x >> np.uint64(56)).astype(np.uint8) for x in (weighted, sets)))]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
+        return [pa.ListArray.from_arrays(offsets, keys), pa.array(short, pa.binary())]
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text", 2 << 20):
-                weighted, sets, full = registers(part.column("text"))
-                one, two = band_keys(weighted[full]), band_keys(sets[full])
-                twice = (one != two).any(1)
-                many = np.zeros(len(full), np.int64)
-                many[full] = np.where(twice, 2 * BANDS, BANDS)
-                used = np.hstack([np.ones(one.shape, bool), np.broadcast_to(twice[:, None], two.shape)])
-                keys = pa.array(np.hstack([one, two])[used], mask=np.hstack([np.zeros(one.shape, bool), one == two])[used])
-                short = [(w if (w == s).all() else np.concatenate([w, s])).tobytes() for w, s in zip(*((x >> np.uint64(56)).astype(np.uint8) for x in (weighted, sets)))]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32())
-                yield pa.record_batch([*(part.column(c) for c in others), pa.ListArray.from_arrays(offsets, keys), pa.array(short, pa.binary())], [*others, "keys", "sketch"])
-                trim()
+                yield pa.record_batch([*(part.column(c) for c in others), *trimmed(of_texts, part.column("text"))], [*others, "keys", "sketch"])
 
     schema = T.StructType([docs.schema[c] for c in others]).add("keys", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
     return docs.mapInArrow(sketch, schema)
@@ -187,9 +189,8 @@ def compare(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text_a", 1 << 20):
-                near = np.flatnonzero(np.maximum(*similarities(part.column("text_a"), part.column("text_b"))) >= similarity)
+                near = np.flatnonzero(np.maximum(*trimmed(similarities, part.column("text_a"), part.column("text_b"))) >= similarity)
                 yield part.select(["a", "b"]).take(pa.array(near))
-                trim()
 
     one, two = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(look, pairs.select("a", "b").schema)
@@ -256,6 +257,9 @@ def _meet_in_blocks(crowded: DataFrame, similarity: float) -> DataFrame:
     node = crowded.schema["node"].dataType.simpleString()
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        return trimmed(met, left, right)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
         a, b = ([x.column(c).to_pylist() for c in ("node", "class", "keys")] for x in (left, right))
         none = pa.table({c: pa.array([], left.schema.field("node").type) for c in "ab"})
@@ -277,7 +281,6 @@ def _meet_in_blocks(crowded: DataFrame, similarity: float) -> DataFrame:
         near = np.flatnonzero(np.maximum(*pair_similarities(shingles(texts), len(texts), i, j + len(ti))) >= similarity)
         i, j = ti[i[near]], tj[j[near]]
         some = _forest([a[1][x] for x in i], [b[1][y] for y in j])
-        trim()
         return pa.table({"a": left.column("node").take(pa.array(i[some])), "b": right.column("node").take(pa.array(j[some]))})
 
     cuts = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
@@ -306,30 +309,34 @@ def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, sh
     each = mates.select("node", "company", F.explode("keys").alias("key"))
     first = F.max(F.struct("company", "node")).alias("r")
     leaders = stored(each.groupBy("key").agg(first).select("key", F.col("r.company").alias("rank"), F.col("r.node").alias("leader")), "leaders")
-    of = mates.select("node", F.col("node").alias("class"))
 
     def joined(near: DataFrame) -> DataFrame:
         """Classes when these links have joined some."""
         if near.isEmpty():
             return of
         one, two = (of.select(F.col("node").alias(c), F.col("class").alias(f"of_{c}")) for c in "ab")
-        whole = components(near.join(one, "a").join(two, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        whole = components(near.join(one, "a").join(two, "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
         return stored(of.join(whole.withColumnRenamed("node", "class"), "class", "left").select("node", F.coalesce("component", "class").alias("class")), "classes")
 
     def meet(pairs: DataFrame) -> DataFrame:
-        return stored(compare(stored(likely(pairs, short, similarity), "likely"), texts, similarity), "near")
+        return stored(compare(likely(pairs, short, similarity), texts, similarity), "near")
 
     # each text and the leader with most company of all its buckets
     best = each.join(leaders, "key").where("node <> leader").groupBy("node").agg(F.max(F.struct("rank", "leader")).alias("r")).select(F.col("node").alias("a"), F.col("r.leader").alias("b"))
     best = stored(best, "best")
     found = meet(best)
-    of = joined(found)
+    # a leader's own leader is one step on: no class is divided by a link that is missing here, as joined() sees all links later
+    up, on = found.select(F.col("a").alias("node"), F.col("b").alias("leader")), found.select(F.col("a").alias("leader"), F.col("b").alias("further"))
+    up = up.join(on, "leader", "left").select("node", F.coalesce("further", "leader").alias("class"))
+    up = stored(mate.join(up, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "up")
+    least = stored(up.groupBy("class").agg(F.min("node").alias("least")), "least")
+    of = stored(up.join(least, "class").select("node", F.col("least").alias("class")), "classes")
     # one text of each class in a bucket and its leader
     classed = mates.join(of, "node").select("node", "class", "company", F.explode("keys").alias("key"))
     one = classed.groupBy("key", "class").agg(first).select("key", F.col("r.node").alias("node"))
     pairs = one.join(leaders, "key").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    more = meet(stored(pairs, "pairs"))
-    found, of = found.unionByName(more), joined(more)
+    found = found.unionByName(meet(pairs))
+    of = joined(found)
     # whatever shares a bucket and is still of different classes
     classed = mates.join(of, "node").join(texts.select(F.col("doc_id").alias("node"), F.length("text").alias("chars")), "node").select("node", "class", "keys", "chars", F.explode("keys").alias("key"))
     kinds = classed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("size"))
@@ -338,7 +345,7 @@ def links(texts: DataFrame, bands: DataFrame, similarity: float = SIMILARITY, sh
     members = stored(classed.drop("chars").join(apart, "key").join(short, "node"), "members")
     calm, crowded = members.where(F.col("n") <= CROWD), members.where(F.col("n") > CROWD)
     one, two = (calm.select("key", F.col("node").alias(c), F.col("class").alias(f"of_{c}")) for c in "ab")
-    rest = meet(stored(one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b").distinct(), "rest"))
+    rest = meet(one.join(two, "key").where("a < b and of_a <> of_b").select("a", "b").distinct())
     rest = rest.unionByName(stored(_meet_in_blocks(crowded.join(texts.withColumnRenamed("doc_id", "node"), "node"), similarity), "blocks"))
     found, of = found.unionByName(rest), joined(rest)
     return found, of.withColumnRenamed("class", "component")
