@@ -1,11 +1,12 @@
-"""What a task takes beside its result, and what it leaves to its worker."""
+"""What a task takes beside its result, what it leaves to its worker, and rounds that are not needed."""
 
 import os
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from returnfold.llm import suffix_dedup, words
+from returnfold.llm import near_copies, suffix_dedup, words
 
 
 def test_gathering_rows_takes_little_beside_its_result():
@@ -37,3 +38,15 @@ def test_runs_of_a_chunk_take_little_a_byte():
     tracemalloc.stop()
     assert chunk.count.sum() == len(text) - suffix_dedup.LENGTH + 1
     assert runs < 30 * len(text) and records < 45 * len(text)
+
+
+def test_first_classes_need_no_rounds(spark, monkeypatch):
+    calls, real = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda edges: calls.append(edges.count()) or real(edges))
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join([*base[: 190 + i], f"end{i}"])) for i in range(6)]  # all like one another: one leader joins them
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    bands = texts.select(F.col("doc_id").alias("node"), F.lit(1).cast("long").alias("key"))
+    got = {r["node"]: r["component"] for r in near_copies.links(texts, bands)[1].collect()}
+    assert got == dict.fromkeys(range(6), 0)
+    assert sum(calls) == 0
