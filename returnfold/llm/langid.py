@@ -172,7 +172,7 @@ class TextScores:
             row[np.asarray(new)] = np.arange(self.memo.n, self.memo.n + len(fresh))
             self.memo.add(fresh)
             letters = strings(pc.replace_substring_regex(pc.utf8_lower(fresh), r"[^\p{L}]+", ""))
-            done = [self.models.score(letters[at : at + 100_000]) for at in range(0, len(letters), 100_000)]
+            done = [self.models.score(letters[at : at + 20_000]) for at in range(0, len(letters), 20_000)]
             self.cost = [np.concatenate([*self.cost, *(c for c, _ in done)])]
             self.length = [np.concatenate([*self.length, *(n for _, n in done)])]
         if not len(codes):

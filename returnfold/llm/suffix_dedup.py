@@ -108,7 +108,7 @@ class Chunk:
         return _pack(np.array([NO_DOC if i is None else i for i in ids], np.int64), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
 
     def find_runs(self) -> None:
-        """start, count, anchor and doc of each run; key: the hash of its anchor."""
+        """start, count, anchor and doc of each run; key: a hash of its anchor, mixed anew, as those of anchors are the least of many and crowd at 0."""
         data, windows = self.data, len(self.data) - LENGTH + 1
         self.start = self.count = self.anchor = self.doc = np.empty(0, np.int64)
         self.key = np.empty(0, np.uint64)
@@ -127,7 +127,7 @@ class Chunk:
         self.start = np.flatnonzero(first)
         self.count = np.minimum(np.append(self.start[1:], windows), edge[np.searchsorted(edge, self.start, side="right")]) - self.start
         self.anchor = least[self.start].astype(np.int64)
-        self.key = h[self.anchor]
+        self.key = mixed(h[self.anchor])
         self.doc = self.ids[np.searchsorted(self.ends, self.start, side="right")]
 
     def questions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,8 +172,12 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]] if len(texts) else np.empty(0, np.uint8), offsets
 
 
-def _lead_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(data[at[:, None] + np.arange(LEAD)]).view(f"S{LEAD}").ravel()
+def _lead_of(data: np.ndarray, at: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """The LEAD bytes from each place on; at_once of them are taken together."""
+    out = np.empty((len(at), LEAD), np.uint8)
+    for k in range(0, len(at), at_once):
+        out[k : k + at_once] = data[at[k : k + at_once, None] + np.arange(LEAD)]
+    return out.view(f"S{LEAD}").ravel()
 
 
 def multikey_runs(data: np.ndarray, at: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -264,33 +268,58 @@ def _splitters(chunks: DataFrame, buckets: int, n_chunks: int) -> np.ndarray:
     return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
-def settled(messages: pa.ChunkedArray) -> pa.Array:
-    """For each message of runs, packed: for each suffix of its runs, the least doc_id that any message has for an equal string, packed."""
-    got = [_unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8) for x in messages]
-    many = [len(g[0]) for g in got]
-    size, lead, least = (np.concatenate([g[i] for g in got]) for i in range(3))
-    data = np.concatenate([g[3] for g in got])
-    del got
-    offsets = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+def _least_of_equals(texts: pa.Array, leads: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of each run, number of suffixes of each different text, for each of those the least doc_id of all that are equal to it)."""
+    coded = texts.dictionary_encode()
     code, (data, offsets) = np.asarray(coded.indices), _bytes_of(coded.dictionary)
-    first, leads = np.full(len(offsets) - 1, NO_DOC), np.zeros(len(offsets) - 1, np.int64)
+    first, lead = np.full(len(offsets) - 1, NO_DOC), np.zeros(len(offsets) - 1, np.int64)
     np.minimum.at(first, code, least)
-    leads[code] = lead
-    del size, lead, least
+    lead[code] = leads
     count = np.diff(offsets) - LENGTH + 1
-    _, kmer, alike = np.unique(_lead_of(data, offsets[:-1] + leads), return_inverse=True, return_counts=True)
+    _, kmer, alike = np.unique(_lead_of(data, offsets[:-1] + lead), return_inverse=True, return_counts=True)
     mixed_up = np.flatnonzero(alike[kmer] > 1)  # the others' strings stand in one run only
-    del kmer, alike, leads
-    begins = np.cumsum(count) - count
     answer = np.repeat(first, count)
     if len(mixed_up):
-        place = _spread(begins[mixed_up], count[mixed_up])
+        place = _spread((np.cumsum(count) - count)[mixed_up], count[mixed_up])
         run = multikey_runs(data, _spread(offsets[:-1][mixed_up], count[mixed_up]))
         lowest = np.full(int(run.max()) + 1, NO_DOC)
         np.minimum.at(lowest, run, answer[place])
         answer[place] = lowest[run]
-        del place, run, lowest
+    return code, count, answer
+
+
+def settled(messages: pa.ChunkedArray, at_once: int = 1 << 18) -> pa.Array:
+    """For each message of runs, packed: for each suffix of its runs, the least doc_id that any message has for an equal string, packed.
+
+    Runs are worked through in order of their leads, some at_once suffixes together; equal strings have equal leads, and runs of
+    one lead are never divided.
+    """
+    many, parts = [], [bytearray() for _ in range(4)]
+    for x in messages:
+        got = _unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8)
+        many.append(len(got[0]))
+        for whole, part in zip(parts, got):
+            whole += part.data
+    size, leads, least, data = (np.frombuffer(p, kind) for p, kind in zip(parts, (np.uint8, np.uint8, np.int64, np.uint8)))
+    starts = np.cumsum(size, dtype=np.int64) - size
+    lead = _lead_of(data, starts + leads)
+    order = np.argsort(lead, kind="stable")
+    lead, done = lead[order], np.cumsum(size[order] - (LENGTH - 1), dtype=np.int64)
+    code, counts, answers, at, n = np.empty(len(size), np.int64), [], bytearray(), 0, 0
+    while at < len(order):
+        full = int(np.searchsorted(done, (done[at - 1] if at else 0) + at_once))
+        to = int(np.searchsorted(lead, lead[min(full, len(order) - 1)], side="right"))
+        own = order[at:to]
+        offsets = np.concatenate([[0], np.cumsum(size[own], dtype=np.int64)])
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(_taken(data, starts[own], size[own].astype(np.int64)))])
+        text, count, answer = _least_of_equals(texts, leads[own].astype(np.int64), least[own])
+        code[own] = n + text
+        counts.append(count)
+        answers += answer.data
+        at, n = to, n + len(count)
+    del data, parts, lead, order, done
+    count, answer = np.concatenate(counts) if counts else np.empty(0, np.int64), np.frombuffer(answers, np.int64)
+    begins = np.cumsum(count) - count
     return pa.array([_pack(_taken(answer, begins[own], count[own])) for own in np.split(code, np.cumsum(many)[:-1])], pa.binary())
 
 
