@@ -103,3 +103,35 @@ def test_a_page_of_many_quotes_is_read(spark):
     html = "<link " + " ".join(f'a{k}="v"' for k in range(20_000)) + "><link rel=canonical href='/right'>" + "<p " * 50_000
     rows = url_filter.page_links(spark.createDataFrame([(1, SELF, html)], "page_id long, url string, html string")).collect()
     assert [tuple(r) for r in rows] == [(SELF, "http://h.org/right")]
+
+
+def test_queries_visit_as_many_lists_as_their_neighbours_need(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 16))
+    x = (centres[rng.integers(0, 200, 12_000)] + 0.3 * rng.normal(size=(12_000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = rows.where("vec_id % 50 = 0")
+    monkeypatch.setattr(vector_search, "MANY_LISTS", 100)
+    graph = vector_search.CentroidGraph(vector_search.balanced_centroids(vector_search.unit(x), len(x) // vector_search.PER_LIST))
+    probes = vector_search._calibrated(rows, asked, graph, 16, 240, 5)
+    assert probes <= len(graph.centroids) // vector_search.PROBE_SHARE // 2  # a third of the lists was visited before, whatever the vectors
+    got = vector_search.search(rows, asked).toPandas()
+    unit = vector_search.unit(x)
+    hit = 0
+    for query, found in got.groupby("query_id"):
+        cos = unit @ unit[query]
+        cos[query] = -2
+        assert found.sort_values("rank")["score"].to_numpy() == pytest.approx(np.sort(cos[found["vec_id"]])[::-1], abs=1e-12)
+        hit += len(set(found["vec_id"]) & set(np.argsort(-cos)[:5]))
+    assert hit / (5 * 240) >= 0.95
+
+
+def test_copies_under_many_ids(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 8)).round(2)
+    rows = [(i * 40 + j, x[j].tolist()) for i in range(150) for j in range(40)] + [(None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = {}
+    for r in vector_search.search(df, df.where("vec_id in (0, 41, 5999)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 12)))
+    assert got == {0: [(None, 1.0), *((40 * i, 1.0) for i in range(1, 5))], 41: [(1 + 40 * i, 1.0) for i in (0, 2, 3, 4, 5)], 5999: [(39 + 40 * i, 1.0) for i in range(5)]}
