@@ -14,10 +14,10 @@ neighbours of some CALIBRATED queries, which are compared with every vector; wit
 PROBE_SHARE.
 
 Lists that stand near each other make blocks of about BLOCK_ROWS vectors, each one task's work; a list that is longer is
-dealt over several. Vectors go to their blocks packed, as bytes, and queries follow them in packs of QUERY_ROWS, so a block is
-held once and queries pass by. A query brings a bound, the K-th best score in the sample, below which nothing needs to come
+dealt over several. Vectors go to their blocks packed, as bytes, and queries follow them in packs, so a block is held once and queries pass
+by. A query brings a bound, the K-th best score in the sample, below which nothing needs to come
 back, and the rows of the sample that reach it. In a block, products in single precision pick the rows that reach the bound;
-their scores are cosines in double precision. Of equal vectors a block keeps the K + 1 smallest ids, which are all that a
+their scores are cosines in double precision. Of equal vectors a block looks at the K + 1 smallest ids, which are all that a
 query can get.
 
 Null, zero or non-finite vectors take no part, nor do vectors of another length than most have. Repeated
@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import table, trim
 
-SAMPLE, PER_LIST, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 50, 16_384, 4000, 4096
+SAMPLE, PER_LIST, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 50, 16_384, 4000, 8192
 #: Rows of a block, and blocks that a small table is cut into; rows that are packed together.
-BLOCK_ROWS, BLOCKS, PACKED = 400_000, 24, 20_000
+BLOCK_ROWS, BLOCKS, PACKED = 300_000, 24, 20_000
 REPLICAS, REACH, PROBES, PROBE_SHARE, PRUNE, DEGREE, BEAM = 3, 1.15, 16, 3, 1.6, 16, 96
 RECALL, CALIBRATED, MANY_LISTS = 0.97, 200, 2048
 #: What products in single precision may be off by; the id that stands for null.
@@ -272,26 +272,30 @@ class Rows:
         return self.vectors[at] * self.over[at, None] if self.plain else (self.scaled(at) / self.norm[at, None]).astype(np.float32)
 
 
+#: Where a worker's products go.
+ROOM = np.empty(512 * 4096, np.float32)
+
+
 class Best:
     """The k best vec_ids that each of some queries has met, each by its best row; ties go to the smaller vec_id. bound: what a score must reach."""
 
     def __init__(self, queries: Rows, k: int, bound: np.ndarray | None = None):
         self.queries, self.k = queries, k
         self.bound = np.full(len(queries.ids), -np.inf, np.float32) if bound is None else bound.copy()
-        self.units, self.room = queries.unit(slice(None)), np.empty(512 * 4096, np.float32)
         self.of, self.ids, self.scores, self.more = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), 0
         self.parts: list[tuple] = []
 
-    def meet(self, rows: Rows, span: slice, asking: np.ndarray) -> None:
-        """The queries at asking look at a span of rows."""
-        for at in range(span.start, span.stop, 4096):
-            units = rows.unit(own := slice(at, min(at + 4096, span.stop))).T
+    def meet(self, rows: Rows, places: np.ndarray, asking: np.ndarray) -> None:
+        """The queries at asking look at the rows at places."""
+        for at in range(0, len(places), 4096):
+            own = places[at : at + 4096]
+            units = rows.unit(own).T
             for start in range(0, len(asking), 512):
                 some = asking[start : start + 512]
-                cos = np.matmul(self.units[some], units, out=self.room[: len(some) * units.shape[1]].reshape(len(some), -1))
+                cos = np.matmul(self.queries.unit(some), units, out=ROOM[: len(some) * len(own)].reshape(len(some), -1))
                 hit = _places(cos >= self.bound[some, None])
                 if len(hit):
-                    self._score(rows, some[hit // units.shape[1]], own.start + hit % units.shape[1])
+                    self._score(rows, some[hit // len(own)], own[hit % len(own)])
 
     def _score(self, rows: Rows, of: np.ndarray, at: np.ndarray) -> None:
         other = self.queries.ids[of] != rows.ids[at]
@@ -374,6 +378,7 @@ def _placed(vectors: DataFrame, graph, length: int, k: int) -> DataFrame:
                 held, n = [], 0
         if n:
             yield from _cut(held)
+        trim()
 
     def _cut(held):
         ids, x = (np.concatenate(y) for y in zip(*held))
@@ -392,7 +397,7 @@ def _asked(queries: DataFrame, graph, sample, length: int, k: int) -> DataFrame:
         bound = best.bound
         if len(best.of):
             yield _packs(PACK, block=[chunk % (1 + int(graph.value.block.max()))], side=[2], chunk=[chunk], ids=[ids[best.of]], vectors=[best.ids], scores=[best.scores])
-        for block, own, lists in _dealt(graph.value, *_probes(graph.value, best.units), None):
+        for block, own, lists in _dealt(graph.value, *_probes(graph.value, rows.unit(slice(None))), None):
             own, place = np.unique(own, return_inverse=True)
             yield _packs(PACK, block=[block], side=[1], chunk=[chunk], ids=[ids[own]], vectors=[x[own]], bounds=[bound[own]], lists=[lists], asking=[place.astype(np.uint16)])
 
@@ -411,68 +416,93 @@ def _within(queries: Rows, sample: Rows, k: int) -> Best:
     best = Best(queries, k)
     if len(sample.ids) > k:  # one id may be the query's own
         units = sample.unit(slice(None)).T
-        for at in range(0, len(best.units), 64):
-            best.bound[at : at + 64] = _first(best.units[at : at + 64] @ units, k + 1)[0][:, -1] - NEAR
-    best.meet(sample, slice(0, len(sample.ids)), np.arange(len(queries.ids)))
+        for at in range(0, len(queries.ids), 64):
+            best.bound[at : at + 64] = _first(queries.unit(slice(at, at + 64)) @ units, k + 1)[0][:, -1] - NEAR
+    best.meet(sample, np.arange(len(sample.ids)), np.arange(len(queries.ids)))
     best.cut()
     return best
 
 
+class Held:
+    """Rows (id, vector, list) that come bit by bit."""
+
+    def __init__(self, length: int, kind, k: int):
+        self.n, self.least, self.k, self.kind, self.length = 0, BLOCK_ROWS, k, kind, length
+        self.ids, self.vectors, self.lists = self._room(BLOCK_ROWS + BLOCK_ROWS // 4)
+
+    def _room(self, n: int):
+        return np.empty(n, np.int64), np.empty((n, self.length), self.kind), np.empty(n, np.uint16)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray) -> None:
+        if self.n + len(ids) > len(self.ids) and self.n >= 2 * self.least:
+            self.thin()
+            self.least = max(BLOCK_ROWS, self.n)
+        if self.n + len(ids) > len(self.ids):
+            room = self._room(max(self.n + len(ids), self.n * 3 // 2))
+            for old, new in zip((self.ids, self.vectors, self.lists), room):
+                new[: self.n] = old[: self.n]
+            self.ids, self.vectors, self.lists = room
+        for part, own in ((ids, self.ids), (vectors, self.vectors), (lists, self.lists)):
+            own[self.n : self.n + len(ids)] = part
+        self.n += len(ids)
+
+    def thin(self) -> None:
+        """Leaves out what copies make needless."""
+        keep = _fewest(self.ids[: self.n], self.vectors[: self.n], self.k + 1, self.lists[: self.n])
+        if len(keep) < self.n:
+            for x in (self.ids, self.vectors, self.lists):
+                for at in range(0, len(keep), 20_000):  # places only move down
+                    x[at : at + len(keep[at : at + 20_000])] = x[keep[at : at + 20_000]]
+            self.n = len(keep)
+
+    def rows(self) -> tuple[Rows, dict[int, np.ndarray]]:
+        """(the rows, places by list)."""
+        self.thin()
+        lists = self.lists[: self.n]
+        order = np.argsort(lists, kind="stable")
+        return Rows(self.ids[: self.n], self.vectors[: self.n]), {x: order[span] for x, span in _spans(lists[order]).items()}
+
+
+def _spans(lists: np.ndarray) -> dict[int, slice]:
+    """Where each of sorted lists begins and ends."""
+    own, starts = np.unique(lists, return_index=True)
+    return {x: slice(a, b) for x, a, b in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(lists)])}
+
+
 def _looked(sent: DataFrame, length: int, single: bool, k: int) -> DataFrame:
     """What the queries find in the blocks; sent has a block's vectors before its queries."""
     kind = np.float32 if single else np.float64
 
-    def read(row):
-        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind).reshape(-1, length), np.frombuffer(row["lists"], np.uint16)
-
-    def whole(held):
-        """(ids, vectors, lists) of several such in the order of lists, without what copies make needless; the several are given up on the way."""
-        lists = np.concatenate([x[2] for x in held])
-        place = np.empty(len(lists), np.int64)
-        place[np.argsort(lists, kind="stable")] = np.arange(len(lists))
-        ids, vectors, at = np.empty(len(lists), np.int64), np.empty((len(lists), length), kind), len(lists)
-        while held:
-            own_ids, own, _ = held.pop()
-            at -= len(own)
-            ids[place[at : at + len(own)]], vectors[place[at : at + len(own)]] = own_ids, own
-        lists = np.sort(lists)
-        keep = _fewest(ids, vectors, k + 1, lists)
-        return (ids, vectors, lists) if len(keep) == len(ids) else (ids[keep], vectors[keep], lists[keep])
-
-    def spans(lists):
-        """Where each of sorted lists begins and ends."""
-        own, starts = np.unique(lists, return_index=True)
-        return {x: slice(a, b) for x, a, b in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(lists)])}
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, n, least, rows, places = None, [], 0, BLOCK_ROWS, None, {}
+        trim()
+        block, held, rows, places = None, None, None, {}
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {name: batch.column(name)[at].as_buffer() if batch.column(name).type == pa.binary() and batch.column(name)[at].is_valid else batch.column(name)[at].as_py() for name in batch.schema.names}
                 if row["block"] != block:
-                    block, held, n, least, rows, places = row["block"], [], 0, BLOCK_ROWS, None, {}
-                if row["side"] == 0:
-                    held.append(tuple(x.copy() for x in read(row)))
-                    n += len(held[-1][0])
-                    if n >= 2 * least:  # copies
-                        held = [whole(held)]
-                        least = max(BLOCK_ROWS, n := len(held[0][0]))
-                elif row["side"] == 2:
+                    block, held, rows, places = row["block"], None, None, {}
+                if row["side"] == 2:
                     yield _packs(FOUND, chunk=[row["chunk"]], of=[row["ids"].to_pybytes()], ids=[row["vectors"].to_pybytes()], scores=[row["scores"].to_pybytes()])
-                else:
-                    if held:
-                        ids, x, lists = whole(held)
-                        rows, places = Rows(ids, x), spans(lists)
-                    if rows is None:
-                        continue
-                    ids, x, lists = read(row)
-                    best, asking = Best(Rows(ids, x), k, np.frombuffer(row["bounds"], np.float32)), np.frombuffer(row["asking"], np.uint16).astype(np.int64)
-                    for own, span in spans(lists).items():
-                        if own in places:
-                            best.meet(rows, places[own], asking[span])
-                    best.cut()
-                    if len(best.of):
-                        yield _packs(FOUND, chunk=[row["chunk"]], of=[ids[best.of]], ids=[best.ids], scores=[best.scores])
+                    continue
+                ids, x, lists = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind).reshape(-1, length), np.frombuffer(row["lists"], np.uint16)
+                if row["side"] == 0:
+                    held = held or Held(length, kind, k)
+                    held.add(ids, x, lists)
+                    continue
+                if held:
+                    (rows, places), held = held.rows(), None
+                if rows is None:
+                    continue
+                best, asking = Best(Rows(ids, x), k, np.frombuffer(row["bounds"], np.float32)), np.frombuffer(row["asking"], np.uint16).astype(np.int64)
+                for own, span in _spans(lists).items():
+                    if own in places:
+                        best.meet(rows, places[own], asking[span])
+                best.cut()
+                if len(best.of):
+                    yield _packs(FOUND, chunk=[row["chunk"]], of=[ids[best.of]], ids=[best.ids], scores=[best.scores])
+            batch = row = ids = x = lists = best = None  # before the next one comes
+        rows = held = None
+        trim()
 
     return sent.mapInArrow(look, FOUND)
 

@@ -124,6 +124,9 @@ def test_queries_visit_as_many_lists_as_their_neighbours_need(spark, monkeypatch
         assert found.sort_values("rank")["score"].to_numpy() == pytest.approx(np.sort(cos[found["vec_id"]])[::-1], abs=1e-12)
         hit += len(set(found["vec_id"]) & set(np.argsort(-cos)[:5]))
     assert hit / (5 * 240) >= 0.95
+    for name, n in (("BLOCK_ROWS", 700), ("QUERY_ROWS", 30), ("PACKED", 300)):  # more packs, long lists in several blocks
+        monkeypatch.setattr(vector_search, name, n)
+    assert sorted(map(tuple, vector_search.search(rows, asked).collect())) == sorted(got.itertuples(index=False, name=None))
 
 
 def test_copies_under_many_ids(spark):
