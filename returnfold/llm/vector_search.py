@@ -27,6 +27,7 @@ Columns other than vec_id and embedding are not read.
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import table, trim
+from .common import stored, table, trim
 
 SAMPLE, PER_LIST, MOST_LISTS, LIST_ROWS, QUERY_ROWS = 40_000, 50, 16_384, 4000, 8192
 #: Rows of a block, and blocks that a small table is cut into; rows that are packed together.
@@ -582,6 +583,18 @@ def _blocks(graph: CentroidGraph, sample: np.ndarray, every: float) -> int:
     return at + 1
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """What runs meanwhile hands packed rows to Python by some MB, as a batch stands in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest that each of queries has among vectors, both (vec_id, embedding).
 
@@ -622,7 +635,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     chunks = max(-(-asked // QUERY_ROWS), min(BLOCKS, -(-asked // 256)), 1)
     sent = _placed(vectors, shared, length, k).unionByName(_asked(queries.repartition(chunks), shared, sample, length, k))
     found = _looked(sent.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "side"), length, single, k)
-    found = _merged(found, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    with _small_batches(spark):
+        found = stored(_merged(found, k), "neighbours")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     some = lambda x: F.when(F.col(x) != NO_ID, F.col(x)).alias(x)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(some("query_id"), "rank", some("vec_id"), "score")
